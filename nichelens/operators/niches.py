@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nichelens.functions.weighted import renormalized_mean
-from nichelens.operators.market import one_row
 
 # Components, the metric or rating behind each, and direction.
 DATA_COMPONENTS = (
@@ -66,131 +65,119 @@ class NicheScoreRules:
     low_confidence_below: int = 5
 
 
-def percentile_rank(df: DataFrame, groups: list[str], value: str, out: str) -> DataFrame:
+def percentile_rank(value: Column, groups: list[str]) -> Column:
     """``(below + 0.5 * equal) / n * 100`` among known values; NULL stays NULL.
 
     ``equal`` counts the value itself, so a single value lands on 50. This is
-    neither ``percent_rank`` nor ``cume_dist``. Groups are niches of one scope.
+    neither ``percent_rank`` nor ``cume_dist``. Groups are the niches of one
+    scope; all components share one shuffle.
     """
     population = Window.partitionBy(*groups)
-    below = F.rank().over(population.orderBy(F.col(value).asc_nulls_last())) - 1
-    equal = F.count(value).over(Window.partitionBy(*groups, value))
+    ordered = population.orderBy(value.asc_nulls_last())
+    below = F.rank().over(ordered) - 1
+    peers = ordered.rangeBetween(Window.currentRow, Window.currentRow)
+    equal = F.count(value).over(peers)
     known = F.count(value).over(population)
-    return df.withColumn(
-        out, F.when(F.col(value).isNotNull(), (below + 0.5 * equal) / known * 100)
-    )
+    return F.when(value.isNotNull(), (below + 0.5 * equal) / known * 100)
+
+
+def is_eligible(rules: NicheScoreRules) -> Column:
+    return F.col("channels_count") >= rules.min_channels
 
 
 def split_eligible(metrics: DataFrame, rules: NicheScoreRules) -> tuple[DataFrame, DataFrame]:
     """(scorable, thin): thin niches neither get a score nor shape the scale."""
-    enough = F.col("channels_count") >= rules.min_channels
-    return metrics.filter(enough), metrics.filter(~enough)
+    return metrics.filter(is_eligible(rules)), metrics.filter(~is_eligible(rules))
 
 
-def data_components(eligible: DataFrame) -> DataFrame:
-    """Long form ``(scope, niche_id, key, value, raw_value)`` of the ranked metrics."""
-    pairs = F.array(
-        *[
-            F.struct(F.lit(key).alias("key"), F.col(metric).cast("double").alias("raw_value"))
-            for key, _, metric, _ in DATA_COMPONENTS
-        ]
-    )
-    inverted = [key for key, _, _, invert in DATA_COMPONENTS if invert]
-    melted = eligible.select("scope", "niche_id", F.inline(pairs))
-    ranked = percentile_rank(melted, ["scope", "key"], "raw_value", "ranked")
-    value = F.when(F.col("key").isin(*inverted), 100 - F.col("ranked")).otherwise(F.col("ranked"))
-    return ranked.select(
-        "scope",
-        "niche_id",
-        "key",
+def _part(key: str, source: str, rules: NicheScoreRules, value: Column, raw: Column, default: Column, note: Column) -> Column:
+    labels = {k: label for k, label, _, _ in DATA_COMPONENTS + MANUAL_COMPONENTS}
+    return F.struct(
+        F.lit(key).alias("key"),
+        F.lit(labels[key]).alias("label"),
+        F.lit(source).alias("source"),
+        F.lit(float(rules.weights.get(key, 0.0))).alias("weight"),
         value.alias("value"),
-        "raw_value",
-        F.lit("data").alias("source"),
-        F.lit(False).alias("is_default_rating"),
+        raw.alias("raw_value"),
+        value.isNotNull().alias("available"),
+        default.alias("is_default_rating"),
+        note.alias("note"),
     )
 
 
-def manual_components(eligible: DataFrame, rules: NicheScoreRules) -> DataFrame:
-    """Ratings set by hand per niche slug, else the neutral default, flagged as such."""
+def _manual_part(key: str, rating: str, invert: bool, rules: NicheScoreRules) -> Column:
+    chosen = F.lit(None).cast("double")
+    for slug, ratings in rules.overrides.items():
+        if rating in ratings:
+            given = F.lit(float(ratings[rating]))
+            chosen = F.when(F.col("slug") == slug, given).otherwise(chosen)
+    raw = F.coalesce(chosen, F.lit(float(rules.ratings[rating])))
+    note = F.when(chosen.isNull(), F.lit("neutral default, not a judgement yet"))
+    value = 100 - raw if invert else raw
+    return _part(key, "manual", rules, value, raw, chosen.isNull(), note)
 
-    def component(key: str, rating: str, invert: bool) -> Column:
-        default = rules.ratings[rating]
-        chosen = F.lit(None).cast("double")
-        for slug, ratings in rules.overrides.items():
-            if rating in ratings:
-                chosen = F.when(F.col("slug") == slug, F.lit(float(ratings[rating]))).otherwise(
-                    chosen
-                )
-        raw = F.coalesce(chosen, F.lit(float(default)))
-        return F.struct(
-            F.lit(key).alias("key"),
-            (100 - raw if invert else raw).alias("value"),
-            raw.alias("raw_value"),
-            F.lit("manual").alias("source"),
-            chosen.isNull().alias("is_default_rating"),
+
+def with_components(metrics: DataFrame, rules: NicheScoreRules) -> DataFrame:
+    """Add ``parts``: the twelve components of every niche, NULL for thin niches.
+
+    One pass over the niche table: thin niches are masked out of the ranked
+    population instead of being split off and joined back.
+    """
+    masked = metrics
+    for key, _, metric, _ in DATA_COMPONENTS:
+        raw = F.when(is_eligible(rules), F.col(metric).cast("double"))
+        masked = masked.withColumn(f"_raw_{key}", raw)
+    ranks = {
+        f"_rank_{key}": percentile_rank(F.col(f"_raw_{key}"), ["scope"])
+        for key, _, _, _ in DATA_COMPONENTS
+    }
+    ranked = masked.withColumns(ranks)
+    parts = []
+    for key, _, _, invert in DATA_COMPONENTS:
+        rank = F.col(f"_rank_{key}")
+        value = 100 - rank if invert else rank
+        note = F.when(value.isNull(), F.lit("no data in the current dataset"))
+        parts.append(
+            _part(key, "data", rules, value, F.col(f"_raw_{key}"), F.lit(False), note)
         )
+    parts += [_manual_part(key, rating, inv, rules) for key, _, rating, inv in MANUAL_COMPONENTS]
+    return ranked.select(*metrics.columns, F.when(is_eligible(rules), F.array(*parts)).alias("parts"))
 
-    pairs = F.array(*[component(key, rating, inv) for key, _, rating, inv in MANUAL_COMPONENTS])
-    return eligible.select("scope", "niche_id", F.inline(pairs))
 
+def components(metrics: DataFrame, rules: NicheScoreRules, source: str | None = None) -> DataFrame:
+    """Long form of the components of every scored niche."""
+    rows = with_components(metrics, rules).select("scope", "niche_id", "slug", F.inline("parts"))
+    return rows if source is None else rows.filter(F.col("source") == source)
 
-def components(eligible: DataFrame, rules: NicheScoreRules) -> DataFrame:
-    """All twelve components per niche with label, weight, availability and note."""
-    labels = {key: label for key, label, _, _ in DATA_COMPONENTS + MANUAL_COMPONENTS}
-    label_map = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
-    weight_map = F.create_map(
-        *[F.lit(x) for key in COMPONENT_ORDER for x in (key, float(rules.weights.get(key, 0.0)))]
-    )
-    rows = data_components(eligible).unionByName(manual_components(eligible, rules))
-    note = F.when(F.col("value").isNull(), F.lit("no data in the current dataset")).when(
-        F.col("is_default_rating"), F.lit("neutral default, not a judgement yet")
-    )
-    return rows.select(
-        "scope",
-        "niche_id",
-        "key",
-        label_map[F.col("key")].alias("label"),
-        "source",
-        weight_map[F.col("key")].alias("weight"),
-        "value",
-        "raw_value",
-        F.col("value").isNotNull().alias("available"),
-        "is_default_rating",
-        note.alias("note"),
-    )
+
+def data_components(metrics: DataFrame, rules: NicheScoreRules) -> DataFrame:
+    """The seven ranked metrics; only the concentration is inverted."""
+    return components(metrics, rules, "data")
+
+
+def manual_components(metrics: DataFrame, rules: NicheScoreRules) -> DataFrame:
+    """Ratings set by hand per niche slug, else the neutral default, flagged as such."""
+    return components(metrics, rules, "manual")
 
 
 def score_niches(metrics: DataFrame, rules: NicheScoreRules | None = None) -> DataFrame:
     """Score, rank and breakdown of every niche of every scope in ``metrics``."""
     rules = rules or NicheScoreRules()
-    eligible, thin = split_eligible(metrics, rules)
     fields = ["label", "source", "weight", "value", "raw_value", "available", "is_default_rating", "note"]
-    # Twelve rows per niche by construction, kept in component order so that the
-    # floating-point sum does not depend on the shuffle.
-    breakdown = (
-        components(eligible, rules)
-        .withColumn("at", F.array_position(F.array(*map(F.lit, COMPONENT_ORDER)), F.col("key")))
-        .groupBy("scope", "niche_id")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "key", *fields))).alias("parts"))
-        .select(
-            "scope",
-            "niche_id",
-            renormalized_mean(F.col("parts")).alias("score"),
-            F.map_from_entries(
-                F.transform(
-                    "parts", lambda p: F.struct(p["key"], F.struct(*[p[f].alias(f) for f in fields]))
-                )
-            ).alias("components"),
+    breakdown = F.map_from_entries(
+        F.transform(
+            "parts", lambda p: F.struct(p["key"], F.struct(*[p[f].alias(f) for f in fields]))
         )
     )
-    keys = ["scope", "niche_id"]
-    scored = eligible.join(breakdown, keys).withColumn("insufficient_data", F.lit(False))
-    skipped = thin.withColumn("insufficient_data", F.lit(True))
     by_score = Window.partitionBy("scope").orderBy(
         F.col("score").desc_nulls_last(), F.col("name"), F.col("slug")
     )
     return (
-        scored.unionByName(skipped, allowMissingColumns=True)
+        with_components(metrics, rules)
+        .withColumn("score", renormalized_mean(F.col("parts")))
+        .withColumn("components", breakdown)
+        .drop("parts")
+        .withColumn("insufficient_data", ~is_eligible(rules))
         .withColumn("position", F.row_number().over(by_score))
         .withColumn("rank", F.when(F.col("score").isNotNull(), F.col("position")))
         .drop("position")
@@ -282,44 +269,37 @@ def scores_for_run(scores: DataFrame, niches: DataFrame, run: DataFrame) -> Data
 
 
 def report_caveats(scores: DataFrame, rules: NicheScoreRules | None = None) -> DataFrame:
-    """What a reader must know: ``(scope, caveat, detail, niches)`` rows."""
+    """What a reader must know: ``(scope, caveat, detail, niches)`` rows.
+
+    Every niche names the caveats it causes, so one pass and one aggregation do.
+    """
     rules = rules or NicheScoreRules()
-    scored = scores.filter(F.col("score").isNotNull())
-    parts = scored.select(
-        "scope", "niche_id", F.explode("components").alias("key", "part")
-    )
-    missing = (
-        parts.filter(~F.col("part.available"))
-        .groupBy("scope", F.col("key").alias("detail"))
-        .agg(F.count("*").alias("niches"))
-        .withColumn("caveat", F.lit("unavailable_component"))
+    scored = F.col("score").isNotNull()
+    label = lambda caveat, detail: F.struct(
+        F.lit(caveat).alias("caveat"), detail.alias("detail")
     )
+    missing = F.map_keys(F.map_filter("components", lambda _, p: ~p["available"]))
     manual = F.map_values(F.map_filter("components", lambda _, p: p["source"] == "manual"))
-    defaults = (
-        scored.filter(F.forall(manual, lambda p: p["is_default_rating"]))
-        .groupBy("scope")
-        .agg(F.count("*").alias("niches"))
-        .withColumn("caveat", F.lit("only_default_ratings"))
-        .withColumn("detail", F.lit(""))
+    neutral = scored & F.forall(manual, lambda p: p["is_default_rating"])
+    nothing = F.array().cast("array<struct<caveat: string, detail: string>>")
+    caused = F.concat(
+        F.coalesce(F.transform(missing, lambda k: label("unavailable_component", k)), nothing),
+        F.array_compact(
+            F.array(
+                F.when(neutral, label("only_default_ratings", F.lit(""))),
+                F.when(F.col("insufficient_data"), label("excluded_thin_niches", F.lit(""))),
+                F.when(scored, label("low_confidence", F.lit(""))),
+            )
+        ),
     )
-    thin = (
-        scores.filter(F.col("insufficient_data"))
-        .groupBy("scope")
+    counts = (
+        scores.select("scope", F.inline(caused))
+        .groupBy("scope", "caveat", "detail")
         .agg(F.count("*").alias("niches"))
-        .withColumn("caveat", F.lit("excluded_thin_niches"))
-        .withColumn("detail", F.lit(""))
     )
-    coarse = (
-        run_summary(scores, rules)
-        .filter("low_confidence")
-        .select(
-            "scope",
-            F.col("niches_scored").alias("niches"),
-            F.lit("low_confidence").alias("caveat"),
-            F.lit("").alias("detail"),
-        )
+    return counts.filter(
+        (F.col("caveat") != "low_confidence") | (F.col("niches") < rules.low_confidence_below)
     )
-    return missing.unionByName(defaults).unionByName(thin).unionByName(coarse)
 
 
 def ranking_table(scores: DataFrame, run_id: Column) -> DataFrame:
@@ -396,7 +376,6 @@ __all__ = [
     "data_components",
     "latest_run",
     "manual_components",
-    "one_row",
     "percentile_rank",
     "persistable_run",
     "ranking_table",
