@@ -508,7 +508,7 @@ def similarity(layer: Column, distance: Column) -> Column:
     """1 for the same address or content, none by entity, 1 - d/64 by wording."""
     return (
         F.when(layer.isin(1, 2), F.lit(1.0))
-        .when(layer == 4, F.round(1 - distance / F.lit(64.0), 4))
+        .when(layer == 4, F.bround(1 - distance / F.lit(64.0), 4))
     )
 
 

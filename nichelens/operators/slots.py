@@ -105,34 +105,14 @@ def filled_slots(slots: DataFrame, publications: DataFrame, rules: SlotRules) ->
     window reaches back to, so the interval join becomes an equality on the
     slot key. Posts fold per slot before they move.
     """
-    reach = max(_minutes(t) for t in rules.slots) + rules.window_minutes
-    back = max(1, reach // 1440)
-    today = moscow_date(F.col("created_at"))
-    slot = F.explode(
-        F.flatten(
-            F.array(
-                *[
-                    F.transform(
-                        slot_array(F.date_sub(today, n), rules),
-                        lambda s, n=n: F.struct(F.date_sub(today, n).alias("day"), s.alias("s")),
-                    )
-                    for n in range(back + 1)
-                ]
-            )
-        )
-    )
     posts = (
         occupying(publications)
-        .select("created_at", slot.alias("c"))
-        .filter(
-            (F.col("c.s.starts_at") <= F.col("created_at"))
-            & (F.col("created_at") < F.col("c.s.ends_at"))
-        )
-        .groupBy(F.col("c.day").alias("day"), F.col("c.s.slot_index").alias("slot_index"))
+        .select(F.explode(_holding(F.col("created_at"), rules)).alias("s"))
+        .groupBy("s.starts_at", "s.slot_index")
         .agg(F.count("*").alias("posts"))
     )
     return (
-        slots.join(posts, ["day", "slot_index"], "left")
+        slots.join(posts, ["starts_at", "slot_index"], "left")
         .withColumn("posts", F.coalesce("posts", F.lit(0)))
         .withColumn("filled", F.col("posts") > 0)
     )
@@ -226,8 +206,9 @@ def slot_action(
     Order: breaking news, no slot, slot taken, own topic in its reserved slot,
     cluster, own topic, nothing.
     """
-    no = F.lit(False)
-    hot, news, own = has_breaking or no, has_cluster or no, has_topic or no
+    hot, news, own = (
+        F.lit(False) if flag is None else flag for flag in (has_breaking, has_cluster, has_topic)
+    )
     placed = instants.withColumn("slot", open_slot(F.col("instant"), rules)).select(
         "*",
         F.col("slot.slot_index").alias("slot_index"),

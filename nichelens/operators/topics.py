@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nichelens.functions.lexicon import Lexicon, practical_value, relevance
 from nichelens.functions.textkeys import fold_text, nfkc
-from nichelens.functions.weighted import renormalized_mean
+from nichelens.functions.weighted import renormalized_mean, round_percent
 from nichelens.vocab import RESCORABLE_STATUSES, TRUST_AUTHORITY
 
 # Components, labels, weights, half-lives, thresholds.
@@ -76,14 +76,14 @@ def timeliness(event_at: Column, event_type: Column, now: str | Column, rules: T
     """100 at publication, halved every half-life; future dates count as now."""
     hours = _elapsed_seconds(_moment(now), event_at) / 3600
     half = half_life_of(event_type, rules)
-    decayed = F.round(100 * F.pow(F.lit(0.5), hours / F.nullif(half, F.lit(0.0))), 2)
+    decayed = round_percent(100 * F.pow(F.lit(0.5), hours / F.nullif(half, F.lit(0.0))))
     return F.when(half <= 0, F.lit(0.0)).otherwise(decayed)
 
 
 def novelty(first_seen_at: Column, similar: Column, now: str | Column, rules: TopicRules) -> Column:
     """Loses points per day; nothing left for what was already published."""
     days = _elapsed_seconds(_moment(now), first_seen_at) / 86400
-    fresh = F.round(F.greatest(F.lit(0.0), 100 - days * rules.age_penalty_per_day), 2)
+    fresh = round_percent(F.greatest(F.lit(0.0), 100 - days * rules.age_penalty_per_day))
     return F.when(similar, F.lit(0.0)).otherwise(fresh)
 
 

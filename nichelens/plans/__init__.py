@@ -1,6 +1,11 @@
 """Registered queries over the driver's tables."""
 
-from nichelens.plans import document_queries, market_queries  # noqa: F401
+from nichelens.plans import (  # noqa: F401
+    document_queries,
+    import_queries,
+    market_queries,
+    schedule_queries,
+)
 from nichelens.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

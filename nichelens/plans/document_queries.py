@@ -430,7 +430,7 @@ moved AS (SELECT *, before IS NOT NULL AND before <> fp AS changed FROM seen)
         arg_max(title, arrival) FILTER (WHERE changed OR before IS NULL) AS title,
         strftime(arg_max(published_at, arrival) FILTER (WHERE (changed OR before IS NULL)
             AND published_at IS NOT NULL), '%Y-%m-%d %H:%M:%S') AS published_at,
-        count(*) AS sightings FROM moved GROUP BY ALL""",
+        count(*) AS sightings FROM moved GROUP BY source_key, external_id""",
 )
 def store_items(spark, sf_dir):
     return res.store_items(conversation_arrivals(spark, sf_dir)).select(
@@ -697,13 +697,13 @@ _NOW = f"TIMESTAMP '{d.NOW}'"
 
 
 def _timeliness_sql(event_at: str) -> str:
-    return f"""round(100 * pow(0.5::DOUBLE, greatest(epoch({_NOW}) - epoch({event_at}), 0) / 3600.0::DOUBLE
-        / (CASE event_type {_HALF} ELSE 120 END)), 2)"""
+    return f"""CAST(printf('%.2f', 100 * pow(0.5::DOUBLE, greatest(epoch({_NOW}) - epoch({event_at}), 0)
+        / 3600.0::DOUBLE / (CASE event_type {_HALF} ELSE 120 END))) AS DOUBLE)"""
 
 
 def _novelty_sql(first_seen: str) -> str:
-    return f"""round(greatest(0, 100 - greatest(epoch({_NOW}) - epoch({first_seen}), 0)
-        / 86400.0::DOUBLE * 8), 2)"""
+    return f"""CAST(printf('%.2f', greatest(0, 100 - greatest(epoch({_NOW}) - epoch({first_seen}), 0)
+        / 86400.0::DOUBLE * 8)) AS DOUBLE)"""
 
 
 _AUTHORITY = """CASE trust WHEN 'OFFICIAL' THEN 100 WHEN 'PRIMARY' THEN 85
@@ -761,12 +761,12 @@ SCORES = {
         FROM v_clusters c LEFT JOIN labels l ON l.doc_id = c.seed_item_id""",
     "components": """SELECT *, coalesce(llm_relevance, lex_relevance)::DOUBLE AS relevance,
         coalesce(llm_practical, lex_practical)::DOUBLE AS practical_value FROM judged""",
-    "scored": """SELECT *, round((0.22::DOUBLE * relevance + 0.2::DOUBLE * practical_value
+    "scored": """SELECT *, CAST(printf('%.2f', (0.22::DOUBLE * relevance + 0.2::DOUBLE * practical_value
         + 0.15::DOUBLE * novelty + 0.13::DOUBLE * authority + 0.12::DOUBLE * timeliness
         + coalesce(0.1::DOUBLE * audience_fit, 0) + coalesce(0.08::DOUBLE * content_potential, 0))
         / (0.22::DOUBLE + 0.2::DOUBLE + 0.15::DOUBLE + 0.13::DOUBLE + 0.12::DOUBLE
         + CASE WHEN audience_fit IS NOT NULL THEN 0.1::DOUBLE ELSE 0 END
-        + CASE WHEN content_potential IS NOT NULL THEN 0.08::DOUBLE ELSE 0 END), 2) AS score
+        + CASE WHEN content_potential IS NOT NULL THEN 0.08::DOUBLE ELSE 0 END)) AS DOUBLE) AS score
         FROM components""",
     "decided": """SELECT *, CASE WHEN score >= 70 THEN 'SELECTED' WHEN score >= 45 THEN 'BACKLOG'
         ELSE 'FILTERED' END AS decision FROM scored""",

@@ -13,6 +13,12 @@ from nichelens.functions.lexicon import Lexicon
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Recorded times carry no zone and mean UTC, whatever the session was built with.
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if name == "events":
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet").withColumn(
+            "ts", F.col("ts").cast("timestamp")
+        )
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -383,7 +389,7 @@ DOCUMENT_SQL = {
     "members": """SELECT o.item_id, k.own_key AS cluster_key,
         coalesce(CASE layer WHEN 1 THEN 'URL' WHEN 2 THEN 'FINGERPRINT' WHEN 3 THEN 'ENTITY'
             WHEN 4 THEN 'SIMHASH' END, 'SEED') AS matched_by,
-        CASE WHEN layer IN (1, 2) THEN 1.0::DOUBLE WHEN layer = 4 THEN round(1 - d / 64.0::DOUBLE, 4)
+        CASE WHEN layer IN (1, 2) THEN 1.0::DOUBLE WHEN layer = 4 THEN round_even(1 - d / 64.0::DOUBLE, 4)
             END AS similarity,
         o.ord = f.root AS is_seed, f.root, o.ord
         FROM own o JOIN forest f USING (ord) JOIN own k ON k.ord = f.root

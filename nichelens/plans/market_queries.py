@@ -267,7 +267,7 @@ SCORE_VIEWS = {
     **d.MARKET_SQL,
     "eligible": "SELECT * FROM assembled WHERE channels_count >= 3",
     "ranked": f"SELECT scope, niche_id, slug, name, channels_count, {_RANKED_SQL}, {_MANUAL_SQL} FROM eligible",
-    "scored": f"SELECT *, round(({_TOP}) / ({_BOTTOM}), 2) AS score FROM ranked",
+    "scored": f"SELECT *, CAST(printf('%.2f', ({_TOP}) / ({_BOTTOM})) AS DOUBLE) AS score FROM ranked",
     "placed": """SELECT scope, niche_id, score, row_number() OVER (PARTITION BY scope
         ORDER BY score DESC, name, slug) AS rank FROM scored""",
 }

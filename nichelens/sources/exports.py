@@ -55,20 +55,32 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.join(blocks, ["file", "block"]).select("file", number.alias("line_no"), "bytes")
 
 
+# Windows-1251 above ASCII, by rule; the one unassigned byte makes a file undecodable.
+_HIGH_BYTES = [b for b in range(128, 256) if b != 0x98]
+_LATIN = "".join(map(chr, _HIGH_BYTES))
+_CYRILLIC = bytes(_HIGH_BYTES).decode("cp1251")
+
+
 def detect_encoding(lines: DataFrame) -> DataFrame:
-    """``(file, encoding)``: UTF-8 when every line is valid, else Windows-1251."""
+    """``(file, encoding)``: UTF-8 when every line is valid, else Windows-1251, else NULL."""
     valid = F.bool_and(F.is_valid_utf8(F.col("bytes").cast("string")))
+    unassigned = F.bool_or(F.contains("bytes", F.lit(bytearray(b"\x98"))))
     return lines.groupBy("file").agg(
-        F.when(valid, ENCODINGS[0]).otherwise(ENCODINGS[1]).alias("encoding")
+        F.when(valid, ENCODINGS[0]).when(~unassigned, ENCODINGS[1]).alias("encoding")
     )
 
 
 def decode_lines(lines: DataFrame, encodings: DataFrame) -> DataFrame:
-    """``(file, line_no, value)`` as text, without a byte-order mark."""
+    """``(file, line_no, value)`` as text, without a byte-order mark.
+
+    Spark decodes Latin-1 but not Windows-1251; one is the other after a
+    character-by-character translation. Undecodable files have no lines.
+    """
+    encodings = encodings.filter(F.col("encoding").isNotNull())
     text = F.when(
         F.col("encoding") == ENCODINGS[0], F.col("bytes").cast("string")
-    ).otherwise(F.decode("bytes", ENCODINGS[1]))
-    clean = F.when(F.col("line_no") == 1, F.ltrim(text, F.lit("﻿"))).otherwise(text)
+    ).otherwise(F.translate(F.decode("bytes", "iso-8859-1"), _LATIN, _CYRILLIC))
+    clean = F.when(F.col("line_no") == 1, F.ltrim(text, F.lit("\ufeff"))).otherwise(text)
     return lines.join(encodings, "file").select("file", "line_no", clean.alias("value"))
 
 
