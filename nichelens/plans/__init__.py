@@ -5,6 +5,7 @@ from nichelens.plans import (  # noqa: F401
     import_queries,
     market_queries,
     schedule_queries,
+    stream_queries,
 )
 from nichelens.plans.registry import ORACLES, QUERIES
 

@@ -604,9 +604,8 @@ def export_lines(spark, sf_dir) -> DataFrame:
     mark = "CASE y % 3 WHEN 0 THEN ';' WHEN 1 THEN ',' ELSE '\\t' END"
     head = years.selectExpr(
         "file",
-        f"""inline(arrays_zip(array(1L, 2L, 3L, 4L) AS line_no, array('Export of channels',
-            concat('Total', {mark}, '100'), '', concat_ws({mark}, 'Канал', 'ID канала', 'Подписчики', ''))
-            AS value))""",
+        f"""stack(4, 1L, 'Export of channels', 2L, concat('Total', {mark}, '100'), 3L, '',
+            4L, concat_ws({mark}, 'Канал', 'ID канала', 'Подписчики', '')) AS (line_no, value)""",
     )
     blanks = rows.selectExpr("file", "line_no + 1 AS line_no", "'' AS value")
     return rows.unionByName(head).unionByName(blanks)

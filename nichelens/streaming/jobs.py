@@ -4,36 +4,67 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from nichelens.operators.clustering import ClusterRules, cluster_items
 from nichelens.operators.ledger import DAILY_LIMIT_USD
-from nichelens.operators.research import store_items, with_identity
-from nichelens.operators.slots import SlotRules, _minutes, MOSCOW_HOURS
+from nichelens.operators.research import store_items
+from nichelens.operators.slots import SlotRules, _holding
 from nichelens.vocab import OCCUPYING_STATUSES
 
 CANDIDATE_WINDOW = "7 days"
+CANDIDATE_SECONDS = 7 * 86_400
 
 
-def stream_items(
-    raw: DataFrame,
-    read_current: Callable[[], DataFrame | None],
-    write_next: Callable[[DataFrame, int], None],
-    checkpoint: str,
-    available_now: bool = True,
+def append_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Run a stream over everything that has landed and append finished rows to a table."""
+    return (
+        df.writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def _versioned(
+    stream: DataFrame, table_path: str, checkpoint: str, step: Callable[[DataFrame, DataFrame | None], DataFrame]
 ) -> StreamingQuery:
-    """Upsert landed items batch by batch.
+    """Apply ``step(batch, previous version)`` per micro-batch, one table version each.
 
-    ``raw`` carries the columns of :func:`store_items` arrivals. The checkpoint
-    and deterministic keys make a replayed batch write the same version again.
+    A replayed batch overwrites its own version from the same predecessor, so a
+    restart repeats nothing.
     """
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        write_next(store_items(with_identity(batch), read_current()), batch_id)
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        previous = None
+        if batch_id > 0:
+            previous = spark.read.parquet(version_path(table_path, batch_id - 1))
+        step(batch, previous).write.mode("overwrite").parquet(version_path(table_path, batch_id))
+
+    return (
+        stream.writeStream.foreachBatch(run)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def version_path(table_path: str, batch_id: int) -> str:
+    return f"{table_path}/batch-{batch_id:09d}"
+
 
-    writer = raw.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+def latest_version(spark: SparkSession, table_path: str, batch_id: int) -> DataFrame:
+    return spark.read.parquet(version_path(table_path, batch_id))
+
+
+def stream_items(arrivals: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
+    """Upsert landed items (with identity) batch by batch, with revisions."""
+    return _versioned(arrivals, table_path, checkpoint, store_items)
 
 
 def stream_exact_dedupe(items: DataFrame, event_time: str = "arrived_at") -> DataFrame:
@@ -64,46 +95,56 @@ def stream_spend(
 def stream_slots(
     publications: DataFrame, rules: SlotRules | None = None, lateness: str = "1 hour"
 ) -> DataFrame:
-    """Posts per slot window; rows later than the watermark are ignored.
+    """Posts per slot, emitted once the slot is over; later rows are ignored.
 
-    Slots of the cadence are tumbling windows of the slot length aligned to the
-    first slot of the day, kept where a slot really starts.
+    Each post is moved to the end of every slot that holds it, and that end is
+    the event time: a group closes when the watermark passes its slot.
     """
     rules = rules or SlotRules()
-    length = f"{rules.window_minutes} minutes"
-    first = (_minutes(rules.slots[0]) - MOSCOW_HOURS * 60) % rules.window_minutes
-    if 1440 % rules.window_minutes or any(
-        (_minutes(t) - _minutes(rules.slots[0])) % 60 for t in rules.slots
-    ):
-        raise ValueError("slots must start on a common minute and divide the day")
-    occupying = publications.filter(F.col("status").isin(*OCCUPYING_STATUSES))
-    starts = {_minutes(t) - MOSCOW_HOURS * 60: i for i, t in enumerate(rules.slots)}
-    minute = F.hour("start") * 60 + F.minute("start")
-    index = F.lit(None).cast("int")
-    for at, i in starts.items():
-        index = F.when(minute == at % 1440, F.lit(i)).otherwise(index)
-    step = "60 minutes" if any(
-        (m - _minutes(rules.slots[0])) % rules.window_minutes for m in map(_minutes, rules.slots)
-    ) else length
-    offset = f"{first % (60 if step == '60 minutes' else rules.window_minutes)} minutes"
+    placed = (
+        publications.filter(F.col("status").isin(*OCCUPYING_STATUSES))
+        .select(F.explode(_holding(F.col("created_at"), rules)).alias("s"))
+        .select("s.starts_at", "s.ends_at", "s.slot_index")
+    )
     return (
-        occupying.withWatermark("created_at", lateness)
-        .groupBy(F.window("created_at", length, step, offset).alias("w"))
+        placed.withWatermark("ends_at", lateness)
+        .groupBy("ends_at", "starts_at", "slot_index")
         .agg(F.count("*").alias("posts"))
-        .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "posts")
-        .withColumn("slot_index", index)
-        .filter(F.col("slot_index").isNotNull())
     )
 
 
 def stream_clusters(
     signatures: DataFrame,
-    cluster_batch: Callable[[DataFrame, int], None],
+    table_path: str,
     checkpoint: str,
-    available_now: bool = True,
+    rules: ClusterRules | None = None,
 ) -> StreamingQuery:
-    """Cluster each micro-batch against stored candidates through ``cluster_batch``."""
-    writer = signatures.writeStream.foreachBatch(cluster_batch).option(
-        "checkpointLocation", checkpoint
-    )
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    """Cluster each micro-batch of signatures against what came before.
+
+    The table keeps signatures with their cluster; candidates are the stored
+    items discovered within the window before the newest item of the batch.
+    """
+
+    def step(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
+        if stored is None:
+            found = cluster_items(batch, rules=rules)
+            return batch.join(found, "item_id")
+        newest = batch.agg(F.max("discovered_at").alias("_newest")).withColumn("_one", F.lit(1))
+        recent = (
+            stored.withColumn("_one", F.lit(1))
+            .join(newest, "_one")
+            .filter(
+                F.unix_micros("discovered_at")
+                >= F.unix_micros("_newest") - F.lit(CANDIDATE_SECONDS * 1_000_000)
+            )
+        )
+        found = cluster_items(
+            batch,
+            stored=recent.select(*batch.columns),
+            stored_membership=stored.select("item_id", "cluster_key"),
+            stored_clusters=stored.select("cluster_key"),
+            rules=rules,
+        )
+        return stored.unionByName(batch.join(found, "item_id"))
+
+    return _versioned(signatures, table_path, checkpoint, step)
