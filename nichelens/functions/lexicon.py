@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from nichelens.functions.normalize import let
+
 # Relevance terms and their weights.
 RELEVANCE_POSITIVE = {
     "chatgpt": 14, "claude": 14, "gemini": 14, "copilot": 14, "perplexity": 10,
@@ -76,22 +78,36 @@ def _clamp(value: Column) -> Column:
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), value)), 2)
 
 
-def relevance(normalized: Column, lexicon: Lexicon) -> Column:
-    """``struct(value, matched, penalised)``."""
-    plus = matched_terms(normalized, lexicon.positive)
-    minus = matched_terms(normalized, lexicon.negative)
-    value = (
-        F.lit(lexicon.relevance_base)
-        + F.least(total_weight(plus), F.lit(lexicon.max_positive))
-        - F.least(total_weight(minus), F.lit(lexicon.max_negative))
-    )
+def _sum_and_terms(matched: Column) -> Column:
     return F.struct(
-        _clamp(value).alias("value"),
-        F.transform(plus, lambda x: x["term"]).alias("matched"),
-        F.transform(minus, lambda x: x["term"]).alias("penalised"),
+        total_weight(matched).alias("total"), F.transform(matched, lambda x: x["term"]).alias("terms")
     )
 
 
+def _scan(normalized: Column, terms: dict[str, float]) -> Column:
+    """``struct(total, terms)``: the text is searched once."""
+    return let(matched_terms(normalized, terms), _sum_and_terms)
+
+
+def relevance(normalized: Column, lexicon: Lexicon) -> Column:
+    """``struct(value, matched, penalised)``."""
+
+    def judged(found: Column) -> Column:
+        value = (
+            F.lit(lexicon.relevance_base)
+            + F.least(found["plus"]["total"], F.lit(lexicon.max_positive))
+            - F.least(found["minus"]["total"], F.lit(lexicon.max_negative))
+        )
+        return F.struct(
+            _clamp(value).alias("value"),
+            found["plus"]["terms"].alias("matched"),
+            found["minus"]["terms"].alias("penalised"),
+        )
+
+    plus, minus = _scan(normalized, lexicon.positive), _scan(normalized, lexicon.negative)
+    return let(F.struct(plus.alias("plus"), minus.alias("minus")), judged)
+
+
 def practical_value(
     normalized_title: Column,
     normalized_summary: Column,
@@ -100,19 +116,19 @@ def practical_value(
     lexicon: Lexicon,
 ) -> Column:
     """``struct(value, matched)``: the title counts in full, the body at half weight."""
-    title = matched_terms(normalized_title, lexicon.patterns)
-    body = matched_terms(normalized_summary, lexicon.patterns)
     bonus = F.lit(0.0)
     for event, points in lexicon.event_bonus.items():
         bonus = F.when(event_type == event, F.lit(float(points))).otherwise(bonus)
-    total = (
-        total_weight(title)
-        + total_weight(body) * 0.5
-        + bonus
-        + F.when(has_version, F.lit(lexicon.version_bonus)).otherwise(F.lit(0.0))
-    )
-    value = F.lit(lexicon.practical_base) + F.least(total, F.lit(lexicon.max_bonus))
-    names = F.array_union(
-        F.transform(title, lambda x: x["term"]), F.transform(body, lambda x: x["term"])
-    )
-    return F.struct(_clamp(value).alias("value"), names.alias("matched"))
+    extra = bonus + F.when(has_version, F.lit(lexicon.version_bonus)).otherwise(F.lit(0.0))
+
+    def judged(found: Column) -> Column:
+        total = found["title"]["total"] + found["body"]["total"] * 0.5 + extra
+        value = F.lit(lexicon.practical_base) + F.least(total, F.lit(lexicon.max_bonus))
+        return F.struct(
+            _clamp(value).alias("value"),
+            F.array_union(found["title"]["terms"], found["body"]["terms"]).alias("matched"),
+        )
+
+    title = _scan(normalized_title, lexicon.patterns)
+    body = _scan(normalized_summary, lexicon.patterns)
+    return let(F.struct(title.alias("title"), body.alias("body")), judged)

@@ -45,10 +45,16 @@ TRANSLITERATION = {
     "х": "h", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "sch", "ъ": "", "ы": "y",
     "ь": "", "э": "e", "ю": "yu", "я": "ya",
 }
-DATE_PATTERNS = ("d.M.yyyy", "d/M/yyyy", "yyyy/M/d", "d-M-yyyy")
+DATE_PATTERNS = {
+    "d.M.yyyy": r"^\d{1,2}\.\d{1,2}\.\d{4}$",
+    "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
+    "d-M-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
+}
 
-# Java's plain \s knows ASCII only; the separators 1C-1F count as space too.
-WS = r"(?U)[\s\x1c-\x1f]"
+# Every Unicode space by code point: Java's \s knows ASCII only, and its Unicode
+# mode is several times slower than an explicit class.
+WS = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
 NUMBER_TYPE = "decimal(27,9)"
 
 
@@ -252,8 +258,11 @@ def parse_date(c: Column) -> Column:
             F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd"),
         ).when(text.rlike(r"^\d{8}$"), F.try_to_date(text, "yyyyMMdd"))
         loose = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(text, "yyyy-M-d"))
-        separated = text.rlike(r"^\d{1,4}([./-])\d{1,2}\1\d{1,4}$")
-        full = [F.when(separated, F.try_to_date(text, pattern)) for pattern in DATE_PATTERNS]
+        # A failed parse costs an exception, so only the fitting pattern is tried.
+        full = [
+            F.when(text.rlike(shape), F.try_to_date(text, pattern))
+            for pattern, shape in DATE_PATTERNS.items()
+        ]
         short = F.when(
             text.rlike(r"^\d{1,2}\.\d{1,2}\.\d{2}$"), F.try_to_date(text, "d.M.yy")
         )

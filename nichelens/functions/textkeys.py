@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from nichelens.functions.normalize import WS, blank_to_null, let, strip_ws
+from nichelens.functions.normalize import blank_to_null, let, strip_ws
 
 # Query parameters that name a campaign, not a page.
 TRACKING_PARAMS = (
@@ -41,30 +42,42 @@ STOPWORDS = (
 WORD = "[0-9a-zıа-яё]+"
 MIN_TOKENS = 5
 
-# Any character outside these ranges may change under NFKC; text made only of
-# them is already normal, so it never leaves the JVM.
+# Characters beyond ASCII that NFKC leaves alone; text made only of these and
+# ASCII is already normal and never leaves the JVM.
 NFKC_STABLE = (
-    r"\x00-\x7F¡-§©«¬®°±¶·»¿"
+    r"¡-§©«¬®°±¶·»¿"
     r"À-ıĴ-ľŁ-ňŊ-žЀ-҂Ҋ-ԯ"
     r"‐‒-―‘-„†-•€"
 )
+_WS_RUN = re.compile(r"\s+")
+
+
+def _nfkc_fold(value: str) -> str:
+    return _WS_RUN.sub(" ", unicodedata.normalize("NFKC", value))
 
 
 @F.pandas_udf(StringType())
 def _nfkc_batch(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+    return texts.map(_nfkc_fold, na_action="ignore")
 
 
 def nfkc(c: Column) -> Column:
-    """NFKC form. Spark has no built-in, so unstable texts (only) go through Arrow."""
-    unstable = c.rlike(f"[^{NFKC_STABLE}]")
-    return F.when(unstable, _nfkc_batch(F.when(unstable, c))).otherwise(c)
+    """NFKC form, with unusual spaces already plain.
+
+    Spark has no built-in, so texts with an unstable character (only) go
+    through Arrow. ASCII is passed over with one comparison per character.
+    """
+    unstable = c.rlike(f"[^\\x00-\\x7F](?<![{NFKC_STABLE}])")
+    return F.coalesce(_nfkc_batch(F.when(unstable, c)), c)
+
+
+# After NFKC only ASCII spaces are left; single blanks need no replacement.
+_SPACE_RUN = r"[\t-\r\x1c-\x1f][\t-\r\x1c-\x20]*|\x20[\t-\r\x1c-\x20]+"
 
 
 def fold_text(c: Column) -> Column:
-    """Lower-case with single spaces, for text that is already in NFKC."""
-    folded = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), f"{WS}+", " ")
-    return F.trim(folded)
+    """Lower-case with single spaces, for text that went through :func:`nfkc`."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), _SPACE_RUN, " "))
 
 
 def normalize_text(c: Column) -> Column:

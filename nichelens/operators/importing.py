@@ -20,6 +20,7 @@ from nichelens.functions.normalize import (
     parse_percent,
     slugify,
 )
+from nichelens.session import literal_table, materialize
 from nichelens.vocab import COMPLETED_IMPORTS
 
 # Accepted headers per field; a tuple adds (scale, percent points, currency).
@@ -74,8 +75,11 @@ def alias_table(spark, aliases: dict | None = None) -> DataFrame:
                 entry if isinstance(entry, tuple) else (entry, 1, False, None)
             )
             rows.append((header, field, int(scale), bool(points), currency))
-    schema = "header string, field string, scale int, percent_points boolean, currency string"
-    table = spark.createDataFrame(rows, schema).withColumn(
+    schema = {
+        "header": "string", "field": "string", "scale": "int", "percent_points": "boolean",
+        "currency": "string",
+    }
+    table = literal_table(spark, rows, schema).withColumn(
         "alias", normalize_header(F.col("header"))
     )
     return table.drop("header").dropDuplicates(["alias", "field"])
@@ -165,6 +169,21 @@ def raw_map(headers: Column, cells: Column) -> Column:
     return F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))
 
 
+# Profiles of a few kilobytes per file: at most some tens of megabytes in memory.
+BROADCAST_FILES = 10_000
+
+
+def _small(profile: DataFrame) -> DataFrame:
+    """The per-file table, broadcast when there are few files, else joined as it is.
+
+    Without this a short export may itself be taken for the small side, and all
+    parsing would follow the handful of profile rows into one task.
+    """
+    stored = materialize(profile, "import-profile")
+    few = stored.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES
+    return F.broadcast(stored) if few else stored
+
+
 def normalize_rows(rows: DataFrame, profile: DataFrame, default_date: str | Column) -> DataFrame:
     """Typed, validated form of ``rows(import_id, row_number, cells array<string>)``.
 
@@ -172,7 +191,7 @@ def normalize_rows(rows: DataFrame, profile: DataFrame, default_date: str | Colu
     itself: NULL plus a warning. Everything is one projection over a join with
     the per-file profile.
     """
-    joined = rows.join(profile, "import_id")
+    joined = rows.join(_small(profile), "import_id")
     fallback = default_date if isinstance(default_date, Column) else F.lit(default_date).cast("date")
 
     def cell(field: str) -> Column:

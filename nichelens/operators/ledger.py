@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nichelens.session import literal_table
+
 # USD per million tokens (input, output).
 MODEL_PRICES = {
     "claude-haiku-4-5": ("1.00", "5.00"),
@@ -20,11 +22,12 @@ DAILY_REQUEST_QUOTA = 20
 
 def price_table(spark, prices: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     rows = [(m, i, o) for m, (i, o) in (prices or MODEL_PRICES).items()]
-    return spark.createDataFrame(rows, "model string, input string, output string").select(
-        "model",
-        F.col("input").cast("decimal(10,4)").alias("input_per_mtok"),
-        F.col("output").cast("decimal(10,4)").alias("output_per_mtok"),
-    )
+    schema = {
+        "model": "string",
+        "input_per_mtok": "decimal(10,4)",
+        "output_per_mtok": "decimal(10,4)",
+    }
+    return literal_table(spark, rows, schema)
 
 
 def estimate_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:

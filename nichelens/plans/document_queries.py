@@ -509,6 +509,11 @@ def clustered(spark: SparkSession, sf_dir: str) -> Clustered:
     return _RUNS[key]
 
 
+def forget_runs() -> None:
+    """Drop the remembered tables, so that the next query clusters anew."""
+    _RUNS.clear()
+
+
 CLU = d.CLUSTER_VIEWS
 
 

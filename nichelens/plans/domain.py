@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from nichelens.functions.entities import EntityRules
 from nichelens.functions.lexicon import Lexicon
+from nichelens.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -237,7 +238,7 @@ NOW = "2024-01-09 00:00:00"
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as research items, ten minutes apart; whole texts."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url")
     return (
         docs.join(pages, "doc_id", "left")

@@ -15,14 +15,14 @@ from nichelens.functions import normalize as nrm
 from nichelens.operators import importing as imp
 from nichelens.plans import domain as d
 from nichelens.plans.registry import query, text
-from nichelens.session import shared_folder
+from nichelens.session import shared_folder, spread
 from nichelens.sources import exports, payloads, sinks
 
 NBSP = " "
 
 
 def orders(spark, sf_dir) -> DataFrame:
-    return d.table(spark, sf_dir, "orders").selectExpr(
+    return spread(d.table(spark, sf_dir, "orders")).selectExpr(
         "o_orderkey AS k",
         "o_custkey AS c",
         "cast(floor(o_totalprice) AS bigint) AS n",

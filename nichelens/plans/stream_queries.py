@@ -51,10 +51,10 @@ def _landed(df: DataFrame, label: str, turn: Column, batches: int) -> DataFrame:
     "stream_spend",
     esql(
         "v_calls v_units",
-        """SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, model,
-            CAST(sum(micros) AS BIGINT) AS micros, count(*) AS calls, sum(micros) >= 2000000 AS over_limit
-            FROM v_units GROUP BY 1, 2 HAVING CAST(CAST(created_at AS DATE) + 1 AS TIMESTAMP)
-                <= (SELECT max(created_at) - INTERVAL 1 HOUR FROM v_units)""",
+        """SELECT CAST(day AS VARCHAR) AS day, model, CAST(sum(micros) AS BIGINT) AS micros,
+            count(*) AS calls, sum(micros) >= 2000000 AS over_limit
+            FROM (SELECT *, CAST(created_at AS DATE) AS day FROM v_units) GROUP BY day, model
+            HAVING CAST(day + 1 AS TIMESTAMP) <= (SELECT max(created_at) - INTERVAL 1 HOUR FROM v_units)""",
     ),
 )
 def stream_spend(spark, sf_dir):
