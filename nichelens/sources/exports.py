@@ -30,6 +30,15 @@ def sha256_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _without_return(line: Column) -> Column:
+    """Drop a final carriage return bytewise: the line may not be valid UTF-8."""
+    size = F.octet_length(line)
+    last = F.substring(line, size, F.lit(1))
+    return F.when(last == F.lit(bytearray(b"\r")), F.substring(line, F.lit(1), size - 1)).otherwise(
+        line
+    )
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(file, line_no, bytes)``: raw lines with 1-based numbers per file.
 
@@ -40,7 +49,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("turn"),
-        F.regexp_replace("value", "\r$", "").cast("binary").alias("bytes"),
+        _without_return(F.col("value").cast("binary")).alias("bytes"),
     )
     lines = materialize(raw, "export-lines")
     blocks = (
