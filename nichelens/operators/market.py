@@ -227,11 +227,11 @@ def dataset_summary(
 
 
 def one_row(*singles: DataFrame) -> DataFrame:
-    """Glue single-row aggregates side by side through an equality on a constant."""
-    first, *rest = [s.withColumn("_one", F.lit(1)) for s in singles]
+    """Single-row aggregates side by side: stacked, then folded into one row."""
+    stacked, *rest = singles
     for other in rest:
-        first = first.join(other, "_one")
-    return first.drop("_one")
+        stacked = stacked.unionByName(other, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for single in singles for c in single.columns])
 
 
 def platform_counts(channels: DataFrame, platform: str | None = None) -> DataFrame:

@@ -217,20 +217,15 @@ def persistable_run(
 
     platform = F.when(F.col("scope") != "ALL", F.col("scope"))
     facts = dataset.select(F.to_json(F.struct(*dataset.columns)).alias("dataset"))
-    runs = (
-        run_summary(scores, rules)
-        .withColumn("_one", F.lit(1))
-        .join(facts.withColumn("_one", F.lit(1)), "_one")
-        .select(
-            run_id(F.col("scope")).alias("run_id"),
-            F.lit(rules.version).alias("score_version"),
-            platform.alias("platform"),
-            "niches_scored",
-            "niches_skipped",
-            "low_confidence",
-            "dataset",
-            moment.alias("created_at"),
-        )
+    runs = run_summary(scores, rules).select(
+        run_id(F.col("scope")).alias("run_id"),
+        F.lit(rules.version).alias("score_version"),
+        platform.alias("platform"),
+        "niches_scored",
+        "niches_skipped",
+        "low_confidence",
+        facts.scalar().alias("dataset"),
+        moment.alias("created_at"),
     )
     rows = scores.select(
         run_id(F.col("scope")).alias("run_id"),

@@ -186,10 +186,9 @@ def breaking_candidates(
         .filter(F.col("topic_score") >= rules.breaking_min_score)
         .filter(_age_seconds(now) <= rules.breaking_max_age_minutes * 60)
         .filter(confirmed)
-        .withColumn("_one", F.lit(1))
     )
-    gate = breaking_gate(publications, now, rules).filter("gate_open").select(F.lit(1).alias("_one"))
-    return top(fit.join(gate, "_one").drop("_one"), None, pool)
+    gate = breaking_gate(publications, now, rules).select("gate_open")
+    return top(fit.filter(gate.scalar()), None, pool)
 
 
 def slot_action(

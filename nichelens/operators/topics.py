@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from nichelens.functions.lexicon import Lexicon, practical_value, relevance
 from nichelens.functions.textkeys import fold_text, nfkc
 from nichelens.functions.weighted import renormalized_mean, round_percent
+from nichelens.operators.market import one_row
 from nichelens.vocab import RESCORABLE_STATUSES, TRUST_AUTHORITY
 
 # Components, labels, weights, half-lives, thresholds.
@@ -302,9 +303,8 @@ def score_counters(scored: DataFrame, expired: DataFrame) -> DataFrame:
         F.count_if(F.col("decision") == "FILTERED").alias("filtered"),
         F.coalesce(used("llm"), F.lit(False)).alias("llm_used"),
         F.coalesce(used("lexicon"), F.lit(False)).alias("lexicon_used"),
-    ).withColumn("_one", F.lit(1))
-    gone = expired.agg(F.count("*").alias("expired")).withColumn("_one", F.lit(1))
-    return counts.join(gone, "_one").drop("_one")
+    )
+    return one_row(counts, expired.agg(F.count("*").alias("expired")))
 
 
 def unavailable_components(scored: DataFrame) -> DataFrame:

@@ -136,15 +136,8 @@ def slots_for_days(spark, sf_dir):
 def upcoming_slots(spark, sf_dir):
     """Slots of the calendar that are not over at the middle of the recorded time."""
     events = d.table(spark, sf_dir, "events")
-    middle = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select(
-        F.expr("a + (b - a) / 2").alias("now"), F.lit(1).alias("_one")
-    )
-    return _slot_out(
-        slot_table(spark, sf_dir)
-        .withColumn("_one", F.lit(1))
-        .join(middle, "_one")
-        .filter(F.col("ends_at") > F.col("now"))
-    )
+    middle = events.agg(F.expr("min(ts) + (max(ts) - min(ts)) / 2"))
+    return _slot_out(slot_table(spark, sf_dir).filter(F.col("ends_at") > middle.scalar()))
 
 
 @query(

@@ -129,14 +129,10 @@ def stream_clusters(
         if stored is None:
             found = cluster_items(batch, rules=rules)
             return batch.join(found, "item_id")
-        newest = batch.agg(F.max("discovered_at").alias("_newest")).withColumn("_one", F.lit(1))
-        recent = (
-            stored.withColumn("_one", F.lit(1))
-            .join(newest, "_one")
-            .filter(
-                F.unix_micros("discovered_at")
-                >= F.unix_micros("_newest") - F.lit(CANDIDATE_SECONDS * 1_000_000)
-            )
+        newest = batch.agg(F.unix_micros(F.max("discovered_at")))
+        recent = stored.filter(
+            F.unix_micros("discovered_at")
+            >= newest.scalar() - F.lit(CANDIDATE_SECONDS * 1_000_000)
         )
         found = cluster_items(
             batch,
