@@ -1137,7 +1137,47 @@ def draft_table(spark, sf_dir):
     )
 
 
-@query("text_quality_gate")
+def _cut_sql(minimum: int, maximum: int) -> str:
+    """Cut at the last sentence end within the limit, else at the limit with an ellipsis."""
+    head = f"substr(body, 1, {maximum})"
+    end = f"regexp_extract({head}, '(?s)^(.*[.!?])', 1)"
+    return rf"""CASE WHEN length(body) < {minimum} THEN NULL WHEN length(body) <= {maximum} THEN body
+        WHEN length({end}) > {minimum} + 1 THEN {end}
+        ELSE regexp_replace({head}, '\s+$', '') || '…' END"""
+
+
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_LINE = r"trim(regexp_replace(trim(trim({0}, chr(34)), '`'), '\s+', ' ', 'g'))".replace(
+    "{0}", _STRIP
+)
+GATE_SQL = r"""WITH src AS (SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS text_id,
+        CASE WHEN role = 'user' THEN 'news' ELSE 'own' END AS kind, split_part(text, '.', 1) AS title,
+        split_part(text, chr(10), 1) AS action, regexp_replace(trim(regexp_replace(text, '^\s+|\s+$', '',
+            'g'), '`'), '^\s+|\s+$', '', 'g') AS bare FROM conversations),
+    opened AS (SELECT *, CASE WHEN bare LIKE '"%"' THEN regexp_replace(substr(bare, 2, length(bare) - 2),
+            '^\s+|\s+$', '', 'g') ELSE bare END AS t,
+        regexp_replace(regexp_replace(title, '^\s+|\s+$', '', 'g'), '\.+$', '') AS head FROM src),
+    rest AS (SELECT *, CASE WHEN kind = 'news' AND head <> '' AND starts_with(lower(t), lower(head))
+        THEN regexp_replace(substr(t, length(head) + 1), '^[ .:—\-\n]+', '') ELSE t END AS u FROM opened),
+    lines AS (SELECT *, regexp_replace(array_to_string(list_filter(list_transform(string_split(u, chr(10)),
+        lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: kind = 'own' OR x <> ''), chr(10)),
+        '^\s+|\s+$', '', 'g') AS body FROM rest),
+    heads AS (SELECT *, regexp_replace({headline}, '\.+$', '') AS h, {action} AS a FROM lines)
+    SELECT text_id, kind, CASE kind WHEN 'news' THEN {news} ELSE {own} END AS text,
+        length(body) >= CASE kind WHEN 'news' THEN 80 ELSE 250 END AS accepted,
+        CASE WHEN h <> '' AND length(h) <= 110 THEN h END AS headline,
+        CASE WHEN a <> '' AND length(a) <= 220 AND NOT starts_with(a, 'http') AND contains(a, ' ') THEN a END
+            AS action FROM heads"""
+for _name, _sql in {
+    "headline": _LINE.format("title"),
+    "action": _LINE.format("action"),
+    "news": _cut_sql(80, 700),
+    "own": _cut_sql(250, 1800),
+}.items():
+    GATE_SQL = GATE_SQL.replace("{" + _name + "}", _sql)
+
+
+@query("text_quality_gate", GATE_SQL)
 def text_quality_gate(spark, sf_dir):
     """Conversation turns as generated texts: user turns as news, answers as own posts."""
     texts = d.table(spark, sf_dir, "conversations").selectExpr(
@@ -1148,7 +1188,7 @@ def text_quality_gate(spark, sf_dir):
         "text AS analysis",
         "substring_index(text, '\\n', 1) AS action",
     )
-    return cnt.text_quality_gate(texts)
+    return cnt.text_quality_gate(texts).drop("reason")
 
 
 @query(
