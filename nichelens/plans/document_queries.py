@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nichelens.functions import entities as ent
@@ -127,8 +127,6 @@ def simhash64(spark, sf_dir):
 )
 def hamming_distance(spark, sf_dir):
     """Distance of every item to the previous one of its source."""
-    from pyspark.sql import Window
-
     items = d.items(spark, sf_dir).select("item_id", "source_key", "discovered_at")
     hashed = simhash64(spark, sf_dir).join(items, "item_id")
     before = F.lag("simhash").over(
