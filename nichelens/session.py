@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +41,26 @@ def build_session(
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per session, so that its Python functions load there.
+
+    Spark's file server delivers the archive; nothing has to be installed on the workers.
+    """
+    context = spark.sparkContext
+    root = os.path.dirname(os.path.abspath(__file__))
+    if any(os.path.basename(f).startswith("nichelens-code-") for f in context.listFiles):
+        return
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="spark-"))
+    archive = os.path.join(folder, f"nichelens-code-{uuid.uuid4().hex}.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for where, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(where, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
