@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ def slices(batches, limit: int = 4 << 20, column: int | str = "text"):
         if not batch.num_rows:
             continue
         lengths = np.asarray(
-            pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64
+            pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64
         )
         group = np.cumsum(lengths) // limit
         starts = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [batch.num_rows]))
