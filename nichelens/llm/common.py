@@ -92,3 +92,18 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             break
     roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+_SEPARATORS = "".join(chr(c) for c in range(128) if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122))
+_SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def word_list(text: Column) -> Column:
+    """Words of a text as JVM expressions: separators cut, A-Z lower-cased; null and blank texts have none.
+
+    ``lower`` also folds other letters, which changes no word boundary; the one sign that it would turn
+    into an ASCII letter (the kelvin sign) is replaced before.
+    """
+    folded = F.lower(F.replace(text, F.lit("K"), F.lit("�")))
+    trimmed = F.btrim(F.coalesce(folded, F.lit("")), F.lit(_SEPARATORS))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _SPLIT))

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from nichelens.llm import bpe, decontam
-from nichelens.llm.common import table
+from nichelens.llm import bpe, decontam, langid, licenses, simhash
+from nichelens.llm.common import held_out, table
 
 #: Where the vocabulary lies; another file of ranks may be given.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -21,12 +22,30 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(ids, RANKS, PATTERN))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, its edited text and the next document, compared."""
+    return simhash.compare_edits(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside a window of a benchmark item."""
     found = decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontam.report(found)
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two thirds of them."""
+    docs = table(spark, sf_dir, "documents")
+    net = langid.fit(docs.where(~held_out(F.col("doc_id"), 3, 1)))
+    found = langid.predict(docs, net)
+    return found.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")
+
+
 _WORDS_SQL = r"""
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
@@ -56,7 +75,10 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op5_licenses": op5_licenses,
+    "op8_fingerprints": op8_fingerprints,
     "op9_decontamination": op9_decontamination,
+    "op10_language": op10_language,
 }
 
 #: SQL for the queries that SQL can express.
