@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nichelens.llm import bpe, decontam, langid, licenses, simhash
+from nichelens.llm import bpe, decontam, langid, licenses, neardup, simhash
 from nichelens.llm.common import held_out, table
 
 #: Where the vocabulary lies; another file of ranks may be given.
@@ -22,6 +22,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(ids, RANKS, PATTERN))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near duplicates of every document; one of each class is kept."""
+    found = neardup.classes(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and notices of every document."""
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
@@ -75,6 +81,7 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_licenses": op5_licenses,
     "op8_fingerprints": op8_fingerprints,
     "op9_decontamination": op9_decontamination,
