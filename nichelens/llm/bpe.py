@@ -18,6 +18,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,8 +57,9 @@ class Ranks:
                     keys.append(left << 32 | right)
                     values.append(rank)
         self._build(np.array(keys, dtype=np.uint64), np.array(values, dtype=np.int32))
-        self.memory: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        # Ids of pieces and of blank-led words met so far, as packed 32-bit numbers.
+        self.memory: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def _build(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Open addressing with linear probing, all keys placed in vectorised rounds."""
@@ -101,8 +103,8 @@ class Ranks:
             open_ = tuple(x[more] for x in open_)
         return found
 
-    def merge_matrix(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of pieces of similar length (two bytes or more)."""
+    def merge_matrix(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids, as packed 32-bit numbers, of pieces of similar length (two bytes or more)."""
         count, width = len(pieces), max(map(len, pieces))
         size = np.array([len(p) for p in pieces])
         ids = np.full((count, width), -1, dtype=np.int32)
@@ -110,15 +112,16 @@ class Ranks:
         ids[inside] = self.single[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
         ranks = self.pair_rank(ids[:, :-1], ids[:, 1:])
         ranks[~inside[:, 1:]] = _NONE
-        out: list[tuple[int, ...]] = [()] * count
+        out = [b""] * count
         row = np.arange(count)
         while len(row):
             best = ranks.argmin(axis=1)  # the leftmost of equals
             rank = np.take_along_axis(ranks, best[:, None], 1)[:, 0]
             done = rank == _NONE
             if done.any():
-                for r, line, n in zip(row[done].tolist(), ids[done].tolist(), size[done].tolist(), strict=True):
-                    out[r] = tuple(line[:n])
+                lines, step = ids[done].tobytes(), 4 * ids.shape[1]
+                for i, (r, n) in enumerate(zip(row[done].tolist(), size[done].tolist(), strict=True)):
+                    out[r] = lines[i * step : i * step + 4 * n]
                 keep = ~done
                 row, ids, ranks, size, best, rank = (x[keep] for x in (row, ids, ranks, size, best, rank))
                 if not len(row):
@@ -143,7 +146,7 @@ class Ranks:
             ranks[last, np.minimum(best[last], width - 2)] = _NONE
         return out
 
-    def merge_long(self, piece: bytes) -> tuple[int, ...]:
+    def merge_long(self, piece: bytes) -> bytes:
         """The same merges for one long piece, by a heap of pairs over a linked list."""
         part = [self.rank[bytes([c])] for c in piece]
         last = len(part)
@@ -168,7 +171,7 @@ class Ranks:
             for side in (i, before[i]):
                 if side >= 0 and (new := pair(side)) is not None:
                     heapq.heappush(heap, (new, side))
-        return tuple(x for x in part if x >= 0)
+        return np.array([x for x in part if x >= 0], dtype="<i4").tobytes()
 
     def learn(self, pieces: set[str]) -> None:
         """Encode the pieces that the memory does not hold yet."""
@@ -181,7 +184,7 @@ class Ranks:
             raw = piece.encode()
             whole = self.rank.get(raw)
             if whole is not None:
-                self.memory[piece] = (whole,)
+                self.memory[piece] = whole.to_bytes(4, "little")
             elif len(raw) > MATRIX_BYTES:
                 self.memory[piece] = self.merge_long(raw)
             else:
@@ -194,8 +197,8 @@ class Ranks:
                     zip((p for p, _ in part), self.merge_matrix([r for _, r in part]), strict=True)
                 )
 
-    def encode(self, texts: list[str], pattern: regex.Pattern) -> list[list[int]]:
-        """Ids of whole texts.
+    def encode(self, texts: list[str], pattern: regex.Pattern) -> list[bytes]:
+        """Ids of whole texts, packed.
 
         A blank before a character that is no white space always begins a match of the pattern, so a
         text may be cut there; what stands between two such blanks is looked up as one string.
@@ -211,10 +214,9 @@ class Ranks:
         self.learn(set(chain.from_iterable(p for _, p in spaced)).union(*first))
         memory = self.memory
         for word, pieces in spaced:
-            seen[word] = tuple(chain.from_iterable([memory[p] for p in pieces]))
+            seen[word] = b"".join([memory[p] for p in pieces])
         return [
-            list(chain(chain.from_iterable([memory[p] for p in head]), chain.from_iterable([seen[w] for w in c[1:]])))
-            for head, c in zip(first, cut, strict=True)
+            b"".join([*[memory[p] for p in head], *[seen[w] for w in c[1:]]]) for head, c in zip(first, cut, strict=True)
         ]
 
 
@@ -239,8 +241,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         ranks, compiled = loaded(path, pattern)
         for part in slices(batches, 4 << 20):
             found = ranks.encode([t or "" for t in part.column("text").to_pylist()], compiled)
-            flat = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=sum(map(len, found)))
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+            flat = np.frombuffer(b"".join(found), dtype="<i4")
+            offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             yield pa.RecordBatch.from_arrays([part.column("id"), ids], names=["id", "ids"])
 
@@ -256,17 +258,20 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         ranks, _ = loaded(path, pattern)
         token, size = ranks.token, len(ranks.token)
 
-        def spell(ids) -> bytes:
-            if ids and (None in ids or min(ids) < 0 or max(ids) >= size):
-                ids = [i for i in ids if i is not None and 0 <= i < size]
-            return b"".join([token[i] for i in ids])
+        def spell(ids: np.ndarray) -> bytes:
+            if len(ids) and (ids.min() < 0 or ids.max() >= size):
+                ids = ids[(ids >= 0) & (ids < size)]
+            return b"".join([token[i] for i in ids.tolist()])
 
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                texts = [spell(ids or ()) for ids in part.column("ids").to_pylist()]
+                lists = part.column("ids")
+                flat = np.asarray(pc.fill_null(lists.flatten(), -1))
+                ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
+                texts = [spell(x) for x in np.split(flat, ends[:-1])]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("ids"), pa.array(texts, pa.binary())], names=["id", "ids", "decoded"]
+                    [part.column("id"), lists, pa.array(texts, pa.binary())], names=["id", "ids", "decoded"]
                 )
 
     source = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
