@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nichelens.llm import bpe, decontam, langid, licenses, neardup, simhash
+from nichelens.llm import bpe, decontam, langid, licenses, neardup, repeats, simhash
 from nichelens.llm.common import held_out, table
 
 #: Where the vocabulary lies; another file of ranks may be given.
@@ -33,6 +33,41 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of every document is left when strings of earlier documents are cut."""
+    left = repeats.remove(table(spark, sf_dir, "documents"))
+    return left.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
+# Two hexadecimal digits a byte, so that bytes can be taken and joined as text.
+OP7_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (
+    SELECT doc_id, s, substr(h, 2 * s + 1, 100) AS g
+    FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS s FROM d)),
+least_id AS (SELECT g, min(doc_id) AS low, max(doc_id) AS high FROM win GROUP BY g HAVING min(doc_id) < max(doc_id)),
+dup AS (SELECT doc_id, s FROM win JOIN least_id USING (g) WHERE doc_id > low),
+gone AS (
+    SELECT doc_id, s, e, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS span
+    FROM (SELECT doc_id, s, s + 50 AS e,
+                 CASE WHEN s > coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50, -1) THEN 1 ELSE 0 END AS fresh
+          FROM dup)),
+spans AS (SELECT doc_id, span, min(s) AS a, max(e) AS b FROM gone GROUP BY 1, 2),
+kept AS (
+    SELECT doc_id, string_agg(substr(h, 2 * from_ + 1, 2 * (to_ - from_)), '' ORDER BY from_) AS k
+    FROM (SELECT d.doc_id, h, 0 AS from_, coalesce(min(a), length(any_value(h)) // 2) AS to_
+          FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id, h
+          UNION ALL
+          SELECT doc_id, h, b, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a), length(h) // 2)
+          FROM spans JOIN d USING (doc_id))
+    GROUP BY 1),
+told AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY 1)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       coalesce(n_spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN told USING (doc_id)
+"""
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document, its edited text and the next document, compared."""
     return simhash.compare_edits(table(spark, sf_dir, "documents"))
@@ -83,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_licenses": op5_licenses,
+    "op7_repeats": op7_repeats,
     "op8_fingerprints": op8_fingerprints,
     "op9_decontamination": op9_decontamination,
     "op10_language": op10_language,
@@ -90,5 +126,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
+    "op7_repeats": OP7_SQL,
     "op9_decontamination": OP9_SQL,
 }
