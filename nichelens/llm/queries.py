@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nichelens.llm import bpe, decontam, langid, licenses, neardup, repeats, simhash
+from nichelens.llm import bpe, decontam, langid, licenses, lm, neardup, repeats, simhash
 from nichelens.llm.common import held_out, table
 
 #: Where the vocabulary lies; another file of ranks may be given.
@@ -16,6 +16,12 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document, learned from six sevenths of them."""
+    docs = table(spark, sf_dir, "documents")
+    return lm.scores(docs, held_out(F.col("doc_id"), 7, 2))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, decoded again; one row per row of documents."""
     ids = bpe.encode(table(spark, sf_dir, "documents"), RANKS, PATTERN)
@@ -115,6 +121,7 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_score": op1_lm_score,
     "op2_bpe": op2_bpe,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_licenses": op5_licenses,
