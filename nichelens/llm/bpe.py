@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nichelens.llm.common import slices
+from nichelens.llm.common import slices, with_id
 
 MATRIX_BYTES = 256
 #: Pieces remembered by a worker; when full, the memory starts anew.
@@ -247,8 +247,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([part.column("id"), ids], names=["id", "ids"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    kind = source.schema["id"].dataType
+    return source.mapInArrow(run, with_id(kind, "ids array<int>")).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -275,8 +275,8 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 )
 
     source = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
+    kind = source.schema["id"].dataType
+    return source.mapInArrow(run, with_id(kind, "ids array<int>, decoded binary")).withColumnRenamed("id", id_col)
 
 
 def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from nichelens.session import materialize, ship
 
@@ -35,6 +36,11 @@ def held_out(doc_id: Column, parts: int, rest: int) -> Column:
     return F.coalesce(bucket(doc_id, parts) == rest, F.lit(True))
 
 
+def with_id(kind: DataType, rest: str) -> StructType:
+    """Schema of a column ``id`` of the given type, followed by the columns of a DDL text."""
+    return StructType([StructField("id", kind), *StructType.fromDDL(rest).fields])
+
+
 def slices(batches, limit: int = 4 << 20, column: int | str = "text"):
     """Arrow batches cut so that the texts of one hold about ``limit`` bytes (one text may hold more)."""
     for batch in batches:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nichelens.llm.common import FOLD, slices, texts_of
+from nichelens.llm.common import FOLD, slices, texts_of, with_id
 
 BLOCK_WORDS = 200_000
 WINDOW = 10
@@ -86,8 +86,8 @@ def character_spans(raw: bytes, spans: list[tuple[int, int]]) -> list[dict[str,
 
 _MATCHERS: dict[str, Matcher] = {}
 
-_STATE = "id {kind}, text string, n_words long, hits array<struct<a:int,b:int>>, items array<string>"
-_RESULT = "id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
+_STATE = "text string, n_words long, hits array<struct<a:int,b:int>>, items array<string>"
+_RESULT = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str) -> list[list[tuple[str | None, bytes]]]:
@@ -118,7 +118,7 @@ def scan(
     blocks = _blocks(items, item_id_col, item_text_col)
     context = docs.sparkSession.sparkContext
     state = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = state.schema["id"].dataType.simpleString()
+    kind = state.schema["id"].dataType
     for number, block in enumerate(blocks):
         shared, first, last = context.broadcast(block), number == 0, number == len(blocks) - 1
         key = uuid.uuid4().hex
@@ -165,7 +165,7 @@ def scan(
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "n_words", "hits", "items"])
 
-        state = state.mapInArrow(run, (_RESULT if last else _STATE).format(kind=kind))
+        state = state.mapInArrow(run, with_id(kind, _RESULT if last else _STATE))
     return state.withColumnRenamed("id", id_col)
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nichelens.llm.common import LOWER, slices, texts_of
+from nichelens.llm.common import LOWER, slices, texts_of, with_id
 
 STEP = 64
 UNITS = 8
@@ -231,7 +231,7 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
     source = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters")
     )
-    kind = source.schema["id"].dataType.simpleString()
+    kind = source.schema["id"].dataType
 
     def run(batches):
         for part in slices(batches, 1 << 20):
@@ -245,4 +245,4 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
                 scores = np.where(letters, np.minimum(p.max(axis=1), 1.0), 0.0)
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(names), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"])
 
-    return source.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return source.mapInArrow(run, with_id(kind, "lang_pred string, score double")).withColumnRenamed("id", id_col)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nichelens.llm import bpe, decontam, langid, licenses, lm, neardup, repeats, simhash
+from nichelens.llm import bpe, decontam, langid, licenses, lm, neardup, repeats, simhash, tokencount, urlfilter
 from nichelens.llm.common import held_out, table
 
 #: Where the vocabulary lies; another file of ranks may be given.
@@ -28,6 +28,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(ids, RANKS, PATTERN))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document, a crossing token counted where it begins."""
+    return tokencount.count_lines(table(spark, sf_dir, "documents"), RANKS, PATTERN, rule="first")
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near duplicates of every document; one of each class is kept."""
     found = neardup.classes(table(spark, sf_dir, "documents"))
@@ -39,6 +44,11 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page: by rule, else by the links of its host."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of every document is left when strings of earlier documents are cut."""
     left = repeats.remove(table(spark, sf_dir, "documents"))
@@ -123,8 +133,10 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_bpe": op2_bpe,
+    "op3_token_counts": op3_token_counts,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_licenses": op5_licenses,
+    "op6_url_filter": op6_url_filter,
     "op7_repeats": op7_repeats,
     "op8_fingerprints": op8_fingerprints,
     "op9_decontamination": op9_decontamination,

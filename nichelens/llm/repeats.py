@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nichelens.llm.common import mix64, slices, texts_of
+from nichelens.llm.common import mix64, slices, texts_of, with_id
 from nichelens.llm.suffix_array import permuted_common_prefixes, suffix_array
 from nichelens.session import materialize
 
@@ -339,12 +339,19 @@ def find_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text
     return spans.mapInArrow(unite, "id long, spans array<struct<start:int,stop:int>>")
 
 
-def remove(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept binary) of every row: what is left after the cut."""
+def remove(
+    docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None,
+    whole_characters: bool = False,
+) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept binary) of every row: what is left after the cut.
+
+    ``row_col`` names what to return in place of the id, such as a struct of all columns. A cut may fall
+    within a character; with ``whole_characters`` what is left of its bytes goes too.
+    """
     found = find_repeats(docs, span, id_col, text_col).hint("shuffle_hash")
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("key"))
+    source = docs.select(F.col(row_col or id_col).alias("id"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("key"))
     joined = source.join(found.select(F.col("id").alias("key"), "spans"), "key", "left").select("id", "text", "spans")
-    kind = source.schema["id"].dataType.simpleString()
+    kind = source.schema["id"].dataType
 
     def cut(batches):
         for part in slices(batches):
@@ -356,6 +363,8 @@ def remove(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col:
                     at = s["stop"]
                 pieces.append(text[at:])
                 left = b"".join(pieces)
+                if whole_characters and spans:
+                    left = left.decode("utf-8", "ignore").encode()
                 sizes.append(len(text))
                 removed.append(len(text) - len(left))
                 counts.append(len(spans or ()))
@@ -365,4 +374,5 @@ def remove(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col:
                 names=["id", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    return joined.mapInArrow(cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("id", id_col)
+    cut_rows = joined.mapInArrow(cut, with_id(kind, "n_bytes long, n_removed long, n_spans long, kept binary"))
+    return cut_rows.withColumnRenamed("id", row_col or id_col)
