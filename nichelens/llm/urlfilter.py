@@ -2,9 +2,8 @@
 
 Trust flows along links from hosts with allowed pages, distrust against them from hosts with blocked
 pages: two personalised PageRanks over one table of host edges, in Spark joins and sums. Seeds are the
-numbers of pages that rules decided. A host is blocked when its distrust exceeds its trust and is
-``THRESHOLD`` times what its share of all pages would bring; other hosts, and urls without one, are
-allowed.
+numbers of pages that rules decided. A host is blocked when its distrust exceeds its trust and amounts
+to ``THRESHOLD`` blocked pages for each page it has; other hosts, and urls without one, are allowed.
 
 Edges are counted by pair of hosts before any join, so a page with many links, or a host with a third of
 all pages, adds up within its tasks. A round's ranks are written to the shared folder every few rounds.
@@ -25,7 +24,7 @@ from nichelens.session import materialize
 
 DAMPING = 0.85
 ROUNDS, WRITTEN_EVERY = 12, 4
-THRESHOLD = 4.0
+THRESHOLD = 0.5
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)<a\s(?:[^>]*\s)?href\s*=\s*["']?([^"'\s>]+)"""
 
@@ -86,7 +85,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
 def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """(host, trust, distrust) from seeds (host, good, bad): both ranks after the given rounds.
 
-    Ranks are in shares of all seeds; without edges they are the seeds themselves.
+    Ranks are in shares of all seeds; without edges each host keeps its seed's part.
     """
     total = seeds.agg(F.sum("good"), F.sum("bad")).first()
     start = seeds.select(
@@ -96,7 +95,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping:
     )
     edges = materialize(edges, "host-edges")
     if edges.isEmpty():
-        return start.select("host", F.col("trust_seed").alias("trust"), F.col("distrust_seed").alias("distrust"))
+        return start.select("host", *[((1 - damping) * F.col(f"{x}_seed")).alias(x) for x in ("trust", "distrust")])
     out = edges.groupBy("source").agg(F.sum("links").alias("out"))
     into = edges.groupBy("target").agg(F.sum("links").alias("into"))
     # Along a link flows trust, a share of what its source links to; against it distrust, likewise.
@@ -129,10 +128,10 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "page_i
         F.count_if(F.col("verdict") == "allow").alias("good"), F.count_if(F.col("verdict") == "block").alias("bad"), F.count("*").alias("pages")
     )
     by_host = materialize(by_host, "hosts")
-    everything = by_host.agg(F.sum("pages")).first()[0] or 1
+    blocked = float(by_host.agg(F.sum("bad")).first()[0] or 0)
     ranks = propagate(by_host, host_edges(pages.select(host.alias("host"), F.col(html_col).alias("html"))))
     ranks = ranks.join(by_host.select("host", "pages"), "host")
-    bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= THRESHOLD * F.col("pages") / float(everything))
+    bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") * blocked >= THRESHOLD * (1 - DAMPING) * F.col("pages"))
     hosts = ranks.select("host", "trust", "distrust", F.when(bad, "block").otherwise("allow").alias("by_links"))
     return decided.join(hosts, "host", "left").select(
         F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", "by_links", F.lit("allow")).alias("verdict"),
