@@ -735,29 +735,20 @@ def match_statistics(members: DataFrame) -> DataFrame:
 
 
 def similar_to_published(
-    clusters: DataFrame, published: DataFrame, max_distance: int = 12, inline_limit: int = 20_000
+    clusters: DataFrame, published: DataFrame, max_distance: int = 12
 ) -> DataFrame:
     """Flag clusters whose wording is close to something already published.
 
-    The archive grows by a handful of posts a day, so its distinct values are
-    normally few: then they become a constant and the check is a map-side
-    expression. A larger archive is matched through bands instead.
+    Distinct values of both sides meet in bands, and only close ones come out;
+    they are folded to one flag a value. A cluster without a value is not close.
     """
     values = published.select("simhash").filter(F.col("simhash").isNotNull()).distinct()
-    head = [row[0] for row in values.limit(inline_limit + 1).collect()]
-    if len(head) <= inline_limit:
-        listed = ",".join(map(str, head))
-        archive = F.split(F.lit(listed), ",").cast("array<bigint>") if head else F.array().cast("array<bigint>")
-        close = F.exists(
-            archive, lambda v: F.bit_count(v.bitwiseXOR(F.col("simhash"))) <= max_distance
-        )
-        return clusters.withColumn("similar_to_published", close)
     rules = ClusterRules(max_distance=max_distance)
-    asking = clusters.select(F.lit(0).cast("bigint").alias("bucket"), F.col("simhash").alias("value")).distinct()
-    archive = values.select(F.lit(0).cast("bigint").alias("bucket"), F.col("simhash").alias("value"))
+    bucket = F.lit(0).cast("bigint").alias("bucket")
+    asking = clusters.filter(F.col("simhash").isNotNull()).select(bucket, F.col("simhash").alias("value")).distinct()
+    archive = values.select(bucket, F.col("simhash").alias("value"))
     near = similar_values(asking, archive, rules, levels=2).select(F.col("value").alias("simhash"))
-    same = values.select("simhash")
-    flagged = near.union(same).distinct().withColumn("similar_to_published", F.lit(True))
+    flagged = near.union(values).distinct().withColumn("similar_to_published", F.lit(True))
     return clusters.join(flagged, "simhash", "left").withColumn(
         "similar_to_published", F.coalesce("similar_to_published", F.lit(False))
     )

@@ -75,8 +75,8 @@ def with_identity(raw: DataFrame) -> DataFrame:
     )
 
 
-def cap_per_source(raw: DataFrame, cap: int | None = 100) -> DataFrame:
-    """First ``cap`` items of a source in feed order (``arrival``)."""
+def cap_per_source(raw: DataFrame, cap: int | None = None) -> DataFrame:
+    """All items, or the first ``cap`` of a source in feed order (``arrival``)."""
     if cap is None:
         return raw
     order = Window.partitionBy("source_key").orderBy("arrival")
@@ -206,7 +206,7 @@ def source_health(sources: DataFrame, polls: DataFrame) -> DataFrame:
         F.when(polled, carried + F.col("p_failures"))
         .otherwise(F.coalesce("consecutive_failures", F.lit(0)))
         .alias("consecutive_failures"),
-        F.when(polled, F.substring("p_error", 1, 2000))
+        F.when(polled, F.col("p_error"))
         .otherwise(F.col("last_error"))
         .alias("last_error"),
     )

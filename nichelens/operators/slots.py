@@ -129,9 +129,14 @@ def unpublished_topics(topics: DataFrame, publications: DataFrame) -> DataFrame:
     return topics.join(used, "topic_key", "left_anti").orderBy("position")
 
 
-def supply(clusters: DataFrame, publications: DataFrame, limit: int = 200) -> DataFrame:
-    """Selected clusters not yet published, out of the ``limit`` best."""
-    return unpublished_clusters(top(clusters, ("SELECTED",), limit), publications)
+def _selected(clusters: DataFrame) -> DataFrame:
+    return clusters.filter(F.col("status") == "SELECTED")
+
+
+def supply(clusters: DataFrame, publications: DataFrame, limit: int | None = None) -> DataFrame:
+    """Selected clusters not yet published; the ``limit`` best of them if asked."""
+    left = unpublished_clusters(_selected(clusters), publications)
+    return left if limit is None else top(left, None, limit)
 
 
 def _age_seconds(now: str) -> Column:
@@ -140,10 +145,10 @@ def _age_seconds(now: str) -> Column:
 
 
 def next_cluster(
-    clusters: DataFrame, publications: DataFrame, now: str, rules: SlotRules, pool: int = 50
+    clusters: DataFrame, publications: DataFrame, now: str, rules: SlotRules
 ) -> DataFrame:
-    """Best selected cluster still unpublished and fresh, out of the ``pool`` best."""
-    rows = unpublished_clusters(top(clusters, ("SELECTED",), pool), publications)
+    """Best of all selected clusters that are still unpublished and fresh."""
+    rows = supply(clusters, publications)
     if rules.max_topic_age_hours is not None:
         rows = rows.filter(
             F.coalesce(_age_seconds(now) <= rules.max_topic_age_hours * 3600, F.lit(True))
@@ -175,20 +180,25 @@ def breaking_gate(publications: DataFrame, now: str, rules: SlotRules) -> DataFr
 
 
 def breaking_candidates(
-    clusters: DataFrame, publications: DataFrame, now: str, rules: SlotRules, pool: int = 20
+    clusters: DataFrame,
+    publications: DataFrame,
+    now: str,
+    rules: SlotRules,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Clusters that may jump the queue: hot, fresh and confirmed."""
+    """Clusters that may jump the queue: hot, fresh and confirmed; the ``limit`` best if asked."""
     confirmed = (F.col("item_count") >= rules.breaking_min_sources) | F.col("max_trust").isin(
         *FIRST_HAND_TRUST
     )
     fit = (
-        unpublished_clusters(top(clusters, ("SELECTED",), pool), publications)
+        supply(clusters, publications)
         .filter(F.col("topic_score") >= rules.breaking_min_score)
         .filter(_age_seconds(now) <= rules.breaking_max_age_minutes * 60)
         .filter(confirmed)
     )
     gate = breaking_gate(publications, now, rules).select("gate_open")
-    return top(fit.filter(gate.scalar()), None, pool)
+    open_now = fit.filter(gate.scalar())
+    return open_now if limit is None else top(open_now, None, limit)
 
 
 def slot_action(

@@ -591,7 +591,7 @@ def warning_samples(spark, sf_dir):
 # ------------------------------------------------------------------ sources
 
 
-def export_lines(spark, sf_dir) -> DataFrame:
+def export_lines(spark, sf_dir, last_header: str = "") -> DataFrame:
     """Text files, one per year: a title, a summary line, a header, the rows, blank lines between."""
     rows = orders(spark, sf_dir).selectExpr(
         "concat(cast(y AS string), '.csv') AS file",
@@ -605,7 +605,7 @@ def export_lines(spark, sf_dir) -> DataFrame:
     head = years.selectExpr(
         "file",
         f"""stack(4, 1L, 'Export of channels', 2L, concat('Total', {mark}, '100'), 3L, '',
-            4L, concat_ws({mark}, 'Канал', 'ID канала', 'Подписчики', '')) AS (line_no, value)""",
+            4L, concat_ws({mark}, 'Канал', 'ID канала', 'Подписчики', '{last_header}')) AS (line_no, value)""",
     )
     blanks = rows.selectExpr("file", "line_no + 1 AS line_no", "'' AS value")
     return rows.unionByName(head).unionByName(blanks)
@@ -637,15 +637,13 @@ def find_header(spark, sf_dir):
 @query(
     "read_export_csv",
     BASE
-    + """, first AS (SELECT y, CASE WHEN min(k * 2 + 10) <= 20 THEN min(k * 2 + 10) ELSE 4 END AS line
-        FROM o GROUP BY y)
-    SELECT CAST(y AS VARCHAR) || '.csv' AS file, k * 2 + 10 AS line_no, 4 AS width,
+    + """SELECT CAST(y AS VARCHAR) || '.csv' AS file, k * 2 + 10 AS line_no, 4 AS width,
         CASE y % 3 WHEN 0 THEN 'Канал; ' || CAST(c AS VARCHAR) WHEN 1 THEN 'Канал, "' || CAST(c AS VARCHAR)
-            || '"' ELSE 'Канал ' || CAST(c AS VARCHAR) END AS name, CAST(n AS VARCHAR) AS n
-        FROM o JOIN first USING (y) WHERE k * 2 + 10 > line""",
+            || '"' ELSE 'Канал ' || CAST(c AS VARCHAR) END AS name, CAST(n AS VARCHAR) AS n FROM o""",
 )
 def read_export_csv(spark, sf_dir):
-    _, rows = exports.parse_export(export_lines(spark, sf_dir))
+    """Every data row of every year; the header has as many cells as the rows."""
+    _, rows = exports.parse_export(export_lines(spark, sf_dir, last_header="Регион"))
     return rows.select(
         "file", "line_no", F.size("cells").cast("bigint").alias("width"),
         F.get("cells", F.lit(0)).alias("name"), F.get("cells", F.lit(2)).alias("n"),
@@ -658,13 +656,13 @@ def read_export_csv(spark, sf_dir):
     "ELSE 'windows-1251' END AS encoding FROM documents",
 )
 def detect_encoding(spark, sf_dir):
-    """Documents per source as files; odd sources carry a line in the Cyrillic code page."""
+    """Documents per source as files; texts of odd sources end in a word of the Cyrillic code page."""
     docs = d.table(spark, sf_dir, "documents")
     cyrillic = F.lit(bytearray("Подписчики".encode("cp1251")))
     lines = docs.select(
         F.col("source").alias("file"),
         F.when(F.substring("source", 4, 9).cast("int") % 2 == 0, F.col("text").cast("binary"))
-        .otherwise(cyrillic)
+        .otherwise(F.concat(F.col("text").cast("binary"), cyrillic))
         .alias("bytes"),
     )
     return exports.detect_encoding(lines)
@@ -680,10 +678,10 @@ def sha256_file(spark, sf_dir):
 @query(
     "read_releases_json",
     r"""SELECT CAST(doc_id AS VARCHAR) AS external_id, source AS repo,
-        CASE WHEN doc_id % 3 = 0 THEN substr(split_part(text, chr(10), 1), 1, 1024)
+        CASE WHEN doc_id % 3 = 0 THEN split_part(text, chr(10), 1)
             WHEN doc_id % 3 = 1 THEN 'v1.' || CAST(doc_id AS VARCHAR) ELSE source END AS title,
-        nullif(substr(regexp_replace(text, '^\s+|\s+$', '', 'g'), 1, 2000), '') AS summary,
-        nullif(substr(regexp_replace(text, '^\s+|\s+$', '', 'g'), 1, 1200), '') AS content_excerpt,
+        nullif(regexp_replace(text, '^\s+|\s+$', '', 'g'), '') AS summary,
+        nullif(regexp_replace(text, '^\s+|\s+$', '', 'g'), '') AS content_excerpt,
         'https://github.com/' || source || '/releases' AS url,
         strftime(TIMESTAMP '2024-01-01' + to_seconds(doc_id * 60), '%Y-%m-%d %H:%M:%S') AS published_at
         FROM documents WHERE doc_id % 10 <> 0""",

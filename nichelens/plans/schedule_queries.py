@@ -163,13 +163,13 @@ def open_slot(spark, sf_dir):
     esql(
         "v_posts v_days v_slots",
         f"""SELECT {SLOT_OUT}, count(publication_id) AS posts, count(publication_id) > 0 AS filled
-            FROM v_slots LEFT JOIN v_posts ON status IN ('PUBLISHED', 'SIMULATED') AND is_breaking
+            FROM v_slots LEFT JOIN v_posts ON status IN ('PUBLISHED', 'SIMULATED')
                 AND starts_at <= created_at AND created_at < ends_at
             GROUP BY day, slot_index, starts_at, ends_at""",
     ),
 )
 def slot_filled(spark, sf_dir):
-    posts = d.publications(spark, sf_dir).filter("is_breaking")
+    posts = d.publications(spark, sf_dir)
     found = slt.filled_slots(slot_table(spark, sf_dir), posts, RULES)
     return _slot_out(found, "posts", "filled")
 
@@ -231,7 +231,7 @@ BEST = "ORDER BY score DESC NULLS LAST, last_seen_at DESC, cluster_key"
     "topic_supply",
     scsql(
         f"{SCORED} posts",
-        f"""{POSTED}, best AS (SELECT * FROM decided WHERE decision = 'SELECTED' {BEST} LIMIT 200)
+        f"""{POSTED}, best AS (SELECT * FROM decided WHERE decision = 'SELECTED')
         SELECT cluster_key, score FROM best WHERE cluster_key IN (SELECT cluster_key FROM free)""",
     ),
 )
@@ -244,7 +244,7 @@ def topic_supply(spark, sf_dir):
     "next_cluster",
     scsql(
         f"{SCORED} posts",
-        f"""{POSTED}, best AS (SELECT * FROM decided WHERE decision = 'SELECTED' {BEST} LIMIT 50)
+        f"""{POSTED}, best AS (SELECT * FROM decided WHERE decision = 'SELECTED')
         SELECT cluster_key, score FROM best WHERE cluster_key IN (SELECT cluster_key FROM free)
             AND epoch(TIMESTAMP '{d.NOW}') - epoch(event_at) <= 48 * 3600 {BEST} LIMIT 1""",
     ),
@@ -284,7 +284,7 @@ EASY = slt.SlotRules(breaking_min_score=60.0, breaking_max_age_minutes=60 * 24 *
     "breaking_candidates",
     scsql(
         f"{SCORED} posts",
-        f"""{POSTED}, best AS (SELECT * FROM decided WHERE decision = 'SELECTED' {BEST} LIMIT 20)
+        f"""{POSTED}, best AS (SELECT * FROM decided WHERE decision = 'SELECTED')
         SELECT cluster_key, score FROM best WHERE cluster_key IN (SELECT cluster_key FROM free)
             AND score >= 60 AND (item_count >= 2 OR max_trust IN ('OFFICIAL', 'PRIMARY'))
             AND epoch(TIMESTAMP '{d.NOW}') - epoch(event_at) <= 60 * 60 * 24 * 9""",
@@ -306,7 +306,7 @@ def breaking_candidates(spark, sf_dir):
     esql(
         "v_posts v_days v_slots",
         """, first_posts AS (SELECT starts_at, min(created_at) AS first_post FROM v_slots JOIN v_posts
-            ON status IN ('PUBLISHED', 'SIMULATED') AND is_breaking
+            ON status IN ('PUBLISHED', 'SIMULATED')
                 AND starts_at <= created_at AND created_at < ends_at GROUP BY starts_at)
         SELECT event_id, CASE WHEN value > 300 THEN 'BREAKING' WHEN slot_index IS NULL THEN 'NO_SLOT'
             WHEN first_post <= ts THEN 'ALREADY_FILLED'
@@ -323,7 +323,7 @@ def slot_action(spark, sf_dir):
     )
     found = slt.slot_action(
         instants,
-        d.publications(spark, sf_dir).filter("is_breaking"),
+        d.publications(spark, sf_dir),
         RULES,
         has_breaking=F.col("value") > 300,
         has_cluster=F.col("user_id") % 2 == 0,

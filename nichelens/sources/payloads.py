@@ -8,12 +8,8 @@ from pyspark.sql import functions as F
 from nichelens.functions.html import strip_html, unescape
 from nichelens.functions.normalize import WS, blank_to_null, strip_ws
 
-# Stored lengths and listing limits.
-TITLE_LIMIT = 1024
-SUMMARY_LIMIT = 2000
-EXCERPT_LIMIT = 1200
+# Fixed value: shorter link texts are navigation.
 MIN_LINK_TEXT = 12
-MAX_LINKS = 60
 
 RELEASE_SCHEMA = (
     "array<struct<id: string, html_url: string, name: string, tag_name: string, body: string, "
@@ -38,12 +34,20 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _head(c: Column, limit: int) -> Column:
-    return F.substring(c, 1, limit)
+def _head(c: Column, limit: int | None) -> Column:
+    return c if limit is None else F.substring(c, 1, limit)
 
 
-def read_releases_json(payloads: DataFrame) -> DataFrame:
-    """Items of ``payloads(source_key, repo, payload)``; drafts are dropped."""
+def read_releases_json(
+    payloads: DataFrame,
+    title_limit: int | None = None,
+    summary_limit: int | None = None,
+    excerpt_limit: int | None = None,
+) -> DataFrame:
+    """Items of ``payloads(source_key, repo, payload)``; drafts are dropped.
+
+    Texts are kept whole unless a store with narrow columns asks for limits.
+    """
     release = payloads.select(
         "source_key", "repo", F.posexplode(F.from_json("payload", RELEASE_SCHEMA)).alias("arrival", "r")
     ).filter(~F.coalesce("r.draft", F.lit(False)))
@@ -60,9 +64,9 @@ def read_releases_json(payloads: DataFrame) -> DataFrame:
         "arrival",
         F.col("r.id").alias("external_id"),
         F.coalesce(blank_to_null(F.col("r.html_url")), page).alias("url"),
-        _head(title, TITLE_LIMIT).alias("title"),
-        blank_to_null(_head(body, SUMMARY_LIMIT)).alias("summary"),
-        blank_to_null(_head(body, EXCERPT_LIMIT)).alias("content_excerpt"),
+        _head(title, title_limit).alias("title"),
+        blank_to_null(_head(body, summary_limit)).alias("summary"),
+        blank_to_null(_head(body, excerpt_limit)).alias("content_excerpt"),
         published.try_cast("timestamp").alias("published_at"),
         F.col("r.author.login").alias("author"),
         F.col("repo").alias("publisher"),
@@ -101,11 +105,17 @@ def _first_element(xml: Column, tag: str) -> Column:
     return blank_to_null(strip_ws(bare))
 
 
-def read_feed_xml(payloads: DataFrame) -> DataFrame:
+def read_feed_xml(
+    payloads: DataFrame,
+    title_limit: int | None = None,
+    summary_limit: int | None = None,
+    excerpt_limit: int | None = None,
+) -> DataFrame:
     """Items of RSS or Atom ``payloads(source_key, payload)``.
 
     Entries without a link are dropped; the guid identifies an entry, the link
-    is the fallback. Each entry is parsed on its own with ``from_xml``.
+    is the fallback. Each entry is parsed on its own with ``from_xml``. Texts are
+    kept whole unless limits are given.
     """
     head = F.regexp_replace("payload", r"(?is)<(item|entry)[\s>].*$", "")
     split = payloads.select(
@@ -158,9 +168,9 @@ def read_feed_xml(payloads: DataFrame) -> DataFrame:
         "arrival",
         F.coalesce("guid", "url").alias("external_id"),
         "url",
-        _head(F.coalesce("t", "url"), TITLE_LIMIT).alias("title"),
-        _head(F.col("s"), SUMMARY_LIMIT).alias("summary"),
-        _head(F.col("s"), EXCERPT_LIMIT).alias("content_excerpt"),
+        _head(F.coalesce("t", "url"), title_limit).alias("title"),
+        _head(F.col("s"), summary_limit).alias("summary"),
+        _head(F.col("s"), excerpt_limit).alias("content_excerpt"),
         "published_at",
         "author",
         "publisher",
@@ -235,13 +245,14 @@ def listing_links(
     pages: DataFrame,
     section: Column | None = None,
     min_text: int = MIN_LINK_TEXT,
-    max_links: int | None = MAX_LINKS,
+    max_links: int | None = None,
+    title_limit: int | None = None,
 ) -> DataFrame:
     """Links of ``pages(page_id, url, html)`` that live under the page's section.
 
     Same host, path below the section but not the section itself, long enough
-    anchor text, fragment dropped, first occurrence per address, at most
-    ``max_links`` per page (the reader's own limit; NULL for all).
+    anchor text, fragment dropped, first occurrence per address, all of them
+    unless ``max_links`` per page are asked for.
     """
     base = pages.select(
         "page_id",
@@ -281,6 +292,6 @@ def listing_links(
         (F.col("rank") - 1).alias("arrival"),
         F.col("url").alias("external_id"),
         "url",
-        _head(F.col("title"), TITLE_LIMIT).alias("title"),
+        _head(F.col("title"), title_limit).alias("title"),
         _netloc(F.col("listing_url")).alias("publisher"),
     )
