@@ -86,7 +86,8 @@ def normalize_text(c: Column) -> Column:
 
 
 def _url_parts(url: Column) -> dict[str, Column]:
-    shape = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+    # Every text fits: what is no scheme or host is path.
+    shape = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
     names = ("scheme", "netloc", "path", "query")
     return {name: F.regexp_extract(url, shape, i) for i, name in enumerate(names, start=1)}
 
@@ -96,14 +97,21 @@ def _query_pairs(query: Column) -> Column:
 
 
 def _decoded(part: Column) -> Column:
-    return F.coalesce(F.try_url_decode(part), part)
+    # A percent sign that begins no code stands for itself.
+    return F.coalesce(F.try_url_decode(F.regexp_replace(part, "%(?![0-9A-Fa-f]{2})", "%25")), part)
+
+
+def _encoded(part: Column) -> Column:
+    return F.replace(F.replace(F.url_encode(part), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
 def canonicalize_url(c: Column) -> Column:
     """Comparable address, or NULL when there is none.
 
     Scheme and host lower-cased, ``www.``, default port, fragment, tracking and
-    blank parameters dropped, the remaining parameters sorted.
+    blank parameters dropped, the remaining parameters sorted. A text without a
+    usable scheme or host stays apart as a path of its own. An unclosed bracket
+    or a port that is no number up to 65535 makes the address NULL.
     """
     def absolute(text: Column) -> Column:
         url = F.when(F.contains(text, F.lit("://")), text).otherwise(
@@ -122,23 +130,39 @@ def canonicalize_url(c: Column) -> Column:
 
     def rebuilt(part: Column) -> Column:
         authority = part["authority"]
-        host = F.regexp_replace(F.regexp_extract(authority, r"^([^:]*)", 1), r"^www\.", "")
-        port = F.ltrim(F.regexp_extract(authority, r":(\d+)$", 1), F.lit("0"))
-        usual = F.when(part["scheme"] == "http", F.lit("80")).otherwise(F.lit("443"))
-        known = part["scheme"].isin("http", "https") & (port == usual)
+        scheme = F.when(part["scheme"] == "", F.lit("https")).otherwise(part["scheme"])
+        bracketed = F.contains(authority, F.lit("["))
+        name = F.when(bracketed, F.regexp_extract(authority, r"\[([^\]]*)", 1)).otherwise(
+            F.regexp_extract(authority, r"^([^:]*)", 1)
+        )
+        host = F.regexp_replace(name, r"^www\.", "")
+        stated = F.when(bracketed, F.regexp_extract(authority, r"\][^:]*:(.*)$", 1)).otherwise(
+            F.regexp_extract(authority, r"^[^:]*:(.*)$", 1)
+        )
+        broken = (
+            (bracketed != F.contains(authority, F.lit("]")))
+            | ((stated != "") & ~stated.rlike(r"^0*[0-9]{1,5}$"))
+            | (F.coalesce(stated.try_cast("bigint"), F.lit(0)) > 65535)
+        )
+        port = F.ltrim(stated, F.lit("0"))
+        usual = F.when(scheme == "http", F.lit("80")).otherwise(F.lit("443"))
+        known = scheme.isin("http", "https") & (port == usual)
         path = F.when(part["path"] == "/", part["path"]).otherwise(
             F.regexp_replace(part["path"], "/+$", "")
         )
-        return F.concat(
-            part["scheme"],
+        rooted = (path == "") | F.startswith(path, F.lit("/"))
+        whole = F.concat(
+            scheme,
             F.lit("://"),
             host,
             F.when((port == "") | known, F.lit("")).otherwise(F.concat(F.lit(":"), port)),
+            F.when(rooted, F.lit("")).otherwise(F.lit("/")),
             F.when(part["path"] == "", F.lit("/")).otherwise(path),
             F.when(F.size(part["params"]) == 0, F.lit("")).otherwise(
                 F.concat(F.lit("?"), _encoded_params(part["params"]))
             ),
         )
+        return F.when(~broken, whole)
 
     return let(let(let(strip_ws(c), absolute), split), rebuilt)
 
@@ -164,7 +188,7 @@ def _kept_params(query: Column) -> Column:
 def _encoded_params(params: Column) -> Column:
     return F.array_join(
         F.transform(
-            params, lambda p: F.concat(F.url_encode(p["key"]), F.lit("="), F.url_encode(p["value"]))
+            params, lambda p: F.concat(_encoded(p["key"]), F.lit("="), _encoded(p["value"]))
         ),
         "&",
     )

@@ -48,6 +48,28 @@ def canonicalize_url(spark, sf_dir):
     )
 
 
+ODD_URLS = """CASE page_id % 6
+        WHEN 0 THEN concat('see ', bare) WHEN 1 THEN concat('1', bare)
+        WHEN 2 THEN concat('https://[FE80::', page_id, ']:8443/p')
+        WHEN 3 THEN concat('https://a.com:', page_id, 'x/') WHEN 4 THEN concat('http//', bare)
+        ELSE concat('https://WWW.a.com/?q=~*+%zz&n=', page_id) END"""
+
+
+@query(
+    "canonicalize_odd_url",
+    r"""SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'https:///see ' || bare WHEN 1 THEN 'https:///1' || bare
+        WHEN 2 THEN 'https://fe80::' || CAST(page_id AS VARCHAR) || ':8443/p' WHEN 3 THEN NULL
+        WHEN 4 THEN 'https:///http//' || bare
+        ELSE 'https://a.com/?n=' || CAST(page_id AS VARCHAR) || '&q=~%2A+%25zz' END AS canonical_url
+        FROM (SELECT page_id, regexp_replace(regexp_extract(url, '^([^?#]*)', 1), '/+$', '') AS bare FROM pages)""",
+)
+def canonicalize_odd_url(spark, sf_dir):
+    """Every page's address spoiled in one of six ways; no two of them may become one."""
+    bare = F.regexp_replace(F.regexp_extract("url", "^([^?#]*)", 1), "/+$", "").alias("bare")
+    odd = d.table(spark, sf_dir, "pages").select("page_id", bare).select("page_id", F.expr(ODD_URLS).alias("url"))
+    return odd.select("page_id", tk.canonicalize_url(F.col("url")).alias("canonical_url"))
+
+
 @query(
     "url_hash",
     dsql("v_items urls canonical", "SELECT item_id, sha256(canonical_url) AS url_hash FROM canonical"),

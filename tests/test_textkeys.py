@@ -20,6 +20,18 @@ def test_canonicalize_url(values):
         ("https://x.com/?b=2&a=1&c=&UTM_x=1#f", "https://x.com/?a=1&b=2"),
         ("  ", None),
         (None, None),
+        ("see https://a.com/x", "https:///see https://a.com/x"),
+        ("http//://b", "https:///http//://b"),
+        ("1http://c.com", "https:///1http://c.com"),
+        ("//a.com/x://y", "https://a.com/x://y"),
+        ("https://[::1]:8443/x", "https://::1:8443/x"),
+        ("https://u:p@[FE80::A]/", "https://fe80::a/"),
+        ("https://[::1/x", None),
+        ("https://a.com:80x/", None),
+        ("https://a.com:70000/", None),
+        ("https://a.com:0443/", "https://a.com/"),
+        ("mailto:x", None),
+        ("https://a.com/?q=a~b*c+d%zz&r=%41", "https://a.com/?q=a~b%2Ac+d%25zz&r=A"),
     ]
     assert values([p[0] for p in pairs], t.canonicalize_url) == [p[1] for p in pairs]
 
@@ -29,6 +41,7 @@ def test_strip_tracking_keeps_order_and_blanks(values):
         ("https://a.b/c?z=1&utm_s=2&a=", "https://a.b/c?z=1&a="),
         ("https://a.b/c?reference=1", "https://a.b/c"),
         ("https://a.b/c#x", "https://a.b/c#x"),
+        ("https://a.b/c?q=~*+%zz", "https://a.b/c?q=~%2A+%25zz"),
     ]
     assert values([p[0] for p in pairs], t.strip_tracking) == [p[1] for p in pairs]
 
