@@ -504,8 +504,19 @@ def fatal_files(headers: DataFrame, missing: DataFrame, rows: DataFrame) -> Data
     )
 
 
-def import_outcome(marked: DataFrame, existing_channels: DataFrame) -> DataFrame:
-    """Counts and final status per import."""
+def split_files(headers: DataFrame, missing: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The gate before any row is read: ``(rows of usable files, (import_id, reason) of failed files)``.
+
+    A failed file writes no audit rows, channels or snapshots; its reason goes to the outcome.
+    """
+    failed = fatal_files(headers, missing, rows).filter(F.col("reason").isNotNull())
+    return rows.join(failed.select("import_id"), "import_id", "left_anti"), failed
+
+
+def import_outcome(
+    marked: DataFrame, existing_channels: DataFrame, failed: DataFrame | None = None
+) -> DataFrame:
+    """Counts and final status per import; files that failed at the gate have zeros and the reason."""
     keyed = is_valid() & F.col("dedupe_key").isNotNull()
     created = (
         marked.filter(keyed)
@@ -528,7 +539,7 @@ def import_outcome(marked: DataFrame, existing_channels: DataFrame) -> DataFrame
         .when(F.col("rejected_row_count") > 0, "PARTIAL")
         .otherwise("SUCCESS")
     )
-    return (
+    outcome = (
         totals.join(created, "import_id", "left")
         .withColumn("channels_created", F.coalesce("channels_created", F.lit(0)))
         .withColumn("status", status)
@@ -536,6 +547,12 @@ def import_outcome(marked: DataFrame, existing_channels: DataFrame) -> DataFrame
             "error_message", F.when(F.col("status") == "FAILED", F.lit("no valid rows in file"))
         )
     )
+    if failed is None:
+        return outcome
+    stated = {"import_id": F.col("import_id"), "status": F.lit("FAILED"), "error_message": F.col("reason")}
+    return outcome.unionByName(
+        failed.select(*[stated.get(c, F.lit(0).cast("bigint")).alias(c) for c in outcome.columns])
+    )
 
 
 def warning_samples(marked: DataFrame, limit: int = 5) -> DataFrame:

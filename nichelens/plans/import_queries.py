@@ -274,7 +274,7 @@ def headers(spark, sf_dir) -> DataFrame:
 
 
 def export_rows(spark, sf_dir) -> DataFrame:
-    return cells(spark, sf_dir).filter("y % 5 <> 0").select(
+    return cells(spark, sf_dir).select(
         F.col("y").alias("import_id"),
         F.col("k").alias("row_number"),
         F.array(
@@ -331,10 +331,17 @@ def missing_required(spark, sf_dir):
     return imp.missing_required(names, imp.map_columns(names, aliases(spark)))
 
 
+def gate(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Rows of usable files, and the files that failed: a year without a name column writes nothing."""
+    names = headers(spark, sf_dir)
+    missing = imp.missing_required(names, imp.map_columns(names, aliases(spark)))
+    return imp.split_files(names, missing, export_rows(spark, sf_dir))
+
+
 def normalized(spark, sf_dir) -> DataFrame:
     names = headers(spark, sf_dir)
     profile = imp.import_profile(names, imp.map_columns(names, aliases(spark)))
-    return imp.normalize_rows(export_rows(spark, sf_dir), profile, "2024-01-01")
+    return imp.normalize_rows(gate(spark, sf_dir)[0], profile, "2024-01-01")
 
 
 def marked(spark, sf_dir) -> DataFrame:
@@ -354,6 +361,7 @@ ROWS = BASE + f""", r AS (SELECT k, y, c, n, {NAME_VALUE} AS name, {URL_VALUE} A
     CASE WHEN k % 6 <> 5 THEN coalesce({MONEY_CURRENCY}, 'RUB') END AS currency,
     CASE WHEN k % 7 <> 6 THEN day ELSE DATE '2024-01-01' END AS snapshot_date,
     k % 23 = 0 AS rejected, {CELL_WARNINGS} + CASE WHEN k % 6 = 4 THEN 1 ELSE 0 END AS warnings
+    -- Files of these years lack a required column and fail as a whole.
     FROM o WHERE y % 5 <> 0),
 m AS (SELECT *, row_number() OVER (PARTITION BY y, platform, dedupe_key, snapshot_date, rejected
         OR dedupe_key IS NULL ORDER BY k) AS nth,
@@ -408,11 +416,11 @@ def unit_and_currency(spark, sf_dir):
     "default_snapshot_date",
     BASE
     + """SELECT k AS row_number, k % 3 <> 0 AS defaulted, k % 3 = 1 AND k % 6 <> 3 AS told
-        FROM o WHERE y % 5 <> 0""",
+        FROM o""",
 )
 def default_snapshot_date(spark, sf_dir):
     """Good, blank and bad dates; the default is announced only for otherwise clean rows."""
-    rows = cells(spark, sf_dir).filter("y % 5 <> 0").select(
+    rows = cells(spark, sf_dir).select(
         F.col("y").alias("import_id"),
         F.col("k").alias("row_number"),
         F.array(
@@ -536,14 +544,16 @@ OUTCOME = """SELECT y AS import_id, count(*) AS row_count, count(*) FILTER (WHER
 @query(
     "import_outcome",
     ROWS
-    + f"""SELECT o.*, coalesce(created, 0) AS channels_created FROM ({OUTCOME}) o LEFT JOIN (
+    + f"""SELECT o.*, coalesce(created, 0) AS channels_created FROM ({OUTCOME} UNION ALL
+        SELECT DISTINCT y, 0, 0, 0, 0, 0, 0, 'FAILED' FROM o WHERE y % 5 = 0) o LEFT JOIN (
         SELECT y AS import_id, count(*) AS created FROM (SELECT min(y) AS y FROM m WHERE usable
             AND (platform <> 'UNKNOWN' OR dedupe_key NOT IN (SELECT 'handle:c' || CAST(c_custkey AS VARCHAR)
                 FROM customer WHERE c_custkey % 10 = 3))
             GROUP BY platform, dedupe_key) GROUP BY y) USING (import_id)""",
 )
 def import_outcome(spark, sf_dir):
-    found = imp.import_outcome(marked(spark, sf_dir), stored_channels(spark, sf_dir))
+    failed = gate(spark, sf_dir)[1]
+    found = imp.import_outcome(marked(spark, sf_dir), stored_channels(spark, sf_dir), failed)
     return found.drop("error_message")
 
 
@@ -583,9 +593,19 @@ def rows_by_status(spark, sf_dir):
     return imp.rows_by_status(imp.audit_rows(marked(spark, sf_dir)))
 
 
-@query("warning_samples")
+@query(
+    "warning_samples",
+    ROWS
+    + """SELECT import_id, position, row_number FROM (SELECT *, row_number() OVER (PARTITION BY import_id
+            ORDER BY row_number, i) AS position FROM (SELECT y AS import_id, k AS row_number,
+            unnest(range(warnings + CASE WHEN usable AND nth > 1 THEN 1 ELSE 0 END)) AS i FROM m))
+        WHERE position <= 5""",
+)
 def warning_samples(spark, sf_dir):
-    return imp.warning_samples(marked(spark, sf_dir))
+    """Where the first five warnings of each import stand (their texts are tested by unit)."""
+    found = imp.warning_samples(marked(spark, sf_dir))
+    row = F.regexp_extract("sample", r"^row (\d+): ", 1).cast("bigint").alias("row_number")
+    return found.select("import_id", F.col("position").cast("bigint").alias("position"), row)
 
 
 # ------------------------------------------------------------------ sources

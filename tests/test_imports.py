@@ -157,3 +157,28 @@ def test_checksums_and_sinks(spark, tmp_path):
     sinks.write_ranking_csv(current, str(tmp_path / "r"))
     text = "".join(p.read_text() for p in (tmp_path / "r").glob("*.csv"))
     assert text == "k,label,n\n1,a,\n2,b,5\n"
+
+
+def test_failed_file_writes_nothing(spark):
+    headers = spark.createDataFrame(
+        [("good", ["Канал", "Подписчики"]), ("bad", ["Подписчики"]), ("none", None), ("blank", ["Канал", "Подписчики"])],
+        "import_id string, headers array<string>",
+    )
+    rows = spark.createDataFrame(
+        [("good", 2, ["A", "1"]), ("bad", 2, ["5"]), ("bad", 3, ["6"])], "import_id string, row_number long, cells array<string>"
+    )
+    known = headers.filter("headers IS NOT NULL")
+    mapping = imp.map_columns(known, imp.alias_table(spark))
+    usable, failed = imp.split_files(headers, imp.missing_required(known, mapping), rows)
+    assert [r["import_id"] for r in usable.collect()] == ["good"]
+    reasons = {r["import_id"]: r["reason"] for r in failed.collect()}
+    assert reasons == {
+        "bad": "required columns not found: channel_name",
+        "none": "no header row found",
+        "blank": "file contains a header but no data rows",
+    }
+    marked = imp.mark_snapshots(imp.normalize_rows(usable, imp.import_profile(known, mapping), "2026-01-01"))
+    existing = spark.createDataFrame([], "platform string, dedupe_key string")
+    outcome = {r["import_id"]: r for r in imp.import_outcome(marked, existing, failed).collect()}
+    assert outcome["good"]["status"] == "SUCCESS" and outcome["good"]["error_message"] is None
+    assert outcome["bad"]["row_count"] == 0 and outcome["bad"]["error_message"] == reasons["bad"]
