@@ -84,6 +84,15 @@ def cap_per_source(raw: DataFrame, cap: int | None = None) -> DataFrame:
 
 
 ITEM_TEXT = ("title", "summary", "content_excerpt", "content_fingerprint")
+#: Stated once, at the first sighting; metadata follows the text.
+ITEM_FACTS = ("author", "publisher", "language", "trust")
+ITEM_METADATA = ("raw_metadata",)
+
+
+def with_hints(items: DataFrame) -> DataFrame:
+    """``version_hint`` and ``product_hint`` from what the source itself says about a release."""
+    tag, repo = (F.try_element_at("raw_metadata", F.lit(k)) for k in ("tag_name", "repo"))
+    return items.withColumn("version_hint", tag).withColumn("product_hint", repo)
 
 
 def store_items(
@@ -93,7 +102,9 @@ def store_items(
 
     Per (source, external id) the arrivals replay in order: a changed
     fingerprint is a revision that replaces text and, when it carries one, the
-    published date; the address of the first sighting stays. ``action`` is NEW,
+    published date; the address of the first sighting stays, as do author,
+    publisher, language and trust, while ``raw_metadata`` goes with the text;
+    arrivals without these columns give items without them. ``action`` is NEW,
     UPDATED or UNCHANGED, and ``revised`` marks clusters to be rescored.
 
     ``arrival`` is a unique sequence number. An item seen without end is
@@ -101,14 +112,16 @@ def store_items(
     chunk is carried over to the next.
     """
     keys = ["source_key", "external_id"]
+    facts = [c for c in ITEM_FACTS if c in arrivals.columns]
+    texts = [*ITEM_TEXT, *[c for c in ITEM_METADATA if c in arrivals.columns]]
     incoming = arrivals.select(
-        *keys, "url", "canonical_url", "url_hash", *ITEM_TEXT, "published_at",
+        *keys, "url", "canonical_url", "url_hash", *texts, *facts, "published_at",
         "arrived_at", "arrival", F.lit(1).alias("_fresh"), F.lit(0).alias("base_revision"),
     )
     if current is not None:
         incoming = incoming.unionByName(
             current.select(
-                *keys, "url", "canonical_url", "url_hash", *ITEM_TEXT, "published_at",
+                *keys, "url", "canonical_url", "url_hash", *texts, *facts, "published_at",
                 F.col("discovered_at").alias("arrived_at"),
                 F.lit(None).cast("bigint").alias("arrival"),
                 F.lit(0).alias("_fresh"),
@@ -138,8 +151,8 @@ def store_items(
     )
     # Only a first sighting or a revision may set the published date.
     speaks = F.col("_before").isNull() | F.col("_changed")
-    latest = F.struct(*ITEM_TEXT)
-    first = F.struct("url", "canonical_url", "url_hash", F.col("arrived_at").alias("discovered_at"))
+    latest = F.struct(*texts)
+    first = F.struct("url", "canonical_url", "url_hash", *facts, F.col("arrived_at").alias("discovered_at"))
     state = moved.groupBy(*keys).agg(
         F.min_by(first, turn).alias("first"),
         F.max_by(latest, F.when(speaks, turn)).alias("latest"),

@@ -18,6 +18,7 @@ from nichelens.operators import topics as sco
 from nichelens.plans import domain as d
 from nichelens.plans.registry import query, rounded, text
 from nichelens.session import materialize
+from nichelens.sources import payloads
 
 RULES = clu.ClusterRules(entities=d.FIXTURE_ENTITIES)
 TOPICS = sco.TopicRules(lexicon=d.FIXTURE_LEXICON)
@@ -972,6 +973,35 @@ def counts_by_status(spark, sf_dir):
     return res.counts_by_status(scored_clusters(spark, sf_dir))
 
 
+@query(
+    "item_counts_by_status",
+    """SELECT CASE WHEN doc_id % 3 = 0 THEN 'CLUSTERED' ELSE 'NEW' END AS status, count(*) AS "rows"
+        FROM documents GROUP BY 1""",
+)
+def item_counts_by_status(spark, sf_dir):
+    rows = d.table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", "CASE WHEN doc_id % 3 = 0 THEN 'CLUSTERED' ELSE 'NEW' END AS status"
+    )
+    return res.counts_by_status(rows)
+
+
+@query(
+    "item_signatures",
+    """SELECT CAST(doc_id AS VARCHAR) AS external_id, source AS publisher, 'en' AS language, 'OFFICIAL' AS trust,
+        source AS product_hint, CASE WHEN doc_id % 3 = 1 THEN 'v1.' || CAST(doc_id AS VARCHAR) END AS version_hint,
+        CAST(1 AS BIGINT) AS revision FROM documents WHERE doc_id % 10 <> 0""",
+)
+def item_signatures(spark, sf_dir):
+    """The whole path of a release: payload, item with all its facts, hints for the signature."""
+    raw = payloads.read_releases_json(d.release_payloads(spark, sf_dir)).withColumn("trust", F.lit("OFFICIAL"))
+    arrivals = res.with_identity(raw).withColumns(
+        {"arrived_at": F.col("published_at"), "arrival": F.col("external_id").cast("bigint")}
+    )
+    return res.with_hints(res.store_items(arrivals)).select(
+        "external_id", "publisher", "language", "trust", "product_hint", "version_hint", "revision"
+    )
+
+
 @query(
     "latest_score",
     scsql(SCORED, "SELECT cluster_key, score, decision, '2024-01-09' AS as_of_date FROM decided"),

@@ -14,8 +14,7 @@ from nichelens.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Recorded times carry no zone and mean UTC, whatever the session was built with.
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # Recorded times carry no zone and mean UTC, as the session does.
     if name == "events":
         return spark.read.parquet(f"{sf_dir}/{name}.parquet").withColumn(
             "ts", F.col("ts").cast("timestamp")
@@ -483,3 +482,16 @@ EVENT_SQL = {
         FROM (SELECT day, i AS slot_index, CAST(day AS TIMESTAMP) + to_hours(h - 3) AS starts_at
             FROM v_days, (VALUES (0, 9), (1, 14), (2, 19)) AS c(i, h))""",
 }
+
+
+def release_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as release payloads: one in ten is a draft, names and tags go missing."""
+    return table(spark, sf_dir, "documents").selectExpr(
+        "source AS source_key",
+        "source AS repo",
+        "concat('[', to_json(struct(doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN"
+        " substring_index(text, '\\n', 1) END AS name, CASE WHEN doc_id % 3 = 1 THEN"
+        " concat('v1.', cast(doc_id AS string)) END AS tag_name, text AS body, doc_id % 10 = 0 AS draft,"
+        " date_format(timestamp_seconds(1704067200 + doc_id * 60), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
+        " AS published_at)), ']') AS payload",
+    )

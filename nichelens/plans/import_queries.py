@@ -608,6 +608,18 @@ def warning_samples(spark, sf_dir):
     return found.select("import_id", F.col("position").cast("bigint").alias("position"), row)
 
 
+@query(
+    "recent_imports",
+    """SELECT import_id, CAST(created_at AS VARCHAR) AS created_at FROM (SELECT year(o_orderdate) AS import_id,
+        CAST(max(o_orderdate) AS DATE) AS created_at FROM orders GROUP BY 1) ORDER BY created_at DESC LIMIT 5""",
+)
+def recent_imports(spark, sf_dir):
+    runs = d.table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").cast("bigint").alias("import_id")).agg(
+        F.max(F.to_date("o_orderdate")).alias("created_at")
+    )
+    return imp.recent_imports(runs, limit=5).select("import_id", text("created_at"))
+
+
 # ------------------------------------------------------------------ sources
 
 
@@ -708,15 +720,7 @@ def sha256_file(spark, sf_dir):
 )
 def read_releases_json(spark, sf_dir):
     """Documents as release payloads: one in ten is a draft, names and tags go missing."""
-    raw = d.table(spark, sf_dir, "documents").selectExpr(
-        "source AS source_key",
-        "source AS repo",
-        "concat('[', to_json(struct(doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN"
-        " substring_index(text, '\\n', 1) END AS name, CASE WHEN doc_id % 3 = 1 THEN"
-        " concat('v1.', cast(doc_id AS string)) END AS tag_name, text AS body, doc_id % 10 = 0 AS draft,"
-        " date_format(timestamp_seconds(1704067200 + doc_id * 60), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
-        " AS published_at)), ']') AS payload",
-    )
+    raw = d.release_payloads(spark, sf_dir)
     return payloads.read_releases_json(raw).select(
         "external_id", F.col("publisher").alias("repo"), "title", "summary", "content_excerpt", "url",
         F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from nichelens.operators import market as mkt
 from nichelens.operators import niches as nsc
 from nichelens.plans import domain as d
 from nichelens.plans.registry import query, rounded, text
+from nichelens.session import shared_folder
+from nichelens.sources import sinks
 
 METRIC_COLUMNS = (
     "median_subscribers", "p25_subscribers", "p75_subscribers", "median_err", "median_views",
@@ -476,9 +480,7 @@ def report_caveats(spark, sf_dir):
     return nsc.report_caveats(found, RULES).select("scope", "caveat", "detail", "niches")
 
 
-@query(
-    "ranking_table",
-    ssql(
+RANKING_SQL = ssql(
         SCORED,
         f"""SELECT p.rank, a.slug, a.name, printf('%.2f', p.score) AS score,
             a.channels_count, a.channels_count < 3 AS insufficient_data,
@@ -488,8 +490,10 @@ def report_caveats(spark, sf_dir):
             printf('%.2f', r.low_production_cost) AS low_production_cost
             FROM assembled a LEFT JOIN placed p USING (scope, niche_id)
             LEFT JOIN ranked r USING (scope, niche_id) WHERE a.scope = 'ALL'""",
-    ),
-)
+    )
+
+
+@query("ranking_table", RANKING_SQL)
 def ranking_table(spark, sf_dir):
     found = nsc.score_niches(
         mkt.assembled_metrics(*market(spark, sf_dir)), RULES
@@ -501,6 +505,16 @@ def ranking_table(spark, sf_dir):
     )
 
 
+@query("ranking_csv", RANKING_SQL)
+def ranking_csv(spark, sf_dir):
+    """The same report written as CSV to the shared folder and read back."""
+    report = ranking_table(spark, sf_dir)
+    path = f"{shared_folder(spark)}/ranking-{uuid.uuid4().hex}"
+    sinks.write_ranking_csv(report, path)
+    return spark.read.schema(report.schema).csv(path, header=True)
+
+
+
 @query(
     "compare_platforms",
     ssql(

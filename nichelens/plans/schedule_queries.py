@@ -158,6 +158,25 @@ def open_slot(spark, sf_dir):
     )
 
 
+@query(
+    "upcoming",
+    """WITH t AS (SELECT max(ts) AS now FROM events),
+        days AS (SELECT now, CAST(now + INTERVAL 3 HOUR AS DATE) + CAST(i AS INTEGER) AS day
+            FROM t, (SELECT unnest(range(3)) AS i)),
+        s AS (SELECT now, day, i AS slot_index, CAST(day AS TIMESTAMP) + to_hours(h - 3) AS starts_at
+            FROM days, (VALUES (0, 9), (1, 14), (2, 19)) AS c(i, h))
+        SELECT CAST(day AS VARCHAR) AS day, slot_index, strftime(starts_at, '%Y-%m-%d %H:%M:%S') AS starts_at
+        FROM s WHERE starts_at + INTERVAL 180 MINUTE > now""",
+)
+def upcoming(spark, sf_dir):
+    """Slots of three days from the last event on."""
+    now = d.table(spark, sf_dir, "events").agg(F.max("ts").cast("string")).first()[0]
+    return slt.upcoming(spark, now or d.NOW, 3, RULES).select(
+        text("day"), F.col("slot_index").cast("bigint").alias("slot_index"),
+        F.date_format("starts_at", "yyyy-MM-dd HH:mm:ss").alias("starts_at"),
+    )
+
+
 @query(
     "slot_filled",
     esql(

@@ -61,6 +61,13 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(archive)
 
 
+def prepare(spark: SparkSession) -> None:
+    """What a session needs that :func:`build_session` did not build: UTC and the package on the executors."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship(spark)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
