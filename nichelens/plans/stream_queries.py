@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from nichelens.operators import ledger as led
 from nichelens.plans import domain as d
@@ -23,7 +25,6 @@ def _place(spark: SparkSession, label: str) -> tuple[str, str]:
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = spark.read.parquet(f"{sf_dir}/events.parquet")
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return (
         spark.readStream.schema(stored.schema)
         .option("pathGlobFilter", "events.parquet")
@@ -38,13 +39,18 @@ def _finished(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _landed(df: DataFrame, label: str, turn: Column, batches: int) -> DataFrame:
-    """The rows of ``df`` as a stream of ``batches`` files, in the order of ``turn``."""
+def _in_turns(
+    df: DataFrame, label: str, turn: Column, batches: int, start: Callable[[DataFrame], StreamingQuery]
+) -> None:
+    """Land the rows of ``df`` in ``batches`` turns; after each the stream takes up what is new.
+
+    A turn may be any number of files. The stream stops in between and goes on from its checkpoint.
+    """
     spark = df.sparkSession
     path, _ = _place(spark, label)
     for number in range(batches):
-        df.filter(turn == number).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        df.filter(turn == number).write.mode("append").parquet(path)
+        start(spark.readStream.schema(df.schema).parquet(path)).awaitTermination()
 
 
 @query(
@@ -115,7 +121,7 @@ def stream_items(spark, sf_dir):
     arrivals = conversation_arrivals(spark, sf_dir)
     turn = F.least(F.floor((F.col("arrival") % 1000) / 2), F.lit(2))
     path, checkpoint = _place(spark, "stream-items")
-    jobs.stream_items(_landed(arrivals, "landed-items", turn, 3), path, checkpoint).awaitTermination()
+    _in_turns(arrivals, "landed-items", turn, 3, lambda new: jobs.stream_items(new, path, checkpoint))
     return jobs.latest_version(spark, path, 2).select(
         "source_key", "external_id", "revision", "title"
     )
@@ -128,7 +134,7 @@ def stream_clusters(spark, sf_dir):
     middle = F.lit("2024-01-04 12:00:00").cast("timestamp")
     turn = F.when(F.col("discovered_at") < middle, 0).otherwise(1)
     path, checkpoint = _place(spark, "stream-clusters")
-    jobs.stream_clusters(_landed(sig, "landed-signatures", turn, 2), path, checkpoint, RULES).awaitTermination()
+    _in_turns(sig, "landed-signatures", turn, 2, lambda new: jobs.stream_clusters(new, path, checkpoint, RULES))
     return jobs.latest_version(spark, path, 1).select(
         "item_id", "cluster_key", "matched_by", "similarity", "is_seed"
     )
