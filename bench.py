@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from nichelens.plans import QUERIES  # noqa: E402
 from nichelens.plans.document_queries import forget_runs  # noqa: E402
-from nichelens.session import build_session  # noqa: E402
+from nichelens.session import build_session, clean_up  # noqa: E402
 
 HEADLINE = (
     "latest_snapshot",
@@ -62,12 +62,12 @@ def main() -> None:
     QUERIES["platform_counts"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
     for name in chosen:
-        if name in ("cluster_assignment", "topic_score"):
-            # Neither may profit from clusters an earlier query left behind.
-            forget_runs()
+        # No query may profit from clusters an earlier one left behind.
+        forget_runs()
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        clean_up(spark)
         print(f"{name} {times[name]}", file=sys.stderr, flush=True)
     print(
         json.dumps(

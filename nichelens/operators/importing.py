@@ -94,8 +94,7 @@ def map_columns(headers: DataFrame, aliases: DataFrame) -> DataFrame:
     cells = headers.select(
         "import_id", F.posexplode("headers").alias("position", "header")
     ).withColumn("alias", normalize_header(F.col("header")))
-    # The alias table is a constant of a few dozen rows.
-    matched = cells.filter(F.col("alias") != "").join(F.broadcast(aliases), "alias", "left")
+    matched = cells.filter(F.col("alias") != "").join(aliases, "alias", "left")
     first = Window.partitionBy("import_id", "field").orderBy("position")
     return (
         matched.withColumn("nth", F.row_number().over(first))

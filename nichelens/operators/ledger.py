@@ -38,8 +38,7 @@ def estimate_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """
     dec = lambda text: F.lit(text).cast("decimal(4,2)")
     tokens = lambda name: F.coalesce(name, F.lit(0)).cast("decimal(15,0)")
-    # The price list is a constant of a few models.
-    priced = calls.join(F.broadcast(prices), "model", "left")
+    priced = calls.join(prices, "model", "left")
     pin, pout = F.col("input_per_mtok"), F.col("output_per_mtok")
     total = (
         tokens("input_tokens") * pin

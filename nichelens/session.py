@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Intermediate tables of this process, until :func:`clean_up`.
+_WRITTEN: list[str] = []
+
+
 def build_session(
     app_name: str = "nichelens",
     master: str | None = None,
@@ -93,9 +97,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Delete the intermediate tables written so far; results that read them must have been used by then."""
+    jvm = spark.sparkContext._jvm
+    for path in _WRITTEN:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _WRITTEN.clear()
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Give a freshly read table at least one partition per core.
 
