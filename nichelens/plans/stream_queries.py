@@ -11,7 +11,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from nichelens.operators import ledger as led
 from nichelens.plans import domain as d
-from nichelens.plans.document_queries import ARRIVALS_SQL, RULES, conversation_arrivals, signatures
+from nichelens.plans.document_queries import (
+    ARRIVALS_SQL,
+    CLU,
+    RULES,
+    conversation_arrivals,
+    dsql,
+    signatures,
+)
 from nichelens.plans.registry import query, text
 from nichelens.plans.schedule_queries import esql, micros
 from nichelens.session import shared_folder
@@ -127,9 +134,12 @@ def stream_items(spark, sf_dir):
     )
 
 
-@query("stream_clusters")
+@query(
+    "stream_clusters",
+    dsql(CLU, "SELECT item_id, cluster_key, matched_by, similarity, is_seed FROM members"),
+)
 def stream_clusters(spark, sf_dir):
-    """Documents landing in two batches by discovery, clustered as they come."""
+    """Documents landing in two batches by discovery, clustered as they come: the same as all at once."""
     sig = signatures(spark, sf_dir)
     middle = F.lit("2024-01-04 12:00:00").cast("timestamp")
     turn = F.when(F.col("discovered_at") < middle, 0).otherwise(1)
