@@ -27,27 +27,28 @@ from nichelens.llm.common import slices, with_id
 
 MATRIX_BYTES = 256
 #: Pieces remembered by a worker; when full, the memory starts anew.
-MEMORY_PIECES = 250_000
+MEMORY_PIECES = 150_000
 _NONE = np.int32(1 << 30)
 _BLANKS, _WORDS = regex.compile(r" (?:\s|$)"), regex.compile(r" (?=\S)")
 
 
+def vocabulary(path: str) -> list[bytes]:
+    """Tokens by rank; a rank that the file leaves out is empty."""
+    with open(path, "rb") as lines:
+        pairs = [line.split() for line in lines if line.strip()]
+    token = [b""] * (1 + max(int(rank) for _, rank in pairs))
+    for text, rank in pairs:
+        token[int(rank)] = base64.b64decode(text)
+    return token
+
+
 class Ranks:
     """A vocabulary of byte strings by rank, with a hash table of the pairs that merge."""
 
     def __init__(self, path: str):
-        self.rank: dict[bytes, int] = {}
-        with open(path, "rb") as lines:
-            for line in lines:
-                if line.strip():
-                    token, rank = line.split()
-                    self.rank[base64.b64decode(token)] = int(rank)
-        size = max(self.rank.values()) + 1
-        self.token = [b""] * size
-        for token, rank in self.rank.items():
-            self.token[rank] = token
+        self.token = vocabulary(path)
+        self.rank = {token: rank for rank, token in enumerate(self.token) if token}
         self.length = [len(t) for t in self.token]
-        self.text = [str(i) for i in range(size)]
         self.single = np.array([self.rank[bytes([c])] for c in range(256)], dtype=np.int32)
         keys, values = [], []
         for token, rank in self.rank.items():
@@ -220,6 +221,7 @@ class Ranks:
         ]
 
 
+_SPELLED: dict[str, list[bytes]] = {}
 _LOADED: dict[tuple[str, str], tuple[Ranks, regex.Pattern]] = {}
 
 
@@ -239,7 +241,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(batches):
         ranks, compiled = loaded(path, pattern)
-        for part in slices(batches, 4 << 20):
+        for part in slices(batches, 1 << 20):
             found = ranks.encode([t or "" for t in part.column("text").to_pylist()], compiled)
             flat = np.frombuffer(b"".join(found), dtype="<i4")
             offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int32)
@@ -251,12 +253,14 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return source.mapInArrow(run, with_id(kind, "ids array<int>")).withColumnRenamed("id", id_col)
 
 
-def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, ids, decoded binary): the bytes that each list of ids stands for."""
 
     def run(batches):
-        ranks, _ = loaded(path, pattern)
-        token, size = ranks.token, len(ranks.token)
+        if path not in _SPELLED:
+            _SPELLED[path] = vocabulary(path)
+        token = _SPELLED[path]
+        size = len(token)
 
         def spell(ids: np.ndarray) -> bytes:
             if len(ids) and (ids.min() < 0 or ids.max() >= size):

@@ -25,7 +25,7 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, decoded again; one row per row of documents."""
     ids = bpe.encode(table(spark, sf_dir, "documents"), RANKS, PATTERN)
-    return bpe.digests(bpe.decode(ids, RANKS, PATTERN))
+    return bpe.digests(bpe.decode(ids, RANKS))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ def test_bpe_random_texts(ranks):
 
 def test_decode_ignores_unknown_ids(spark):
     rows = spark.createDataFrame([(1, [0, 999_999, -1, None]), (2, None), (3, [])], "doc_id int, ids array<int>")
-    got = {r.doc_id: bytes(r.decoded) for r in bpe.decode(rows, RANKS, PATTERN).collect()}
+    got = {r.doc_id: bytes(r.decoded) for r in bpe.decode(rows, RANKS).collect()}
     assert len(got[1]) == 1 and got[2] == got[3] == b""
 
 
