@@ -26,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +36,9 @@ from nichelens.session import materialize
 
 SPAN = 50
 GRAM = 16
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 3 << 19
 HOT = 4096
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 #: Anchor hash bits in a key; the rest of the 128 bits tell segments of an anchor apart.
 ANCHOR_BITS = 40
 
@@ -229,21 +230,29 @@ def _told(repeat: bool, a, b, ids, start, size) -> pa.RecordBatch:
     )
 
 
-def shard_repeats(segments: list[bytes], ids: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, offset) of every window of a shard that also stands in a segment of a smaller id."""
-    text = np.frombuffer(b"".join(segments), dtype=np.uint8)
-    sizes = np.array([len(s) for s in segments])
+def shard_repeats(text: np.ndarray, sizes: np.ndarray, ids: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, start, stop) of what the windows of a shard cover that also stand in a segment of a smaller id.
+
+    ``text`` holds the segments one after another. Windows that follow each other are one interval.
+    """
     bound = np.cumsum(sizes)
     array = suffix_array(text)
     common = permuted_common_prefixes(text, array, span)
-    owner = np.repeat(np.arange(len(segments)), sizes)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     whole = np.arange(len(text)) + span <= bound[owner]  # a window inside its segment
     run = np.cumsum(common[array] < span) - 1
     far = np.iinfo(np.int64).max
-    least = np.full(run[-1] + 1, far)
-    np.minimum.at(least, run, np.where(whole[array], ids[owner[array]], far))
-    position = array[whole[array] & (ids[owner[array]] > least[run])]
-    return owner[position], position - (bound - sizes)[owner[position]]
+    own = np.where(whole, ids[owner], far)[array]
+    least = np.minimum.reduceat(own, np.flatnonzero(np.diff(run, prepend=-1)))
+    position = np.sort(array[(own != far) & (own > least[run])])
+    if not len(position):
+        return position, position, position
+    new = np.concatenate(([True], (position[1:] != position[:-1] + 1) | (owner[position[1:]] != owner[position[:-1]])))
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(position)) - 1
+    segment = owner[position[first]]
+    begin = (bound - sizes)[segment]
+    return segment, position[first] - begin, position[last] - begin + span
 
 
 def _spans(ids: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
@@ -255,37 +264,49 @@ def _spans(ids: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBat
 def _shards(span: int):
     """Step 2, over segments sorted by anchor: suffix arrays of shards of whole anchors."""
 
-    def flush(held):
-        found, offset = shard_repeats([h[2] for h in held], np.array([h[0] for h in held]), span)
-        ids = np.array([h[0] for h in held], dtype=np.int64)[found]
-        start = np.array([h[1] for h in held], dtype=np.int64)[found] + offset
-        return _spans(ids, start, start + span)
+    def flush(ids, start, sizes, text):
+        segment, a, b = shard_repeats(text, sizes, ids, span)
+        return _spans(ids[segment], start[segment] + a, start[segment] + b)
 
     def run(batches):
-        held, size, anchor = [], 0, None
+        held: list[tuple] = []  # (anchor, id, start, size, bytes) of rows not yet in a shard
+        size = 0
         for batch in batches:
-            columns = (batch.column("a").to_pylist(), batch.column("id").to_pylist(), batch.column("start").to_pylist(), batch.column("bytes").to_pylist())
-            for a, i, start, raw in zip(*columns, strict=True):
-                if a != anchor and size > SHARD_BYTES:
-                    yield flush(held)
-                    held, size = [], 0
-                anchor = a
-                held.append((i, start, raw))
-                size += len(raw)
-        if held:
-            yield flush(held)
+            if not batch.num_rows:
+                continue
+            raw = batch.column("bytes")
+            flat = np.frombuffer(b"".join(raw.to_pylist()), dtype=np.uint8)
+            columns = [np.asarray(batch.column(c)) for c in ("a", "id", "start")]
+            held.append((*columns, np.asarray(pc.binary_length(raw)).astype(np.int64), flat))
+            size += len(flat)
+            if size < SHARD_BYTES:
+                continue
+            anchor, ids, start, sizes, text = (np.concatenate(x) for x in zip(*held, strict=True))
+            cut = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on
+            if cut:
+                at = int(sizes[:cut].sum())
+                yield flush(ids[:cut], start[:cut], sizes[:cut], text[:at])
+                anchor, ids, start, sizes, text = anchor[cut:], ids[cut:], start[cut:], sizes[cut:], text[at:]
+            held, size = [(anchor, ids, start, sizes, text)], len(text)
+        if size:
+            _, ids, start, sizes, text = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield flush(ids, start, sizes, text)
 
     return run
 
 
-def _united(spans: list[dict[str, int]]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for s in sorted((x["start"], x["stop"]) for x in spans):
-        if out and s[0] <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], s[1])
-        else:
-            out.append(list(s))
-    return out
+def _united(owner: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping and touching intervals of each owner as one, sorted."""
+    if not len(owner):
+        return owner, start, stop
+    order = np.lexsort((start, owner))
+    owner, start, stop = owner[order], start[order], stop[order]
+    # Stops so far within an owner: shifted apart by owner, one running maximum does for all.
+    far = int(stop.max()) + 1
+    reach = np.maximum.accumulate(stop + owner * far) - owner * far
+    new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (start[1:] > reach[:-1])))
+    first = np.flatnonzero(new)
+    return owner[first], start[first], reach[np.append(first[1:], len(owner)) - 1]
 
 
 def find_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,22 +326,28 @@ def find_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text
 
     def fetch(batches):
         for part in slices(batches):
+            wanted = part.column("wanted")
+            many = np.asarray(pc.list_value_length(wanted))
+            fields = wanted.flatten()
+            key, start, size, hot = (fields.field(c).to_pylist() for c in ("a", "start", "size", "hot"))
+            texts = texts_of(part.column("text"))
+            owner = np.repeat(np.arange(len(texts)), many).tolist()
+            ids = np.repeat(np.asarray(part.column("id")), many)
+            raw = [texts[o][a : a + n] for o, a, n in zip(owner, start, size, strict=True)]
+            cool = pa.array([not h for h in hot])
+            rows = [pa.array(key, pa.int64()), pa.nulls(len(key), pa.int64()), pa.array(ids), pa.array(start, pa.int32()), pa.array(raw, pa.binary())]
+            names = ["a", "b", "id", "start", "bytes"]
+            yield pa.RecordBatch.from_arrays(rows, names=names).filter(cool)
             lines: list[tuple] = []
-            for i, text, items in zip(part.column("id").to_pylist(), texts_of(part.column("text")), part.column("wanted").to_pylist(), strict=True):
-                for w in items:
-                    raw = text[w["start"] : w["start"] + w["size"]]
-                    if not w["hot"]:
-                        lines.append((w["a"], None, i, w["start"], raw))
-                        continue
-                    for offset in range(len(raw) - span + 1):
-                        digest = hashlib.blake2b(raw[offset : offset + span], digest_size=16).digest()
-                        lines.append((int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), i, w["start"] + offset, None))
+            for k in np.flatnonzero(hot).tolist():
+                for offset in range(len(raw[k]) - span + 1):
+                    digest = hashlib.blake2b(raw[k][offset : offset + span], digest_size=16).digest()
+                    halves = np.frombuffer(digest, dtype="<i8").tolist()
+                    lines.append((*halves, int(ids[k]), start[k] + offset))
             if lines:
-                a, b, i, start, raw = zip(*lines, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(i, pa.int64()), pa.array(start, pa.int32()), pa.array(raw, pa.binary())],
-                    names=["a", "b", "id", "start", "bytes"],
-                )
+                a, b, i, at = zip(*lines, strict=True)
+                rows = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(i, pa.int64()), pa.array(at, pa.int32()), pa.nulls(len(a), pa.binary())]
+                yield pa.RecordBatch.from_arrays(rows, names=names)
 
     fetched = materialize(texts.mapInArrow(fetch, "a long, b long, id long, start int, bytes binary"), "fetched")
     cool = fetched.where("b IS NULL").select("a", "id", "start", "bytes").repartition(parts, "a").sortWithinPartitions("a", "id", "start")
@@ -332,9 +359,13 @@ def find_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text
 
     def unite(batches):
         for batch in batches:
-            united = [[{"start": a, "stop": b} for a, b in _united(s)] for s in batch.column("spans").to_pylist()]
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(united, kind)], names=["id", "spans"])
+            spans = batch.column("spans")
+            fields = spans.flatten()
+            owner = np.repeat(np.arange(len(spans)), np.asarray(pc.list_value_length(spans)))
+            owner, start, stop = _united(owner, *(np.asarray(fields.field(c)).astype(np.int64) for c in ("start", "stop")))
+            pairs = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["start", "stop"])
+            offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(spans))))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pairs)], names=["id", "spans"])
 
     return spans.mapInArrow(unite, "id long, spans array<struct<start:int,stop:int>>")
 

@@ -23,13 +23,25 @@ def _types(s: np.ndarray) -> np.ndarray:
     return smaller
 
 
-def _place(values: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Values grouped by symbol in stable order: (values, symbols, rank within symbol, [first of each])."""
-    order = np.argsort(symbols, kind="stable")
+def _place(values: np.ndarray, symbols: np.ndarray):
+    """Values grouped by symbol in stable order: (values, [symbol], [first of each], [number of each])."""
+    n = len(values)
+    if n == 1:
+        return values, symbols, _ZERO, _ONE
+    order = symbols.argsort(kind="stable")
     values, symbols = values[order], symbols[order]
-    first = np.flatnonzero(np.concatenate(([True], symbols[1:] != symbols[:-1])))
-    rank = np.arange(len(values)) - np.repeat(first, np.diff(np.append(first, len(values))))
-    return values, symbols, rank, first
+    change = (symbols[1:] != symbols[:-1]).nonzero()[0]
+    first = np.empty(len(change) + 1, dtype=np.int64)
+    first[0] = 0
+    first[1:] = change
+    first[1:] += 1
+    sizes = np.empty_like(first)
+    sizes[:-1] = first[1:] - first[:-1]
+    sizes[-1] = n - first[-1]
+    return values, symbols[first], first, sizes
+
+
+_ZERO, _ONE = np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64)
 
 
 def _next_open(is_open: np.ndarray, at: int) -> int:
@@ -48,10 +60,11 @@ def _induce(s: np.ndarray, small: np.ndarray, sorted_lms: np.ndarray, counts: np
     end = np.cumsum(counts)
     start = end - counts
     large_count = np.bincount(s[~small], minlength=len(counts))
-    array = np.full(n, -1, dtype=np.int64)
+    array = np.full(n, -1, dtype=np.int32)
+    steps = np.arange(n, dtype=np.int64)
     # LMS suffixes at the ends of their buckets, in order.
-    values, symbols, rank, first = _place(sorted_lms[::-1], s[sorted_lms[::-1]])
-    array[end[symbols] - 1 - rank] = values
+    values, symbols, first, sizes = _place(sorted_lms[::-1], s[sorted_lms[::-1]])
+    array[np.repeat(end[symbols] - 1 + first, sizes) - steps[: len(values)]] = values
 
     head, stop = start.copy(), start + large_count
     is_open = large_count > 0
@@ -63,11 +76,12 @@ def _induce(s: np.ndarray, small: np.ndarray, sorted_lms: np.ndarray, counts: np
         before = block[block > 0] - 1
         before = before[~small[before]]
         if len(before):
-            values, symbols, rank, first = _place(before, s[before])
-            array[head[symbols] + rank] = values
-            touched = symbols[first]
-            head[touched] += np.diff(np.append(first, len(values)))
-            is_open[touched] = head[touched] < stop[touched]
+            values, touched, first, sizes = _place(before, s[before])
+            at_head = head[touched]
+            array[(at_head - first).repeat(sizes) + steps[: len(values)]] = values
+            at_head += sizes
+            head[touched] = at_head
+            is_open[touched] = at_head < stop[touched]
         i = e
 
     # The S part anew, from the right. The sentinel's suffix comes first of all.
@@ -79,6 +93,7 @@ def _induce(s: np.ndarray, small: np.ndarray, sorted_lms: np.ndarray, counts: np
     stop[s[n - 1]] += 1
     is_open = (tail > stop)[::-1].copy()
     buckets = len(counts)
+    last = np.int64(buckets - 1)
     i, at = n, 0
     while i > 0:
         at = _next_open(is_open, at)
@@ -87,11 +102,12 @@ def _induce(s: np.ndarray, small: np.ndarray, sorted_lms: np.ndarray, counts: np
         before = block[block > 0] - 1
         before = before[small[before]]
         if len(before):
-            values, symbols, rank, first = _place(before, s[before])
-            array[tail[symbols] - 1 - rank] = values
-            touched = symbols[first]
-            tail[touched] -= np.diff(np.append(first, len(values)))
-            is_open[buckets - 1 - touched] = tail[touched] > stop[touched]
+            values, touched, first, sizes = _place(before, s[before])
+            at_tail = tail[touched]
+            array[(at_tail - 1 + first).repeat(sizes) - steps[: len(values)]] = values
+            at_tail -= sizes
+            tail[touched] = at_tail
+            is_open[last - touched] = at_tail > stop[touched]
         i = e
     return array
 
@@ -105,16 +121,18 @@ def _runs(counts: np.ndarray) -> np.ndarray:
 def _suffix_array(s: np.ndarray, symbols: int) -> np.ndarray:
     """For symbols 0..symbols-1; the last symbol is 0 and occurs once."""
     n = len(s)
+    # Stable sorts of 16-bit numbers take linear time.
+    s = s.astype(np.uint16 if symbols <= 1 << 16 else np.int32)
     if n <= 2:
         return np.arange(n - 1, -1, -1)
     small = _types(s)
     is_lms = np.concatenate(([False], small[1:] & ~small[:-1]))
-    lms = np.flatnonzero(is_lms)
+    lms = np.flatnonzero(is_lms).astype(np.int32)
     counts = np.bincount(s, minlength=symbols)
     array = _induce(s, small, lms, counts)
     ordered = array[is_lms[array]]
     # Name the LMS substrings: equal to their neighbour in order, or new.
-    length = np.zeros(n, dtype=np.int64)
+    length = np.zeros(n, dtype=np.int32)
     length[lms] = np.append(np.diff(lms) + 1, 1)
     a, b = ordered[:-1], ordered[1:]
     equal = length[a] == length[b]
@@ -127,7 +145,7 @@ def _suffix_array(s: np.ndarray, symbols: int) -> np.ndarray:
         left = left[same & (step < length[a[left]])]
     names = np.concatenate(([0], np.cumsum(~equal)))
     if names[-1] + 1 < len(lms):
-        place = np.zeros(n, dtype=np.int64)
+        place = np.zeros(n, dtype=np.int32)
         place[ordered] = names
         inner = _suffix_array(place[lms], int(names[-1]) + 1)
         ordered = lms[inner]
