@@ -11,9 +11,10 @@ With ``BANDS`` bands of ``ROWS`` coordinates a pair of similarity 0.8 is missed
 Links are then decided by the exact similarity of the shingle sets (of 64-bit hashes).
 
 Groups of copies are never paired among themselves. Documents of equal sets become one node first. In a
-bucket of equal bands, each node is compared with the bucket's leader, in a few rounds with different
-leaders; what a round links is one component from then on. At the end only nodes of *different*
-components that share a bucket are compared, all of them, so no link between components is lost.
+round every bucket of equal bands has a leader, and each node is compared with one leader of another
+component, whose buckets it shares; what a round links is one component from then on. Rounds with
+different leaders go on while they link. At the end only nodes of *different* components that share a
+bucket are compared, all of them, so no link between components is lost.
 
 Result: one row per row, with the class id: the least id of the component. Documents without words, and
 null texts, are classes of their own; without an id the class is null. Rows of one id are one document.
@@ -33,8 +34,8 @@ from nichelens.session import materialize
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 30, 5
-#: The least of node XOR one of these is the leader of a round; XOR again gives the node.
-ORDERS = (0, -1, 0x2492492492492492)
+#: The least of node XOR one of these is a bucket's leader in a round; XOR again gives the node.
+ORDERS = (0, -1, 0x2492492492492492, 0x5A5A5A5A5A5A5A5A, 0x0F0F33335555AAAA, 0x1234567890ABCDEF)
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -44,7 +45,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 22)
+        size = max(n, 1 << 20)
         for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
             line = np.full(size, base)
             line[0] = 1
@@ -136,7 +137,7 @@ def sign(docs: DataFrame, bands: int, rows: int, size: int, counted: bool) -> Da
     """(id, k1, k2, n, bands): a 128-bit hash and the number of a document's elements, and its bands."""
 
     def run(batches):
-        for part in slices(batches, 2 << 20):
+        for part in slices(batches, 1 << 20):
             texts = texts_of(part.column("text"))
             owner, value = element_sets(texts, size, counted)
             n = np.bincount(owner, minlength=len(texts))
@@ -162,7 +163,7 @@ def sets_of(docs: DataFrame, size: int, counted: bool) -> DataFrame:
     """(id, elements array<long>) of whole texts."""
 
     def run(batches):
-        for part in slices(batches, 2 << 20):
+        for part in slices(batches, 1 << 20):
             texts = texts_of(part.column("text"))
             owner, value = element_sets(texts, size, counted)
             offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(texts))))).astype(np.int32)
@@ -211,25 +212,42 @@ def classes(
         """Sizes that allow the similarity at all."""
         return F.least(F.col(a), F.col(b)) >= similarity * F.greatest(F.col(a), F.col(b))
 
-    links: DataFrame | None = None
     roots: DataFrame | None = None
 
-    def with_links(found: DataFrame) -> None:
-        nonlocal links, roots
-        found = materialize(found, "links")
-        if found.isEmpty():
-            return
-        links = found if links is None else links.union(found)
-        roots = components(links, "a", "b")
+    def with_links(found: DataFrame, roots: DataFrame | None) -> tuple[DataFrame | None, bool]:
+        """Components after the links (a, b) between nodes, and whether there were any."""
+        if roots is None:
+            edges = found
+        else:
+            # Known components count as one node each, their root.
+            of_a, of_b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+            edges = found.join(of_a, "a", "left").join(of_b, "b", "left")
+            edges = edges.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+        edges = materialize(edges.distinct(), "links")
+        if edges.isEmpty():
+            return roots, False
+        merged = components(edges, "a", "b")
+        if roots is None:
+            return materialize(merged, "roots"), True
+        moved = roots.withColumnRenamed("root", "old").join(
+            merged.select(F.col("node").alias("old"), F.col("root").alias("new")), "old", "left"
+        )
+        moved = moved.select("node", F.coalesce("new", "old").alias("root"))
+        return materialize(moved.union(merged.join(roots.select("node"), "node", "left_anti")), "roots"), True
 
     for order in ORDERS:
         rest = mixed(roots)
-        lead = rest.groupBy("band").agg(F.min(F.col("node").bitwiseXOR(F.lit(order))).alias("turned"))
+        turned = F.col("node").bitwiseXOR(F.lit(order))
+        lead = rest.groupBy("band").agg(F.min(turned).alias("turned"))
         lead = lead.select("band", F.col("turned").bitwiseXOR(F.lit(order)).alias("a"))
         leaders = rest.select("band", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"))
         led = leaders.join(lead, ["band", "a"]).distinct()
         pairs = rest.join(led, "band").where("root <> root_a").where(fits("n", "n_a"))
-        with_links(_verified(pairs.select("a", F.col("node").alias("b")).distinct(), sets, similarity))
+        one = pairs.groupBy(F.col("node").alias("b")).agg(F.min(F.col("a").bitwiseXOR(F.lit(order))).alias("turned"))
+        one = one.select(F.col("turned").bitwiseXOR(F.lit(order)).alias("a"), "b")
+        roots, linked = with_links(_verified(one, sets, similarity), roots)
+        if not linked:
+            break
     # What is still apart within a bucket: all of its smaller components against all of the bucket.
     rest = materialize(mixed(roots), "mixed")
     sized = rest.groupBy("band", "root").count()
@@ -237,7 +255,7 @@ def classes(
     rest = rest.join(main, "band")
     minor = rest.where("root <> main").select("band", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"))
     pairs = minor.join(rest, "band").where("root <> root_a AND (root = main OR a < node)").where(fits("n", "n_a"))
-    with_links(_verified(pairs.select("a", F.col("node").alias("b")).distinct(), sets, similarity))
+    roots, _ = with_links(_verified(pairs.select("a", F.col("node").alias("b")).distinct(), sets, similarity), roots)
 
     found = member.select("id", "node")
     if roots is not None:
