@@ -9,7 +9,7 @@ import tiktoken
 from odd_rows import prose
 from pyspark.sql import functions as F
 
-from nichelens.llm import bpe, decontam, langid, licenses, neardup, repeats, simhash, tokencount
+from nichelens.llm import bpe, decontam, langid, licenses, lm, neardup, repeats, simhash, tokencount
 from nichelens.llm.common import FOLD, LOWER, components
 from nichelens.llm.queries import PATTERN, RANKS
 from nichelens.llm.suffix_array import permuted_common_prefixes, suffix_array
@@ -203,3 +203,38 @@ def test_words_of_a_text(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     got = {r.i: r.n for r in rows.select("i", F.size(word_list(F.col("text"))).alias("n")).collect()}
     assert [got[i] for i in range(len(texts))] == [len((t or "").encode().translate(FOLD).split()) for t in texts]
+
+
+def test_lm_model_grows_with_the_corpus(spark):
+    """What is learned of a text stays when very many unrelated contexts are learned beside it."""
+    r = random.Random(11)
+    mine = [(1, "the model keeps what it has learned " + prose(77, 150)), (8, prose(78, 100))]
+    noise = [(100 + k, "".join(chr(r.randrange(33, 127)) for _ in range(20_000))) for k in range(150)]
+
+    def score(rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        return {x.doc_id: x.score for x in lm.scores(docs, F.lit(False)).where("doc_id < 100").collect()}
+
+    alone, beside = score(mine), score(mine + noise)
+    assert set(alone) == set(beside) == {1, 8}
+    assert beside[1] > 1.25 * alone[1] and beside[8] > 1.25 * alone[8]
+
+
+def test_lm_counts_are_exact():
+    texts = [prose(k, 30).encode() for k in range(4)] + [b"", "é".encode()]
+    flat, _, place = lm._joined(texts)
+    for keys in lm._keys(flat, place):
+        known, counts = lm._summed(keys, np.ones(len(keys), np.int64))
+        odds, at = lm.path_odds(known, counts, known), 0
+        for key in known.tolist():
+            inside = [(k & 255, n) for k, n in zip(known.tolist(), counts.tolist(), strict=True) if k >> 8 == key >> 8]
+            path = range(int(lm._START[key & 255]), int(lm._START[key & 255] + lm._SIZE[key & 255]))
+            low, high = 0, 256
+            for step in path:
+                middle = int(lm._RIGHT[step])
+                zeros, ones = (sum(n for x, n in inside if a <= x < b) for a, b in ((low, middle), (middle, high)))
+                assert odds[at] == np.clip(np.round(np.log((ones + 0.1) / (zeros + 0.1)) / lm.UNIT), -127, 127)
+                low, high = (middle, high) if lm._BIT[step] else (low, middle)
+                at += 1
+            assert (low, high) == (key & 255, (key & 255) + 1)
+        assert at == len(odds)
