@@ -5,9 +5,9 @@ segment from both ends, and a linear layer labels every byte position with a lan
 probabilities are the mean over all its positions, so whole texts count. The squashing functions are
 x / (1 + |x|), which have the shape of tanh at a fraction of its cost.
 
-Training: backpropagation through time with Adam on a bounded sample, ``TRAIN_DOCS`` labelled documents
-a language (twice that at most) with ``TRAIN_SEGMENTS`` segments each, spread over the whole text. Rows
-are chosen by a hash of the row; language, source and id are no inputs of a prediction. Only the sample
+Training: backpropagation through time with Adam on a bounded sample, at most twice ``TRAIN_DOCS`` different
+labelled texts a language with ``TRAIN_SEGMENTS`` segments each, spread over the whole text. Texts
+are chosen by a hash of text and language; language, source and id are no inputs of a prediction. Only the sample
 and the network (a few thousand numbers) pass through the driver.
 
 Null texts and texts without a letter are ``und`` with score 0, as is everything when there was no
@@ -20,7 +20,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nichelens.llm.common import LOWER, slices, texts_of, with_id
@@ -192,14 +192,18 @@ def _pooled(net: Network, texts: list[bytes]) -> np.ndarray:
     return total / np.maximum(size, 1)[:, None]
 
 
-def sample_segments(labelled: DataFrame) -> list[tuple[str, bytes]]:
-    """A bounded sample of (lang, segment) of a table (lang, text, pick), ``pick`` a hash of the row."""
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    if not counts:
-        return []
-    # Rows whose hash falls under a share chosen for twice the wanted number, at most; then the number itself.
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 2 * TRAIN_DOCS / n)))])
-    chosen = labelled.where(F.pmod("pick", F.lit(1 << 30)) < share[F.col("lang")] * float(1 << 30))
+def sample_segments(labelled: DataFrame) -> tuple[list[tuple[str, bytes]], list[str]]:
+    """A bounded sample of (lang, segment) of a table (lang, text, pick), ``pick`` a hash of text and language; and
+    the languages. Copies of a text count once: of each language the texts with the smallest picks are taken."""
+    # Cut within each task before the shuffle, so that a frequent language is not gathered.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("pick"))
+    smallest = labelled.select("lang", "pick").distinct().withColumn("place", place).where(F.col("place") <= 2 * TRAIN_DOCS)
+    limits = {r["lang"]: r["limit"] for r in smallest.groupBy("lang").agg(F.max("pick").alias("limit")).collect()}
+    if not limits:
+        return [], []
+    limit = F.create_map(*[x for k, n in limits.items() for x in (F.lit(k), F.lit(n).cast("long"))])
+    # One of each text's copies; a task sends one at most.
+    chosen = labelled.where(F.col("pick") <= limit[F.col("lang")]).groupBy("lang", "pick").agg(F.min("text").alias("text"))
 
     def cut(batches):
         for batch in batches:
@@ -214,7 +218,7 @@ def sample_segments(labelled: DataFrame) -> list[tuple[str, bytes]]:
             yield pa.RecordBatch.from_arrays([pa.array(languages, pa.string()), pa.array(segments, pa.binary())], names=["lang", "segment"])
 
     rows = chosen.select("lang", "text", "pick").mapInArrow(cut, "lang string, segment binary").collect()
-    return sorted((r["lang"], bytes(r["segment"])) for r in rows if r["segment"])
+    return sorted((r["lang"], bytes(r["segment"])) for r in rows if r["segment"]), sorted(limits)
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Network | None:
@@ -222,8 +226,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     rows = labelled.select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(10), F.md5(F.col(text_col).cast("binary")), lang_col).alias("pick")
     ).where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    sample = sample_segments(rows)
-    return train(sample, sorted({name for name, _ in sample})) if sample else None
+    sample, languages = sample_segments(rows)
+    return train(sample, languages) if sample else None
 
 
 def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

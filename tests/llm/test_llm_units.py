@@ -238,3 +238,14 @@ def test_lm_counts_are_exact():
                 at += 1
             assert (low, high) == (key & 255, (key & 255) + 1)
         assert at == len(odds)
+
+
+def test_language_sample_of_copies(spark):
+    """A language of few texts in many copies is learned, and copies take no more than one place."""
+    few = [(f"few{lang}", f"mucho texto {lang} repetido") for lang in range(6) for _ in range(3000)]
+    many = [("many", prose(k, 12)) for k in range(700)] + [("many", "the same text again and again")] * 700
+    rows = spark.createDataFrame(few + many, "lang string, text string").withColumn("pick", F.xxhash64("text", "lang"))
+    sample, languages = langid.sample_segments(rows)
+    assert languages == sorted({f"few{k}" for k in range(6)} | {"many"}) == sorted({name for name, _ in sample})
+    per = 2 * langid.TRAIN_DOCS * langid.TRAIN_SEGMENTS
+    assert all(sum(name == lang for name, _ in sample) <= (per if lang == "many" else langid.TRAIN_SEGMENTS) for lang in languages)
