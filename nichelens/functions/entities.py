@@ -83,8 +83,11 @@ def detect_version(raw: Column) -> Column:
     return blank_to_null(F.regexp_extract(raw, VERSION, 1))
 
 
-def detect_product(normalized_title: Column, vendor: Column, rules: EntityRules) -> Column:
-    """First usable word after a keyword of the vendor, keywords in rule order."""
+def detect_product(
+    normalized_title: Column, vendor: Column, rules: EntityRules, max_length: int | None = None
+) -> Column:
+    """First usable word after a keyword of the vendor, keywords in rule order; whole unless
+    ``max_length`` is given."""
 
     def after(keyword: str) -> Column:
         at = F.instr(normalized_title, keyword)
@@ -95,7 +98,8 @@ def detect_product(normalized_title: Column, vendor: Column, rules: EntityRules)
             F.split(tail, "[^0-9a-zа-яё.]+"),
             lambda w: (F.length(w) >= 3) & ~w.isin(*PRODUCT_STOPWORDS),
         )
-        return F.substring(F.try_element_at(words, F.lit(1)), 1, 64)
+        word = F.try_element_at(words, F.lit(1))
+        return word if max_length is None else F.substring(word, 1, max_length)
 
     product = F.lit(None).cast("string")
     for name, keywords in reversed(rules.vendors.items()):

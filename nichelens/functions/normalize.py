@@ -350,8 +350,8 @@ def detect_platform(label: Column, url: Column) -> Column:
     )
 
 
-def slugify(c: Column, max_length: int = 160) -> Column:
-    """Transliterated label usable as a key."""
+def slugify(c: Column, max_length: int | None = None) -> Column:
+    """Transliterated label usable as a key; whole unless ``max_length`` is given."""
     text = F.translate(F.lower(F.coalesce(clean_text(c), F.lit(""))), "ё", "е")
     for letter, latin in TRANSLITERATION.items():
         if len(latin) > 1:
@@ -360,7 +360,9 @@ def slugify(c: Column, max_length: int = 160) -> Column:
     silent = "".join(k for k, v in TRANSLITERATION.items() if not v)
     text = F.translate(text, "".join(single) + silent, "".join(single.values()))
     text = F.trim(F.regexp_replace(text, r"[^a-z0-9]+", "-"), F.lit("-"))
-    return F.coalesce(let(F.substring(text, 1, max_length), blank_to_null), F.lit("unknown"))
+    if max_length is not None:
+        text = F.substring(text, 1, max_length)
+    return F.coalesce(let(text, blank_to_null), F.lit("unknown"))
 
 
 def build_dedupe_key(

@@ -46,7 +46,10 @@ HALF_LIFE_HOURS = {
 
 @dataclass(frozen=True)
 class TopicRules:
-    """Weights, decay and thresholds of one score version."""
+    """Weights, decay and thresholds of one score version.
+
+    ``note_terms`` is the number of matched terms a note lists; all of them by default.
+    """
 
     version: str = "topic_score_v1"
     weights: dict[str, float] = field(default_factory=lambda: dict(TOPIC_WEIGHTS))
@@ -56,6 +59,7 @@ class TopicRules:
     age_penalty_per_day: float = 8.0
     expire_after_days: int = 30
     lexicon: Lexicon | None = field(default_factory=Lexicon)
+    note_terms: int | None = None
 
 
 def _moment(now: str | Column) -> Column:
@@ -147,7 +151,7 @@ def score_clusters(
     def note(key: str) -> Column:
         listed = lambda sign, terms: F.when(
             F.size(terms) > 0,
-            F.concat(F.lit(sign), F.array_join(F.slice(terms, 1, 6), ", ")),
+            F.concat(F.lit(sign), F.array_join(terms if rules.note_terms is None else F.slice(terms, 1, rules.note_terms), ", ")),
         )
         if key == "relevance":
             parts = F.concat_ws("; ", listed("+", F.col("_rel.matched")), listed("-", F.col("_rel.penalised")))

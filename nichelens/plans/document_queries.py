@@ -214,7 +214,7 @@ def detect_product(spark, sf_dir):
         "vendor", ent.detect_vendor(F.col("body"), d.FIXTURE_ENTITIES)
     )
     product = ent.detect_product(
-        tk.normalize_text(F.col("title")), F.col("vendor"), d.FIXTURE_ENTITIES
+        tk.normalize_text(F.col("title")), F.col("vendor"), d.FIXTURE_ENTITIES, max_length=64
     )
     return rows.select("item_id", product.alias("product"))
 
