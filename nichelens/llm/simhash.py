@@ -23,7 +23,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nichelens.llm.common import word_list
+from nichelens.llm.common import components, word_list
 from nichelens.session import materialize
 
 WORDS = 2
@@ -154,8 +154,10 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return ordered.where("guard = 0").drop("guard")
 
 
-def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each text's fingerprint beside those of its edited form and of the next document.
+def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 6) -> DataFrame:
+    """Each text's fingerprint beside those of its edited form and of the next document; ``n_near`` other
+    fingerprints of documents lie within ``radius`` bits, and ``near_class`` is the least fingerprint that
+    such steps lead to.
 
     The edited text ends in the next document's first code points instead of its own last quarter.
     """
@@ -180,8 +182,14 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.max(F.when(F.col("which") == 1, F.col("fingerprint"))).alias("edited_fingerprint"),
     )
     wide = materialize(wide, "fingerprints")
+    # Every fingerprint's near ones among all documents: how many there are, and the least of the group as its class.
+    pairs = materialize(near(wide, radius), "near-fingerprints")
+    both = pairs.select(F.col("a").alias("fingerprint"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    links = both.groupBy("fingerprint").agg(F.count("*").alias("n_near"))
+    roots = components(pairs, "a", "b").select(F.col("node").alias("fingerprint"), F.col("root").alias("near_class"))
+    linked = links.join(roots, "fingerprint")
     of_text = wide.select(F.col("md5").alias("next_md5"), F.col("fingerprint").alias("next_fingerprint")).distinct()
-    return wide.join(of_text, "next_md5").select(
+    return wide.join(of_text, "next_md5").join(linked, "fingerprint", "left").select(
         F.col("id").alias(id_col),
         "n_chars",
         "edited_sha256",
@@ -189,4 +197,6 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        F.coalesce("near_class", "fingerprint").alias("near_class"),
+        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )

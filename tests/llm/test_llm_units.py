@@ -249,3 +249,15 @@ def test_language_sample_of_copies(spark):
     assert languages == sorted({f"few{k}" for k in range(6)} | {"many"}) == sorted({name for name, _ in sample})
     per = 2 * langid.TRAIN_DOCS * langid.TRAIN_SEGMENTS
     assert all(sum(name == lang for name, _ in sample) <= (per if lang == "many" else langid.TRAIN_SEGMENTS) for lang in languages)
+
+
+def test_fingerprints_find_near_documents_anywhere(spark):
+    base = prose(21, 900).split()
+    edited = [*base[:-1], "other"]
+    texts = [" ".join(base), prose(22, 300), prose(23, 300), " ".join(edited), " ".join(base)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in simhash.compare_edits(rows).collect()}
+    f = {i: int(r.fingerprint, 16) for i, r in got.items()}
+    for i, r in got.items():
+        assert r.n_near == sum(0 < (v ^ f[i]).bit_count() <= 6 for v in set(f.values()))
+    assert len(got) == 5 and got[0].n_near == 1 and got[0].near_class == got[3].near_class == got[4].near_class == min(got[0].fingerprint, got[3].fingerprint)
