@@ -2,18 +2,36 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nichelens.llm import bpe, decontam, langid, licenses, lm, neardup, repeats, simhash, tokencount, urlfilter
+from nichelens.llm import (
+    align,
+    bpe,
+    decontam,
+    langid,
+    licenses,
+    lm,
+    neardup,
+    phrases,
+    repeats,
+    simhash,
+    tokencount,
+    urlfilter,
+    warc,
+)
 from nichelens.llm.common import held_out, table
 
 #: Where the vocabulary lies; another file of ranks may be given.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
+#: The two vocabularies that are aligned.
+BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +121,67 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of a content-addressed archive, written and read back."""
+    read = warc.archive_pages(spark, table(spark, sf_dir, "pages"), f"warc-{uuid.uuid4().hex}")
+    kind = warc.field(F.col("header"), "WARC-Type").alias("record_type")
+    return read.select("page_id", "payload_bytes", "payload_digest", kind, "refers_to")
+
+
+# A SHA-1 digest in base32: 40 hexadecimal digits, five of them to four signs.
+OP11_SQL = """
+WITH d AS (
+    SELECT page_id, encode(coalesce(html, '')) AS body, sha1(encode(coalesce(html, ''))) AS h FROM pages),
+r AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY page_id NULLS LAST) AS k,
+             first(page_id) OVER (PARTITION BY body ORDER BY page_id NULLS LAST) AS low FROM d)
+SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+           (CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS INTEGER), 1)), '')
+           AS payload_digest,
+       CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN low END AS refers_to
+FROM r
+"""
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of every language."""
+    return phrases.mine(table(spark, sf_dir, "documents"), least=100, longest=5, covered=100, top=2000)
+
+
+OP12_SQL = r"""
+WITH d AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[.,;:!?
+-]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM d),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+grams AS (
+    SELECT lang, s, array_to_string(w[i : i + s - 1], ' ') AS g
+    FROM (SELECT lang, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM w, range(1, 6) t(s) WHERE len(w) >= s)),
+f AS (SELECT lang, s, g, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (
+    SELECT f.lang, g, s, f AS a, k, array_to_string(string_split(g, ' ')[:k], ' ') AS g1, array_to_string(string_split(g, ' ')[k + 1:], ' ') AS g2
+    FROM f, range(1, 5) t(k) WHERE k < s),
+scored AS (
+    SELECT c.lang, c.g AS phrase, c.s, c.a, x.f AS l, y.f AS r, n, k,
+           CAST((CAST(1000 AS HUGEINT) * c.a * n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+    FROM cuts c JOIN f x ON x.lang = c.lang AND x.g = c.g1 JOIN f y ON y.lang = c.lang AND y.g = c.g2 JOIN total t ON t.lang = c.lang),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+held AS (
+    SELECT DISTINCT i.lang, i.phrase FROM worst i JOIN f o ON o.lang = i.lang AND o.s > i.s AND 100 * o.f >= 100 * i.a
+    WHERE contains(' ' || o.g || ' ', ' ' || i.phrase || ' '))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM worst ANTI JOIN held USING (lang, phrase)
+QUALIFY rank <= 2000
+"""
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers in every document, with corpus-wide counts of the linked pairs."""
+    return align.align(table(spark, sf_dir, "documents"), BYTE_LEVEL, PIECES)
+
+
 _WORDS_SQL = r"""
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
@@ -141,10 +220,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_decontamination": op9_decontamination,
     "op10_language": op10_language,
+    "op11_warc": op11_warc,
+    "op12_phrases": op12_phrases,
+    "op13_alignment": op13_alignment,
 }
 
 #: SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op7_repeats": OP7_SQL,
     "op9_decontamination": OP9_SQL,
+    "op11_warc": OP11_SQL,
+    "op12_phrases": OP12_SQL,
 }
