@@ -6,6 +6,10 @@ a compressed bitmap of the documents that hold the pair, and planes for how ofte
 documents where bit p of (links - 1) is set. Bitmaps are OR-merged and counted for the documents of a
 pair, planes are counted for its links. The same postings carry the counts back to the documents.
 
+A blank between a character that is none and one that is no white space begins a new group in both: the
+pattern of a byte-level vocabulary always begins a match there, and no piece of the other goes on over it
+(which is checked for each model). Texts are cut there, and each distinct stretch is encoded once.
+
 A null or empty text, and one whose tokens do not spell a blank and the text, has no tokens: zeros, and
 '' for its groups. Each row gives one row; equal rows count each. A text of any length is one document
 of one chunk. Columns other than the id and the text are not read. An empty table gives no rows.
@@ -16,6 +20,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
+from collections import ChainMap
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +37,10 @@ from nichelens.session import materialize
 #: Documents of a chunk; a dense bitmap has one bit for each.
 CHUNK_DOCS = 32768
 #: Links of a chunk, beyond which it ends with the document at hand.
-CHUNK_LINKS = 3 << 20
+CHUNK_LINKS = 1 << 20
+#: Stretches of at most so many characters in each of a worker's two generations of memory.
+MEMORY_STRETCHES, MEMORY_CHARS = 100_000, 64
+_BLANKS, _CUTS = re.compile(r"^\s| (?:\s|$)"), re.compile(r"(?<=[^ ]) (?=\S)")
 #: A bitmap of so many documents or more is dense; below it lists positions of two bytes.
 DENSE = CHUNK_DOCS // 16
 
@@ -85,75 +95,125 @@ class Pieces(Side):
             piece = self.model.id_to_piece(number)
             byte = self.model.is_byte(number)
             spelled.append(bytes([int(piece[3:5], 16)]) if byte else piece.replace("▁", " ").encode())
+            if "▁" in piece.lstrip("▁"):
+                raise ValueError(f"{path}: piece {piece!r} goes on over a blank")
         super().__init__(spelled)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
 
 
-_LOADED: dict[tuple[str, str], tuple[Side, Side]] = {}
-
+class Stretches:
+    """Tokens of stretches of text, cut into groups: for each (tokens, tokens, links, groups), or None if they do not fit.
 
-def loaded(path_a: str, path_b: str) -> tuple[Side, Side]:
-    """Both tokenizers of a worker, read once from the files that every node holds."""
-    key = (path_a, path_b)
-    if key not in _LOADED:
-        _LOADED[key] = (ByteLevel(path_a), Pieces(path_b))
-    return _LOADED[key]
+    Links are packed 64-bit numbers, the id of the first side in the upper half; groups are the text that is hashed.
+    """
 
+    def __init__(self, a: Side, b: Side):
+        self.sides = (a, b)
+        size = max(len(a.spelled), len(b.spelled))
+        # Every id spelled with each of the signs that may follow it.
+        self.names = [b"%d%s" % (i, sign) for sign in (b",", b"|", b";") for i in range(size)]
+        self.size = size
+        # Two generations: what is used again moves from the old one to the new one.
+        self.memory: dict[str, tuple | None] = {}
+        self.old: dict[str, tuple | None] = {}
+
+    def cut(self, text: str) -> list[str]:
+        """Stretches, each without the blank that it begins with."""
+        return text.split(" ") if _BLANKS.search(text) is None else _CUTS.split(text)
+
+    def of(self, texts: list[str]) -> list[list[tuple | None]]:
+        parts = [self.cut(t) if t else [] for t in texts]
+        wanted = set(chain.from_iterable(parts)) - self.memory.keys()
+        if len(self.memory) + len(wanted) > MEMORY_STRETCHES:
+            self.old, self.memory = self.memory, {}
+            wanted = set(chain.from_iterable(parts))
+        again = wanted & self.old.keys()
+        self.memory.update((w, self.old[w]) for w in again)
+        held = self.memory
+        fresh = list(wanted - again)
+        long = {}
+        for at in range(0, len(fresh), 8192):
+            for w, found in self.align(fresh[at : at + 8192]):
+                (held if len(w) <= MEMORY_CHARS else long)[w] = found
+        if long:
+            held = ChainMap(long, held)
+        return [[held[w] for w in p] for p in parts]
+
+    def align(self, stretches: list[str]) -> list[tuple[str, tuple | None]]:
+        """Each stretch with its tokens. Stretches between which texts are cut are encoded together."""
+        plain = [w for w in stretches if not w[0].isspace() and w[-1] != " "]
+        groups = [plain[at : at + 128] for at in range(0, len(plain), 128)]
+        groups += [[w] for w in stretches if w[0].isspace() or w[-1] == " "]
+        found = self._aligned(groups)
+        # A group that does not fit as a whole is looked at one by one.
+        wrong = [g for g, told in zip(groups, found, strict=True) if told is None]
+        single = [[w] for g in wrong if len(g) > 1 for w in g]
+        out = [x for told in found if told is not None for x in told]
+        out += [(g[0], None) for g in wrong if len(g) == 1]
+        if single:
+            out += [(g[0], told[0][1] if told else None) for g, told in zip(single, self._aligned(single), strict=True)]
+        return out
 
-class Aligned:
-    """Tokens of some texts, cut into groups; positions run on from text to text."""
-
-    def __init__(self, texts: list[str], a: Side, b: Side):
-        ids = [[], []]
-        for found, x, y in zip(texts, a.encode(texts), b.encode(texts), strict=True):
-            raw = b" " + found.encode()
-            fits = found and b"".join([a.spelled[i] for i in x]) == raw and b"".join([b.spelled[i] for i in y]) == raw
-            ids[0].append(x if fits else [])
-            ids[1].append(y if fits else [])
-        n = [np.array([len(x) for x in side], dtype=np.int64) for side in ids]
-        flat = [np.fromiter((i for x in side for i in x), dtype=np.int64, count=int(m.sum())) for side, m in zip(ids, n, strict=True)]
-        # Texts with tokens have the same bytes on both sides, so that offsets agree throughout.
-        ends = [np.cumsum(s.length[f]) for s, f in zip((a, b), flat, strict=True)]
-        common = np.intersect1d(*ends, assume_unique=True)
-        # A token belongs to the group of the first common end at or behind its own.
-        self.group = [np.searchsorted(common, e) for e in ends]
-        last = [np.searchsorted(e, common) for e in ends]
-        self.n_tokens, self.flat = n, flat
-        self.link = [f[i] for f, i in zip(flat, last, strict=True)]
-        doc = np.repeat(np.arange(len(texts)), n[0])
-        self.link_doc = doc[last[0]]
-        self.n_groups = np.bincount(self.link_doc, minlength=len(texts))
-
-    def digests(self, names: list[list[bytes]]) -> list[str]:
-        """SHA-256 of the groups of each text; '' for a text without tokens.
-
-        ``names`` has the number of every id followed by each of the signs ``,|;``.
-        """
-        a, b = self.flat
-        group_a, group_b = self.group
-        total_a, total_b = np.bincount(group_a), np.bincount(group_b)
-        before_a, before_b = np.cumsum(total_a), np.cumsum(total_b)
-        # Place of a token when the tokens of a group stand together, those of the first side in front.
-        place_a = np.arange(len(a)) + (before_b - total_b)[group_a]
-        place_b = np.arange(len(b)) + before_a[group_b]
-        spelled = np.empty(len(a) + len(b), dtype=np.int64)
-        size = len(names[0])
-        close_a, close_b = np.diff(group_a, append=-1) != 0, np.diff(group_b, append=-1) != 0
-        spelled[place_a] = a + size * close_a
-        spelled[place_b] = b + size * (2 * close_b)
-        table = names[0] + names[1] + names[2]
-        parts = [table[i] for i in spelled.tolist()]
-        out, at = [], 0
-        for m in (self.n_tokens[0] + self.n_tokens[1]).tolist():
-            out.append(hashlib.sha256(b"".join(parts[at : at + m])[:-1]).hexdigest() if m else "")
-            at += m
+    def _aligned(self, groups: list[list[str]]) -> list[list[tuple[str, tuple]] | None]:
+        texts = [" ".join(g) for g in groups]
+        ids = [side.encode(texts) for side in self.sides]
+        fits = [
+            all([b"".join([side.spelled[i] for i in x]) == raw for side, x in zip(self.sides, both, strict=True)])
+            for raw, both in zip((b" " + t.encode() for t in texts), zip(*ids, strict=True), strict=True)
+        ]
+        words = [w for g, ok in zip(groups, fits, strict=True) if ok for w in g]
+        flat = [
+            np.array(list(chain.from_iterable(x for x, ok in zip(side, fits, strict=True) if ok)), dtype=np.int64) for side in ids
+        ]
+        # What fits has the same bytes on both sides, so that offsets agree throughout.
+        ends = [np.cumsum(side.length[f]) for side, f in zip(self.sides, flat, strict=True)]
+        stop = np.cumsum([1 + len(w.encode()) for w in words], dtype=np.int64)
+        both = np.ones(int(stop[-1]) + 1 if len(stop) else 1, dtype=bool)
+        for e in ends:
+            mark = np.zeros(len(both), dtype=bool)
+            mark[e] = True
+            both &= mark
+        if not both[stop].all():
+            raise ValueError("a token goes on over a blank before a word")
+        passed = np.cumsum(both)
+        last = [np.flatnonzero(both[e]) for e in ends]
+        link = flat[0][last[0]] << 32 | flat[1][last[1]]
+        group = [passed[e - 1] for e in ends]  # common ends before a token's own
+        count = [np.bincount(g, minlength=len(link)) for g in group]
+        close = [np.zeros(len(f), dtype=np.int64) for f in flat]
+        for c, k in zip(close, last, strict=True):
+            c[k] = 1
+        # Tokens of a group stand together, those of the first side in front.
+        spelled = np.empty(len(flat[0]) + len(flat[1]), dtype=np.int64)
+        spelled[np.arange(len(flat[0])) + (np.cumsum(count[1]) - count[1])[group[0]]] = flat[0] + self.size * close[0]
+        spelled[np.arange(len(flat[1])) + np.cumsum(count[0])[group[1]]] = flat[1] + 2 * self.size * close[1]
+        names = self.names
+        parts = [names[i] for i in spelled.tolist()]
+        n = [np.diff(np.searchsorted(e, stop, side="right"), prepend=0).tolist() for e in ends]
+        links = np.diff(passed[stop], prepend=0).tolist()
+        raw, at, seen = link.tobytes(), 0, 0
+        told = []
+        for w, x, y, m in zip(words, *n, links, strict=True):
+            told.append((w, (x, y, raw[8 * seen : 8 * (seen + m)], b"".join(parts[at : at + x + y])[:-1])))
+            at, seen = at + x + y, seen + m
+        out, turn = [], 0
+        for g, ok in zip(groups, fits, strict=True):
+            out.append(told[turn : turn + len(g)] if ok else None)
+            turn += len(g) if ok else 0
         return out
 
 
-def number_names(size: int) -> list[list[bytes]]:
-    return [[b"%d%s" % (i, sign) for i in range(size)] for sign in (b",", b"|", b";")]
+_LOADED: dict[tuple[str, str], Stretches] = {}
+
+
+def loaded(path_a: str, path_b: str) -> Stretches:
+    """Both tokenizers of a worker, read once from the files that every node holds."""
+    key = (path_a, path_b)
+    if key not in _LOADED:
+        _LOADED[key] = Stretches(ByteLevel(path_a), Pieces(path_b))
+    return _LOADED[key]
 
 
 def bitmaps(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, pa.Array]:
@@ -209,8 +269,7 @@ def _encoded(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     names = ["id", "chunk", "pos", "n_a", "n_b", "n_groups", "groups_sha256", "pair", "plane", "docs"]
 
     def run(batches):
-        a, b = loaded(path_a, path_b)
-        name = number_names(max(len(a.spelled), len(b.spelled)))
+        stretches = loaded(path_a, path_b)
         chunk, filled, links = TaskContext.get().partitionId() << 24, 0, 0
         pairs, places = [], []
 
@@ -223,22 +282,30 @@ def _encoded(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                     [pa.nulls(m, to_arrow_type(kind)), pa.array(np.full(m, chunk)), *blank, pa.nulls(m, pa.string()), *part.columns], names=names
                 )
 
-        for part in slices(batches, 1 << 20):
+        for part in slices(batches, 2 << 20):
             for at in range(0, part.num_rows, CHUNK_DOCS):
                 some = part.slice(at, CHUNK_DOCS)
                 m = some.num_rows
                 if filled and (filled + m > CHUNK_DOCS or links >= CHUNK_LINKS):
                     yield from close()
                     chunk, filled, links, pairs, places = chunk + 1, 0, 0, [], []
-                found = Aligned([t or "" for t in some.column("text").to_pylist()], a, b)
-                pairs.append(found.link[0] << 32 | found.link[1])
-                places.append(found.link_doc + filled)
-                links += len(found.link_doc)
-                n = [*found.n_tokens, found.n_groups]
+                told = []
+                for k, found in enumerate(stretches.of([t or "" for t in some.column("text").to_pylist()])):
+                    if not found or None in found:
+                        told.append((0, 0, 0, ""))
+                        continue
+                    packed = b"".join([x[2] for x in found])
+                    pairs.append(np.frombuffer(packed, dtype=np.int64))
+                    m_links = len(packed) // 8
+                    places.append(np.full(m_links, filled + k, dtype=np.int64))
+                    links += m_links
+                    groups = hashlib.sha256(b";".join([x[3] for x in found])).hexdigest()
+                    told.append((sum([x[0] for x in found]), sum([x[1] for x in found]), m_links, groups))
+                cells = [pa.array(c, t) for c, t in zip(zip(*told, strict=True), [pa.int64()] * 3 + [pa.string()], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        some.column("id"), pa.array(np.full(m, chunk)), pa.array(np.arange(filled, filled + m)), *[pa.array(x.astype(np.int64)) for x in n],
-                        pa.array(found.digests(name), pa.string()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()),
+                        some.column("id"), pa.array(np.full(m, chunk)), pa.array(np.arange(filled, filled + m)), *cells,
+                        pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()),
                     ],
                     names=names,
                 )
