@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nichelens.functions import normalize as nrm
@@ -707,6 +707,84 @@ def sha256_file(spark, sf_dir):
     return docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("checksum"))
 
 
+def land_exports(spark, sf_dir, files: int = 16, cyrillic: bool = False) -> str:
+    """Documents as delimited files: a header, then a quoted text, an id and a length in each record.
+
+    Texts keep their quotes, delimiters and line breaks. Delimiters go by file number; with ``cyrillic``
+    odd files are in that code page, and everything beyond ASCII is one of its letters there.
+    """
+    docs = d.table(spark, sf_dir, "documents").withColumn("bucket", F.expr(f"pmod(doc_id, {files})").cast("int"))
+    mark = F.expr("CASE bucket % 3 WHEN 0 THEN ';' WHEN 1 THEN ',' ELSE '\t' END")
+    cell = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    number = F.coalesce(F.col("n_chars").cast("string"), F.lit(""))
+    rows = docs.select("bucket", F.col("doc_id").alias("at"), mark.alias("mark"), cell.alias("cell"), number.alias("n"))
+    rows = rows.withColumn("value", F.concat_ws("", "cell", "mark", F.col("at").cast("string"), "mark", "n"))
+    heads = docs.select("bucket").distinct().withColumn("mark", mark).select(
+        "bucket", F.lit(None).cast("bigint").alias("at"), F.concat(F.lit("Канал"), "mark", F.lit("ID канала"), "mark", F.lit("Подписчики")).alias("value")
+    )
+    lines = heads.unionByName(rows.select("bucket", "at", "value"))
+    if cyrillic:
+        odd = F.when(F.col("at").isNull(), F.col("value")).otherwise(F.regexp_replace("value", r"[^\x00-\x7F]", "ж"))
+        raw = F.encode(F.translate(odd, exports._CYRILLIC, exports._LATIN), "iso-8859-1").cast("string")
+        lines = lines.withColumn("value", F.when(F.col("bucket") % 2 == 1, raw).otherwise(F.col("value")))
+    path = f"{shared_folder(spark)}/landed-exports-{uuid.uuid4().hex}"
+    ordered = lines.repartition("bucket").sortWithinPartitions(F.col("bucket"), F.col("at").asc_nulls_first())
+    ordered.select("bucket", "value").write.partitionBy("bucket").text(path)
+    return path
+
+
+def _file_number(path: str) -> Column:
+    return F.regexp_extract(path, r"bucket=(\d+)", 1).cast("bigint").alias("file")
+
+
+BREAKS_SQL = "'[' || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(133) || chr(8232) || chr(8233) || ']'"
+
+
+@query(
+    "read_landed_exports",
+    f"""SELECT doc_id % 16 AS file, 1 + row_number() OVER (PARTITION BY doc_id % 16 ORDER BY doc_id) AS line_no, doc_id,
+        md5(regexp_replace(CASE WHEN doc_id % 2 = 1 THEN regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', 'ж', 'g')
+            ELSE coalesce(text, '') END, {BREAKS_SQL}, '', 'g')) AS name, 3 AS width, CAST(n_chars AS VARCHAR) AS n
+        FROM documents""",
+)
+def read_landed_exports(spark, sf_dir):
+    """Files with quoted cells over many lines, in two encodings and three delimiters, read as records."""
+    _, rows = exports.read_export_csv(spark, land_exports(spark, sf_dir, cyrillic=True), cell_chars=1 << 24)
+    cell = lambda i: F.get("cells", F.lit(i))
+    return rows.select(
+        _file_number("file"), "line_no", cell(1).cast("bigint").alias("doc_id"), F.md5(cell(0).cast("binary")).alias("name"),
+        F.size("cells").alias("width"), cell(2).alias("n"),
+    )
+
+
+@query(
+    "landed_dialects",
+    """SELECT DISTINCT doc_id % 16 AS file, CASE WHEN doc_id % 2 = 1 THEN 'windows-1251' ELSE 'utf-8' END AS encoding,
+        CASE doc_id % 16 % 3 WHEN 0 THEN ';' WHEN 1 THEN ',' ELSE chr(9) END AS delimiter FROM documents""",
+)
+def landed_dialects(spark, sf_dir):
+    """Encoding and delimiter of the same files; their quoted cells are full of commas."""
+    lines = exports.read_lines(spark, land_exports(spark, sf_dir, cyrillic=True))
+    encodings = exports.detect_encoding(lines)
+    found = exports.dialect(exports.decode_lines(lines, encodings)).join(encodings, "file")
+    return found.select(_file_number("file"), "encoding", "delimiter")
+
+
+@query(
+    "landed_file_digests",
+    """, rows AS (SELECT doc_id % 16 AS file, doc_id, CASE doc_id % 16 % 3 WHEN 0 THEN ';' WHEN 1 THEN ',' ELSE chr(9) END AS mark,
+            '"' || replace(coalesce(text, ''), '"', '""') || '"' AS cell, coalesce(CAST(n_chars AS VARCHAR), '') AS n FROM documents)
+    SELECT file, sha256(body) AS checksum, CAST(strlen(body) AS BIGINT) AS file_size FROM (
+        SELECT file, 'Канал' || any_value(mark) || 'ID канала' || any_value(mark) || 'Подписчики' || chr(10)
+            || string_agg(cell || mark || CAST(doc_id AS VARCHAR) || mark || n || chr(10), '' ORDER BY doc_id) AS body
+        FROM rows GROUP BY file)""".replace(", rows AS", "WITH rows AS", 1),
+)
+def landed_file_digests(spark, sf_dir):
+    """Checksums of landed files, each read in chunks."""
+    found = exports.sha256_files(spark, land_exports(spark, sf_dir))
+    return found.select(_file_number("path"), "checksum", "file_size")
+
+
 @query(
     "read_releases_json",
     r"""SELECT CAST(doc_id AS VARCHAR) AS external_id, source AS repo,
@@ -799,6 +877,28 @@ def upsert_table(spark, sf_dir):
     return sinks.upsert(current, incoming, ["key"], fill_only=["balance"])
 
 
+@query(
+    "upsert_buckets",
+    """, o AS (SELECT CASE WHEN o_orderstatus = 'F' THEN -o_custkey ELSE o_custkey END AS key, CAST(count(*) AS DOUBLE) AS n
+            FROM orders GROUP BY 1)
+    SELECT coalesce(c_custkey, key) AS key, CASE WHEN key IS NULL THEN c_name ELSE 'in ' || CAST(n AS VARCHAR) END AS label,
+        coalesce(CASE WHEN c_acctbal > 0 THEN c_acctbal END, n) AS balance
+        FROM customer FULL JOIN o ON c_custkey = key""".replace(", o AS", "WITH o AS", 1),
+)
+def upsert_buckets(spark, sf_dir):
+    """All customers in a bucketed table, then all order counts upserted in place; finished orders make new keys."""
+    path = f"{shared_folder(spark)}/customers-{uuid.uuid4().hex}"
+    stored = d.table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS key", "c_name AS label", "CASE WHEN c_acctbal > 0 THEN c_acctbal END AS balance"
+    )
+    sinks.write_buckets(stored, path, ["key"], 32)
+    incoming = d.table(spark, sf_dir, "orders").selectExpr("IF(o_orderstatus = 'F', -o_custkey, o_custkey) AS key")
+    incoming = incoming.groupBy("key").agg(F.count("*").cast("double").alias("balance"))
+    incoming = incoming.withColumn("label", F.concat(F.lit("in "), F.col("balance").cast("string")))
+    sinks.upsert_buckets(spark, path, incoming, ["key"], 32, fill_only=["balance"])
+    return sinks.read_buckets(spark, path)
+
+
 @query(
     "append_only_table",
     d.with_views(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -58,6 +58,53 @@ def upsert(
     return joined.select(*keys, *[merged(c) for c in values])
 
 
+#: Partition column of a bucketed table.
+BUCKET = "bucket"
+
+
+def key_bucket(keys: Sequence[str], buckets: int) -> Column:
+    """Number of the bucket that a key belongs to; keys with a NULL have one too."""
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets).cast("long")).cast("int").alias(BUCKET)
+
+
+def write_buckets(df: DataFrame, path: str, keys: Sequence[str], buckets: int) -> None:
+    """A keyed table as one folder a bucket; what is there of the buckets of ``df`` is replaced, the rest stays."""
+    rows = df.withColumn(BUCKET, key_bucket(keys, buckets)).hint("rebalance", BUCKET)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+
+
+def read_buckets(spark: SparkSession, path: str, touched: Sequence[int] | None = None) -> DataFrame:
+    """The table without its bucket column; with ``touched``, of those buckets only, and no other is listed."""
+    rows = spark.read.parquet(path)
+    if touched is not None:
+        rows = rows.filter(F.col(BUCKET).isin(list(touched)))
+    return rows.drop(BUCKET)
+
+
+def upsert_buckets(
+    spark: SparkSession,
+    path: str,
+    incoming: DataFrame,
+    keys: Sequence[str],
+    buckets: int,
+    update: dict[str, Column] | None = None,
+    fill_only: Sequence[str] = (),
+) -> list[int]:
+    """:func:`upsert` into a bucketed table in place; gives the buckets that were rewritten.
+
+    Only buckets that hold an incoming key are read and written. New files stand
+    beside the old ones until the job ends, and a run that failed can be
+    repeated: the same rows upserted again give the same table. ``buckets`` must
+    be the number the table was written with; it bounds what reaches the driver.
+    """
+    numbers = incoming.select(key_bucket(keys, buckets)).distinct()
+    touched = sorted(r[BUCKET] for r in numbers.collect())
+    if touched:
+        current = read_buckets(spark, path, touched)
+        write_buckets(upsert(current, incoming, keys, update, fill_only), path, keys, buckets)
+    return touched
+
+
 def write_version(df: DataFrame, table_path: str, version: int) -> str:
     """Write a complete table version next to the older ones and return its path."""
     path = f"{table_path}/version={version}"
