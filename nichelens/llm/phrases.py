@@ -7,9 +7,9 @@ the trie holds too many endings, whole subtrees, the largest first, leave it as
 counts. Runs are dealt out by a prefix of the path, sorted, and merged: the count of a phrase is the sum
 over its subtree.
 
-Three passes: words; then pairs of words that are frequent; then paths whose pairs are all frequent. What
-is frequent reaches the tasks as a bitmap of fixed size over hashes: a false hit costs work and changes no
-count, and a bitmap that fills up only prunes less.
+Three passes: words; then hashes of pairs of frequent words, to see which pairs may be frequent; then the
+trie, over paths whose pairs all may be. What may be frequent reaches the tasks as a bitmap of fixed size
+over hashes: a false hit costs work and changes no count, and a bitmap that fills up only prunes less.
 
 Null language: ``und``. Null and blank texts have no words. Equal rows count each. An empty table gives no
 rows. Ties are ordered by count and phrase. Other columns are not read.
@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nichelens.llm.common import slices, texts_of
+from nichelens.llm.common import mix64, slices, texts_of
 from nichelens.session import materialize
 
 UNKNOWN = "und"
@@ -38,6 +38,8 @@ CUT = bytes(
 #: Bits of the bitmap of what is frequent.
 FILTER_BITS = 1 << 26
 _BLOCK = 1 << 15
+#: Hashes of pairs that a task sorts at a time, and positions of the corpus for each part that they are dealt to.
+CELLS, PART_POSITIONS = 4 << 20, 1 << 20
 #: Endings that a task holds; then subtrees leave until half are left.
 TRIE_ENDINGS = 500_000
 #: Endings of one container; then it bursts.
@@ -98,13 +100,6 @@ def word_counts(texts: DataFrame, least: int) -> DataFrame:
     return materialize(counts.where((F.col("n") >= least) | F.col("phrase").isNull()), "words")
 
 
-def _place(lang: Column, *words: Column) -> Column:
-    """Bit of a word or of a pair in the bitmap; the same as :func:`_places` gives."""
-    signs = [F.crc32(F.concat(lang, F.lit("\t"), w).cast("binary")) for w in words]
-    mixed = signs[0] if len(signs) == 1 else signs[0] * 40503 + signs[1]
-    return F.pmod(mixed, F.lit(FILTER_BITS))
-
-
 def frequent_bits(places: DataFrame) -> np.ndarray:
     """A bitmap of ``FILTER_BITS`` bits of the column ``place``; at most so many bits reach the driver."""
     block = F.col("place").bitwiseAND(-_BLOCK)
@@ -185,56 +180,141 @@ def numbered(known: dict[tuple[str, bytes], int], lang: str, words: pa.Array) ->
     return of[np.asarray(coded.indices)]
 
 
+class Numbered:
+    """Words of a task by number, from 1, with a hash of each word and its language."""
+
+    def __init__(self):
+        self.known: dict[tuple[str, bytes], int] = {}
+        self.sign = np.zeros(1, dtype=np.int64)
+
+    def of(self, lang: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and hashes of the words; new words are entered."""
+        coded = words.dictionary_encode()
+        known = self.known
+        number = np.array([known.setdefault((lang, w), len(known) + 1) for w in coded.dictionary.to_pylist()], dtype=np.int64)
+        if len(known) >= len(self.sign):
+            fresh = [zlib.crc32(f"{g}\t".encode() + w) for g, w in islice(known, len(self.sign) - 1, None)]
+            self.sign = np.append(self.sign, np.array(fresh, dtype=np.int64))
+        ids = number[np.asarray(coded.indices)]
+        return ids, self.sign[ids]
+
+
+def _pairs_of(signs: np.ndarray, piece: np.ndarray, word_bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions whose word and next word, of one piece, both may be frequent; and the hashes of these pairs."""
+    good = _set(word_bits, signs % FILTER_BITS)
+    at = np.flatnonzero(good[:-1] & good[1:] & (piece[1:] == piece[:-1]))
+    return at, mix64((signs[at] << 32 | signs[at + 1]).astype(np.uint64))
+
+
+def pair_places(texts: DataFrame, word_bits, least: int, parts: int) -> DataFrame:
+    """(place): bits of the hashes that ``least`` or more pairs of frequent words have.
+
+    Hashes are counted per task and sent as sorted arrays, one a part and task; a part is summed at once. With
+    about a million positions a part and 2^32 hashes in each, different pairs hardly ever share one.
+    """
+
+    def run(batches):
+        numbered, held, size = Numbered(), [], 0
+
+        def flush():
+            nonlocal held, size
+            cell, n = np.unique(np.concatenate(held), return_counts=True)
+            part = (cell >> np.uint64(32)) % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
+            part, cell, n = part[order], cell[order].astype(np.uint32), n[order].astype(np.uint32)
+            first = np.flatnonzero(np.diff(part.astype(np.int64), prepend=-1))
+            stop = np.append(first[1:], len(part))
+            held, size = [], 0
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(part[first].astype(np.int32)),
+                    pa.array([cell[i:j].tobytes() for i, j in zip(first.tolist(), stop.tolist(), strict=True)], pa.binary()),
+                    pa.array([n[i:j].tobytes() for i, j in zip(first.tolist(), stop.tolist(), strict=True)], pa.binary()),
+                ],
+                names=["part", "cells", "counts"],
+            )
+
+        for lang, words, piece in by_language(batches):
+            if len(numbered.known) > TASK_WORDS:
+                numbered = Numbered()
+            _, cells = _pairs_of(numbered.of(lang, words)[1], piece, word_bits.value)
+            held.append(cells)
+            size += len(cells)
+            if size > CELLS:
+                yield from flush()
+        if size:
+            yield from flush()
+
+    def add(batches):
+        current, cells, counts = None, [], []
+
+        def told():
+            cell, turn = np.unique(np.concatenate(cells), return_inverse=True)
+            total = np.bincount(turn, weights=np.concatenate(counts))
+            place = cell[total >= least].astype(np.int64) % FILTER_BITS
+            return pa.RecordBatch.from_arrays([pa.array(place)], names=["place"])
+
+        for batch in batches:
+            for part, cell, n in zip(*[batch.column(c).to_pylist() for c in ("part", "cells", "counts")], strict=True):
+                if part != current:
+                    if cells:
+                        yield told()
+                    current, cells, counts = part, [], []
+                cells.append(np.frombuffer(cell, np.uint32))
+                counts.append(np.frombuffer(n, np.uint32))
+        if cells:
+            yield told()
+
+    sent = texts.mapInArrow(run, "part int, cells binary, counts binary")
+    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(add, "place long")
+
+
 def path_counts(
-    texts: DataFrame, shortest: int, longest: int, word_bits, pair_bits=None,
-    held: int = TRIE_ENDINGS, container: int = CONTAINER_ENDINGS,
-) -> DataFrame:
-    """(lang, path, n): paths of ``shortest`` to ``longest`` words, each word followed by a blank.
+    texts: DataFrame, longest: int, word_bits, pair_bits, held: int = TRIE_ENDINGS, container: int = CONTAINER_ENDINGS
+) -> DataFrame:
+    """(lang, path, n): pairs, and paths of three words to ``longest``, each word followed by a blank.
 
-    A path ends with its piece, at a word that is not frequent, or, given ``pair_bits``, at such a pair.
-    A path stands for all its beginnings. Rows of one path may come from several runs.
+    A path ends with its piece, or before a pair that cannot be frequent, and stands for all its beginnings of
+    three words or more; pairs are summed before they leave. Rows of one path may come from several runs.
     """
     endings = longest - 1
 
     def run(batches):
-        trie, known = Trie(container), {}
-        sign = np.zeros(1, dtype=np.int64)
+        trie, numbered = Trie(container), Numbered()
 
         def spill(until: int):
-            spelled = [b""] + [w for _, w in known]
-            of_lang = [""] + [g for g, _ in known]
+            spelled = [b""] + [w for _, w in numbered.known]
+            of_lang = [""] + [g for g, _ in numbered.known]
             lang, path, n = [], [], []
             for word, keys, counts in trie.leave(until):
-                ids = np.frombuffer(b"".join(k.ljust(4 * endings, b"\0") for k in keys), dtype=">i4").reshape(-1, endings)
+                ids = np.frombuffer(b"".join(keys), dtype=">i4").reshape(-1, endings)
                 head = spelled[word] + b" "
-                path += [head + b" ".join([spelled[i] for i in row if i]) + b" " for row in ids.tolist()]
-                lang += [of_lang[word]] * len(keys)
-                n += counts
+                total = np.array(counts)
+                first = np.flatnonzero(np.diff(ids[:, 0], prepend=0))
+                path += [head + spelled[i] + b" " for i in ids[first, 0].tolist()]
+                n += np.add.reduceat(total, first).tolist()
+                deep = np.flatnonzero(ids[:, 1]) if endings > 1 else first[:0]
+                path += [head + b" ".join([spelled[i] for i in row if i]) + b" " for row in ids[deep].tolist()]
+                n += total[deep].tolist()
+                lang += [of_lang[word]] * (len(first) + len(deep))
                 if len(n) >= 1 << 16:
                     yield from _rows(lang, path, n)
                     lang, path, n = [], [], []
             yield from _rows(lang, path, n)
 
         for lang, words, piece in by_language(batches):
-            if len(known) > TASK_WORDS:
+            if len(numbered.known) > TASK_WORDS:
                 yield from spill(0)
-                known, sign = {}, np.zeros(1, dtype=np.int64)
-            ids = numbered(known, lang, words)
-            if len(known) >= len(sign):
-                fresh = [zlib.crc32(f"{g}\t".encode() + w) for g, w in islice(known, len(sign) - 1, None)]
-                sign = np.append(sign, np.array(fresh, dtype=np.int64))
-            signs = sign[ids]
-            good = _set(word_bits.value, signs % FILTER_BITS)
-            pair = good[:-1] & good[1:] & (piece[1:] == piece[:-1])
-            if pair_bits is not None:
-                at = np.flatnonzero(pair)
-                pair[at] = _set(pair_bits.value, (signs[at] * 40503 + signs[at + 1]) % FILTER_BITS)
+                numbered = Numbered()
+            ids, signs = numbered.of(lang, words)
+            at, cells = _pairs_of(signs, piece, word_bits.value)
+            link = np.zeros(len(ids), dtype=bool)
+            link[at[_set(pair_bits.value, (cells & np.uint64(FILTER_BITS - 1)).astype(np.int64))]] = True
             # reach: how many words the path from a position has, the first included.
             reach = np.ones(len(ids), dtype=np.int64)
-            link = np.append(pair, False)
             for _ in range(endings):
                 reach[:-1] = np.where(link[:-1], np.minimum(reach[1:] + 1, longest), 1)
-            start = np.flatnonzero(reach >= shortest)
+            start = np.flatnonzero(link)
             if not len(start):
                 continue
             step = np.arange(1, longest)
@@ -248,20 +328,22 @@ def path_counts(
     return rows.select("lang", F.col("phrase").cast("string").alias("path"), "n")
 
 
-def merged(paths: DataFrame, shortest: int, longest: int, least: int) -> DataFrame:
-    """(lang, phrase, n): phrases of ``shortest`` to ``longest`` words with ``least`` or more occurrences.
+def merged(paths: DataFrame, longest: int, least: int) -> DataFrame:
+    """(lang, phrase, n): phrases of two words to ``longest`` with ``least`` or more occurrences.
 
-    Runs are dealt out by their first ``shortest`` words and sorted; equal beginnings then stand together,
-    and are summed batch by batch with one open sum a length carried on. A task holds a batch.
+    Runs are dealt out by their first three words and sorted; equal beginnings then stand together, and are
+    summed batch by batch with one open sum a length carried on. A task holds a batch.
     """
-    depths = range(shortest, longest + 1)
-    prefix = F.substring_index("path", " ", shortest)
-    dealt = paths.repartition(F.col("lang"), prefix).sortWithinPartitions("lang", "path")
+    depths = range(2, longest + 1)
+    dealt = paths.repartition(F.col("lang"), F.substring_index("path", " ", 3)).sortWithinPartitions("lang", "path")
 
     def beginning(k: int) -> Column:
         words = F.substring_index("path", " ", k)
         # A path of k words ends in a blank, so it has a k-th blank; a shorter one is given back whole.
-        return F.when(F.length(words) < F.length("path"), F.concat(F.col("lang"), F.lit("\t"), words)).alias(f"p{k}")
+        long = F.length(words) < F.length("path")
+        if k == 2:  # pairs are counted by their own rows
+            long = long & (F.length(words) + 1 == F.length("path"))
+        return F.when(long, F.concat(F.col("lang"), F.lit("\t"), words)).alias(f"p{k}")
 
     def run(batches):
         open_: dict[int, tuple[str, int]] = {}
@@ -307,16 +389,13 @@ def frequent_phrases(
     words = word_counts(texts, least)
     totals = words.where("phrase IS NULL").select("lang", "n")
     words = words.where("phrase IS NOT NULL")
-    word_bits = spark.sparkContext.broadcast(frequent_bits(words.select(_place(F.col("lang"), F.col("phrase")).alias("place"))))
-    pairs = materialize(merged(path_counts(texts, 2, 2, word_bits, **trie), 2, 2, least), "pairs")
-    left, right = F.substring_index("phrase", " ", 1), F.substring_index("phrase", " ", -1)
-    pair_bits = spark.sparkContext.broadcast(frequent_bits(pairs.select(_place(F.col("lang"), left, right).alias("place"))))
-    parts = [words, pairs]
-    if longest > 2:
-        parts.append(materialize(merged(path_counts(texts, 3, longest, word_bits, pair_bits, **trie), 3, longest, least), "phrases"))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    place = F.crc32(F.concat("lang", F.lit("\t"), "phrase").cast("binary")) % FILTER_BITS
+    word_bits = spark.sparkContext.broadcast(frequent_bits(words.select(place.alias("place"))))
+    positions = int(totals.agg(F.sum("n")).first()[0] or 0)
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), positions // PART_POSITIONS)
+    pair_bits = spark.sparkContext.broadcast(frequent_bits(pair_places(texts, word_bits, least, parts)))
+    found = materialize(merged(path_counts(texts, longest, word_bits, pair_bits, **trie), longest, least), "phrases")
+    found = words.unionByName(found)
     size = F.length("phrase") - F.length(F.replace("phrase", F.lit(" "))) + 1
     return found.select("lang", "phrase", size.alias("size"), F.col("n").alias("f")), totals
 
