@@ -109,6 +109,36 @@ def stream_exact_dedupe(spark, sf_dir):
     )
 
 
+@query(
+    "stream_first_sightings",
+    """WITH RECURSIVE s AS (SELECT DISTINCT 'u' || CAST(user_id AS VARCHAR) AS source_key, event_type AS external_id,
+            CAST(floor(epoch(CAST(ts AS TIMESTAMP))) AS BIGINT) AS t FROM events),
+        kept AS (
+            SELECT source_key, external_id, min(t) AS t FROM s GROUP BY ALL
+            UNION ALL
+            SELECT source_key, external_id, nxt FROM (
+                SELECT k.source_key, k.external_id, (SELECT min(t) FROM s WHERE s.source_key = k.source_key
+                    AND s.external_id = k.external_id AND s.t >= k.t + 86400) AS nxt FROM kept k)
+            WHERE nxt IS NOT NULL)
+    SELECT source_key, external_id, t AS second FROM kept
+        WHERE t <= (SELECT max(epoch_ms(CAST(ts AS TIMESTAMP))) / 1000.0 - 3600 FROM events)""",
+)
+def stream_first_sightings(spark, sf_dir):
+    """Events of a user and type landing day by day; each kept one covers the day from it on."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(
+        "concat('u', cast(user_id AS string)) AS source_key", "event_type AS external_id", "cast(ts AS timestamp) AS arrived_at"
+    )
+    first, last = (F.unix_seconds(f("arrived_at")) for f in (F.min, F.max))
+    span = events.agg(first.alias("a"), last.alias("b"))
+    turn = F.floor((F.unix_seconds("arrived_at") - span.select("a").scalar()) * 3 / (span.select(F.col("b") - F.col("a") + 1).scalar()))
+    path, checkpoint = _place(spark, "stream-sightings")
+    _in_turns(
+        events, "landed-sightings", turn, 3,
+        lambda new: jobs.stream_first_sightings(new, path, checkpoint, ("source_key", "external_id"), window_seconds=86_400),
+    )
+    return spark.read.parquet(path).select("source_key", "external_id", F.unix_seconds("arrived_at").alias("second"))
+
+
 @query(
     "stream_items",
     ARRIVALS_SQL
@@ -122,12 +152,35 @@ def stream_items(spark, sf_dir):
     turn = F.least(F.floor((F.col("arrival") % 1000) / 2), F.lit(2))
     path, checkpoint = _place(spark, "stream-items")
     _in_turns(arrivals, "landed-items", turn, 3, lambda new: jobs.stream_items(new, path, checkpoint))
-    return jobs.latest_version(spark, path, 2).select(
-        "source_key", "external_id", "revision", "title"
-    )
+    return jobs.latest_items(spark, path).select("source_key", "external_id", "revision", "title")
+
+
+# Clustering in two runs: stored items are looked at first, newest first; what is unmatched gathers per run,
+# and is no seed where an earlier run has a cluster of its key.
+TURNS_SQL = {
+    **d.DOCUMENT_SQL,
+    "turns": """SELECT *, CASE WHEN discovered_at < TIMESTAMP '2024-01-04 12:00:00' THEN 0 ELSE 1 END AS turn,
+        row_number() OVER (ORDER BY discovered_at DESC, item_id) AS back FROM sig""",
+    "matched": """SELECT ord, parent, layer, d FROM (SELECT h.*, row_number() OVER (PARTITION BY h.ord
+            ORDER BY layer, d, CASE WHEN b.turn < a.turn THEN b.back - 1000000000000 ELSE h.parent END) AS rn
+        FROM hits h JOIN turns a ON a.ord = h.ord JOIN turns b ON b.ord = h.parent
+        WHERE b.turn = a.turn OR b.discovered_at >=
+            (SELECT min(discovered_at) FROM turns WHERE turn = 1) - INTERVAL 7 DAY) WHERE rn = 1""",
+    "heads": """SELECT o.ord, own_key, turn, min(o.ord) OVER (PARTITION BY own_key, turn) AS head
+        FROM own o JOIN turns USING (ord) WHERE o.ord NOT IN (SELECT ord FROM matched)""",
+    "known": "SELECT DISTINCT own_key FROM heads WHERE turn = 0",
+}
 
 
-@query("stream_clusters")
+@query(
+    "stream_clusters",
+    d.with_views(
+        TURNS_SQL,
+        f"{d.SIGNATURE_VIEWS} turns pairs hits own matched heads known edges forest members",
+        """SELECT item_id, cluster_key, matched_by, similarity, is_seed AND NOT (turn = 1
+            AND cluster_key IN (SELECT own_key FROM known)) AS is_seed FROM members JOIN turns USING (item_id)""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def stream_clusters(spark, sf_dir):
     """Documents landing in two batches by discovery, clustered as they come."""
     sig = signatures(spark, sf_dir)
@@ -135,6 +188,6 @@ def stream_clusters(spark, sf_dir):
     turn = F.when(F.col("discovered_at") < middle, 0).otherwise(1)
     path, checkpoint = _place(spark, "stream-clusters")
     _in_turns(sig, "landed-signatures", turn, 2, lambda new: jobs.stream_clusters(new, path, checkpoint, RULES))
-    return jobs.latest_version(spark, path, 1).select(
+    return jobs.every_batch(spark, path).select(
         "item_id", "cluster_key", "matched_by", "similarity", "is_seed"
     )

@@ -25,7 +25,8 @@ def build_session(
     """A session with the settings every operator here assumes.
 
     UTC session time (dates and ``%W`` weeks are computed in UTC) and AQE with
-    skew handling. Cluster sizing is left to the submitter.
+    skew handling. Cluster sizing is left to the submitter. The package goes to
+    the executors.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -42,7 +43,9 @@ def build_session(
     options.update(extra or {})
     for key, value in options.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def ship(spark: SparkSession) -> None:

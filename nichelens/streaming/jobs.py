@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.types import StringType, StructType
 
 from nichelens.operators.clustering import ClusterRules, cluster_items
 from nichelens.operators.ledger import DAILY_LIMIT_USD
-from nichelens.operators.research import store_items
+from nichelens.operators.research import ITEM_FACTS, ITEM_METADATA, ITEM_TEXT
 from nichelens.operators.slots import SlotRules, _holding
 from nichelens.vocab import OCCUPYING_STATUSES
 
@@ -30,21 +32,31 @@ def append_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def _versioned(
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in the store that ``transformWithState`` needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _per_batch(
     stream: DataFrame, table_path: str, checkpoint: str, step: Callable[[DataFrame, DataFrame | None], DataFrame]
 ) -> StreamingQuery:
-    """Apply ``step(batch, previous version)`` per micro-batch, one table version each.
+    """Write ``step(batch, rows of earlier batches)`` into a folder of the batch's own.
 
-    A replayed batch overwrites its own version from the same predecessor, so a
-    restart repeats nothing.
+    A replayed batch overwrites its own folder and sees the same earlier ones, so
+    a restart repeats nothing; what is written follows the batch.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        previous = None
-        if batch_id > 0:
-            previous = spark.read.parquet(version_path(table_path, batch_id - 1))
-        step(batch, previous).write.mode("overwrite").parquet(version_path(table_path, batch_id))
+        earlier = [batch_path(table_path, n) for n in range(batch_id)]
+        previous = batch.sparkSession.read.parquet(*earlier) if earlier else None
+        step(batch, previous).write.mode("overwrite").parquet(batch_path(table_path, batch_id))
 
     return (
         stream.writeStream.foreachBatch(run)
@@ -54,17 +66,96 @@ def _versioned(
     )
 
 
-def version_path(table_path: str, batch_id: int) -> str:
+def batch_path(table_path: str, batch_id: int) -> str:
     return f"{table_path}/batch-{batch_id:09d}"
 
 
-def latest_version(spark: SparkSession, table_path: str, batch_id: int) -> DataFrame:
-    return spark.read.parquet(version_path(table_path, batch_id))
+def every_batch(spark: SparkSession, table_path: str) -> DataFrame:
+    """Rows of all batches of :func:`stream_clusters`."""
+    return spark.read.parquet(f"{table_path}/batch-*")
+
+
+class ItemState(StatefulProcessor):
+    """One value per (source, external id): the item as it stands.
+
+    Arrivals of a batch replay in order of ``arrival``. A changed fingerprint is
+    a revision; the rules are those of the batch operator ``store_items``.
+    """
+
+    def __init__(self, schema: StructType, columns: dict[str, list[str]]):
+        self.schema, self.columns = schema, columns
+
+    def init(self, handle) -> None:
+        self.item = handle.getValueState("item", self.schema)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self.item.get()
+        item = None if held is None else dict(zip(self.schema.fieldNames(), held, strict=True))
+        stored, changes, sightings = item is not None, 0, 0
+        for row in sorted(rows, key=lambda r: r["arrival"]):
+            sightings += 1
+            if item is None:
+                item = {c: row[c] for c in self.columns["first"] + self.columns["text"]}
+                item |= {"discovered_at": row["arrived_at"], "published_at": row["published_at"], "content_changed_at": None, "revision": 1}
+            elif row["content_fingerprint"] != item["content_fingerprint"]:
+                changes += 1
+                late = item["content_changed_at"]
+                item |= {c: row[c] for c in self.columns["text"]}
+                if row["published_at"] is not None:
+                    item["published_at"] = row["published_at"]
+                item["content_changed_at"] = row["arrived_at"] if late is None else max(late, row["arrived_at"])
+                item["revision"] += 1
+        self.item.update(tuple(item[c] for c in self.schema.fieldNames()))
+        action = "NEW" if not stored else "UPDATED" if changes else "UNCHANGED"
+        told = {"action": action, "revised": stored and changes > 0, "status": None if stored else "NEW", "changes": changes, "sightings": sightings}
+        yield Row(source_key=key[0], external_id=key[1], **item, **told)
+
+    def close(self) -> None:
+        pass
 
 
 def stream_items(arrivals: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
-    """Upsert landed items (with identity) batch by batch, with revisions."""
-    return _versioned(arrivals, table_path, checkpoint, store_items)
+    """Landed items (with identity), batch by batch, as a log of item versions.
+
+    The state keeps one item a key; each batch appends one row for each item it
+    touched, and nothing else is written. :func:`latest_items` reads the log. An
+    item's arrivals of one batch are ordered in memory.
+    """
+    facts = [c for c in ITEM_FACTS if c in arrivals.columns]
+    texts = [*ITEM_TEXT, *[c for c in ITEM_METADATA if c in arrivals.columns]]
+    columns = {"first": ["url", "canonical_url", "url_hash", *facts], "text": texts}
+    kinds = {f.name: f.dataType for f in arrivals.schema.fields}
+    maps = [c for c in texts if c in ITEM_METADATA]  # a value state does not give maps back
+    state = StructType()
+    for name in columns["first"] + columns["text"]:
+        state.add(name, StringType() if name in maps else kinds[name])
+    times = ["discovered_at", "published_at", "content_changed_at"]
+    for name in times:  # microseconds: Python's times would depend on the worker's zone
+        state.add(name, "long")
+    state.add("revision", "long")
+    out = StructType().add("source_key", "string").add("external_id", "string")
+    for field in state.fields:
+        out.add(field)
+    out.add("action", "string").add("revised", "boolean").add("status", "string").add("changes", "long").add("sightings", "long")
+    micros = [F.unix_micros(c).alias(c) for c in ("published_at", "arrived_at")]
+    arrivals = arrivals.withColumns({c: F.to_json(c) for c in maps})
+    keyed = arrivals.select("source_key", "external_id", *columns["first"], *texts, *micros, "arrival")
+    log = keyed.groupBy("source_key", "external_id").transformWithState(ItemState(state, columns), out, "Append", "None")
+    log = log.withColumns({c: F.timestamp_micros(c) for c in times})
+    log = log.withColumns({c: F.from_json(c, kinds[c].simpleString()) for c in maps})
+    with keyed_state(arrivals.sparkSession):
+        return append_stream(log, table_path, checkpoint)
+
+
+def latest_items(spark: SparkSession, table_path: str) -> DataFrame:
+    """Each item as it stands, with all its sightings."""
+    log = spark.read.parquet(table_path)
+    keys = ["source_key", "external_id"]
+    counts = ["changes", "sightings"]
+    rest = [c for c in log.columns if c not in (*keys, *counts)]
+    # Of rows with one revision, the last appended may differ in nothing but its action.
+    last = F.max_by(F.struct(*rest), F.struct("revision", F.col("action") == "UNCHANGED")).alias("last")
+    return log.groupBy(*keys).agg(last, *[F.sum(c).alias(c) for c in counts]).select(*keys, "last.*", *counts)
 
 
 def stream_exact_dedupe(items: DataFrame, event_time: str = "arrived_at") -> DataFrame:
@@ -74,6 +165,83 @@ def stream_exact_dedupe(items: DataFrame, event_time: str = "arrived_at") -> Dat
     )
 
 
+class FirstSightings(StatefulProcessor):
+    """Times of a key that still wait for the watermark, and the last time that was kept."""
+
+    def __init__(self, window_seconds: int):
+        self.window = window_seconds
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "kept long, waiting array<long>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        kept, waiting = self.held.get() or (None, [])
+        times = set(waiting)
+        for row in rows:
+            if kept is None or row["second"] >= kept + self.window:
+                times.add(row["second"])
+        fresh = sorted(times)
+        if fresh and (not waiting or fresh[0] < waiting[0]):
+            self.handle.registerTimer(1000 * fresh[0])
+        if fresh or kept is not None:
+            self.held.update((kept, fresh))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        kept, waiting = self.held.get() or (None, [])
+        now = timerValues.getCurrentWatermarkInMs()
+        out = []
+        ripe = [t for t in waiting if 1000 * t <= now]
+        for t in ripe:
+            if kept is None or t >= kept + self.window:
+                kept = t
+                out.append(t)
+        waiting = [t for t in waiting[len(ripe) :] if kept is None or t >= kept + self.window]
+        if waiting:
+            self.held.update((kept, waiting))
+            self.handle.registerTimer(1000 * waiting[0])
+        elif kept is not None and 1000 * (kept + self.window) > now:
+            self.held.update((kept, []))
+            self.handle.registerTimer(1000 * (kept + self.window))
+        else:
+            self.held.clear()
+        for t in out:
+            yield Row(**{f"key{i}": v for i, v in enumerate(key)}, second=t)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_first_sightings(
+    items: DataFrame,
+    table_path: str,
+    checkpoint: str,
+    keys: tuple[str, ...] = ("source_key", "external_id", "content_fingerprint"),
+    event_time: str = "arrived_at",
+    window_seconds: int = CANDIDATE_SECONDS,
+    lateness: str = "1 hour",
+) -> StreamingQuery:
+    """Append the sightings of a key that no kept sighting of the window before them covers.
+
+    A kept sighting covers the ``window_seconds`` from it on, whatever is seen in
+    between; the next one after that is kept again. Sightings wait until the
+    watermark has passed them and are then judged in order of time (whole
+    seconds), so that the answer does not depend on how rows fall into batches,
+    as long as none is later than ``lateness``. A key is forgotten when its
+    window is over. A key's state is at most one number a second of ``lateness``.
+    """
+    schema = StructType()
+    for i, name in enumerate(keys):
+        schema.add(f"key{i}", items.schema[name].dataType)
+    schema.add("second", "long")
+    timed = items.withWatermark(event_time, lateness).select(*keys, event_time, F.unix_seconds(event_time).alias("second"))
+    found = timed.groupBy(*keys).transformWithState(FirstSightings(window_seconds), schema, "Append", "EventTime")
+    named = found.select(*[F.col(f"key{i}").alias(name) for i, name in enumerate(keys)], F.timestamp_seconds("second").alias(event_time))
+    with keyed_state(items.sparkSession):
+        return append_stream(named, table_path, checkpoint)
+
+
 def stream_spend(
     calls: DataFrame, lateness: str = "1 hour", daily_limit: str = DAILY_LIMIT_USD
 ) -> DataFrame:
@@ -121,26 +289,27 @@ def stream_clusters(
 ) -> StreamingQuery:
     """Cluster each micro-batch of signatures against what came before.
 
-    The table keeps signatures with their cluster; candidates are the stored
-    items discovered within the window before the newest item of the batch.
+    Each batch adds its own signatures with their clusters to the table, and
+    rewrites none; candidates are the stored items discovered within the window
+    before the oldest item of the batch, and only their days' rows are read whole.
     """
 
     def step(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
         if stored is None:
             found = cluster_items(batch, rules=rules)
             return batch.join(found, "item_id")
-        newest = batch.agg(F.unix_micros(F.max("discovered_at")))
-        recent = stored.filter(
-            F.unix_micros("discovered_at")
-            >= newest.scalar() - F.lit(CANDIDATE_SECONDS * 1_000_000)
-        )
+        oldest = batch.agg(F.unix_micros(F.min("discovered_at")).alias("at")).first()["at"]
+        if oldest is None:  # a batch without rows
+            return batch.join(stored.select("item_id", "cluster_key", "matched_by", "similarity", "is_seed"), "item_id")
+        since = F.timestamp_micros(F.lit(oldest - CANDIDATE_SECONDS * 1_000_000))
+        recent = stored.filter(F.col("discovered_at") >= since)
         found = cluster_items(
             batch,
             stored=recent.select(*batch.columns),
-            stored_membership=stored.select("item_id", "cluster_key"),
+            stored_membership=recent.select("item_id", "cluster_key"),
             stored_clusters=stored.select("cluster_key"),
             rules=rules,
         )
-        return stored.unionByName(batch.join(found, "item_id"))
+        return batch.join(found, "item_id")
 
-    return _versioned(signatures, table_path, checkpoint, step)
+    return _per_batch(signatures, table_path, checkpoint, step)
