@@ -6,7 +6,9 @@ numbers of pages that rules decided. A host is blocked when its distrust exceeds
 to ``THRESHOLD`` blocked pages for each page it has; other hosts, and urls without one, are allowed.
 
 Edges are counted by pair of hosts before any join, so a page with many links, or a host with a third of
-all pages, adds up within its tasks. A round's ranks are written to the shared folder every few rounds.
+all pages, adds up within its tasks. Ranks are written to the shared folder every few rounds, and rounds go
+on until what is left to change, over all hosts together, is under a thousandth of what one page needs to be
+blocked.
 
 Null urls, and urls without ``://``, have an empty host and path and fit no rule. Every row gives one
 row, repeated rows too. Null html has no links. Only the named columns are read.
@@ -23,8 +25,10 @@ from pyspark.sql import functions as F
 from nichelens.session import materialize
 
 DAMPING = 0.85
-ROUNDS, WRITTEN_EVERY = 12, 4
+WRITTEN_EVERY = 4
 THRESHOLD = 0.5
+#: Part of the least decisive rank that may still be missing when rounds end.
+UNDECIDED = 1e-3
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)<a\s(?:[^>]*\s)?href\s*=\s*["']?([^"'\s>]+)"""
 
@@ -82,10 +86,11 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return found.where("target <> '' AND source <> target").groupBy("source", "target").agg(F.count("*").alias("links"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, trust, distrust) from seeds (host, good, bad): both ranks after the given rounds.
+def propagate(seeds: DataFrame, edges: DataFrame, tolerance: float, damping: float = DAMPING) -> DataFrame:
+    """(host, trust, distrust) from seeds (host, good, bad): both ranks, to within ``tolerance`` in sum over hosts.
 
-    Ranks are in shares of all seeds; without edges each host keeps its seed's part.
+    Ranks are in shares of all seeds; without edges each host keeps its seed's part. A round shrinks the summed
+    change at least by ``damping``; of a change D over k rounds, at most D d^k / (1 - d^k) is left to come.
     """
     total = seeds.agg(F.sum("good"), F.sum("bad")).first()
     start = seeds.select(
@@ -105,18 +110,24 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping:
     everyone = flow.select("host").union(start.select("host")).distinct()
     start = materialize(everyone.join(start, "host", "left").fillna(0.0, ["trust_seed", "distrust_seed"]), "seeds")
     ranks = start.select("host", F.col("trust_seed").alias("trust"), F.col("distrust_seed").alias("distrust"))
-    for step in range(1, rounds + 1):
-        moved = flow.join(ranks, "host").groupBy("to").agg(
-            F.sum(F.col("trust") * F.col("trust_share")).alias("t"), F.sum(F.col("distrust") * F.col("distrust_share")).alias("d")
-        )
-        ranks = start.join(moved.withColumnRenamed("to", "host"), "host", "left").select(
-            "host",
-            ((1 - damping) * F.col("trust_seed") + damping * F.coalesce("t", F.lit(0.0))).alias("trust"),
-            ((1 - damping) * F.col("distrust_seed") + damping * F.coalesce("d", F.lit(0.0))).alias("distrust"),
-        )
-        if step % WRITTEN_EVERY == 0:
-            ranks = materialize(ranks, "ranks")
-    return ranks
+    shrunk = damping**WRITTEN_EVERY
+    while True:
+        before = ranks
+        for _ in range(WRITTEN_EVERY):
+            moved = flow.join(ranks, "host").groupBy("to").agg(
+                F.sum(F.col("trust") * F.col("trust_share")).alias("t"), F.sum(F.col("distrust") * F.col("distrust_share")).alias("d")
+            )
+            ranks = start.join(moved.withColumnRenamed("to", "host"), "host", "left").select(
+                "host",
+                ((1 - damping) * F.col("trust_seed") + damping * F.coalesce("t", F.lit(0.0))).alias("trust"),
+                ((1 - damping) * F.col("distrust_seed") + damping * F.coalesce("d", F.lit(0.0))).alias("distrust"),
+            )
+        ranks = materialize(ranks, "ranks")
+        old = before.select("host", F.col("trust").alias("was_trust"), F.col("distrust").alias("was_distrust"))
+        change = F.sum(F.abs(F.col("trust") - F.col("was_trust")) + F.abs(F.col("distrust") - F.col("was_distrust")))
+        left = ranks.join(old, "host").agg(change).first()[0] or 0.0
+        if left * shrunk / (1 - shrunk) <= tolerance:
+            return ranks
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -129,7 +140,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "page_i
     )
     by_host = materialize(by_host, "hosts")
     blocked = float(by_host.agg(F.sum("bad")).first()[0] or 0)
-    ranks = propagate(by_host, host_edges(pages.select(host.alias("host"), F.col(html_col).alias("html"))))
+    edges = host_edges(pages.select(host.alias("host"), F.col(html_col).alias("html")))
+    ranks = propagate(by_host, edges, UNDECIDED * THRESHOLD * (1 - DAMPING) / max(blocked, 1.0))
     ranks = ranks.join(by_host.select("host", "pages"), "host")
     bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") * blocked >= THRESHOLD * (1 - DAMPING) * F.col("pages"))
     hosts = ranks.select("host", "trust", "distrust", F.when(bad, "block").otherwise("allow").alias("by_links"))
