@@ -40,6 +40,33 @@ def latest_snapshot(snapshots: DataFrame, as_of: str | None = None) -> DataFrame
     )
 
 
+def latest_snapshots_at(snapshots: DataFrame, dates: DataFrame) -> DataFrame:
+    """Newest snapshot of every channel at each date of ``dates(as_of)``; one row a channel and date that has one.
+
+    Every day is assigned to the first date not before it; snapshots fold to one
+    a channel and such date, whatever the length of a history, and what holds at
+    a date holds on until the next date with news. Only calendar days, never
+    snapshots, are ordered in one place.
+    """
+    wanted = dates.select(F.col("as_of").cast("date").alias("at")).filter("at IS NOT NULL").distinct()
+    days = snapshots.select(F.col("snapshot_date").alias("day")).distinct().withColumn("at", F.lit(None).cast("date"))
+    days = days.unionByName(wanted.select(F.col("at").alias("day"), "at"))
+    onward = Window.orderBy("day").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    slots = days.withColumn("slot", F.min("at").over(onward)).filter("at IS NULL AND slot IS NOT NULL").select("day", "slot")
+    payload = [c for c in snapshots.columns if c != "channel_id"]
+    order = F.struct("snapshot_date", "created_at", "import_id")
+    news = (
+        snapshots.join(slots, F.col("snapshot_date") == F.col("day"))
+        .groupBy("channel_id", "slot")
+        .agg(F.max_by(F.struct(*payload), order).alias("s"))
+        .withColumn("until", F.lead("slot").over(Window.partitionBy("channel_id").orderBy("slot")))
+    )
+    every = wanted.agg(F.sort_array(F.collect_list("at"))).scalar()
+    news = news.withColumn("every", every)
+    holds = F.filter("every", lambda a: (a >= F.col("slot")) & (F.col("until").isNull() | (a < F.col("until"))))
+    return news.select(F.explode(holds).alias("as_of"), "channel_id", "s.*")
+
+
 def views_to_subscribers(views: Column, subscribers: Column) -> Column:
     """Reach per subscriber; unknown without subscribers or views."""
     return F.when(subscribers > 0, views.cast("double") / subscribers.cast("double"))

@@ -14,6 +14,7 @@ from nichelens.functions.lexicon import practical_value, relevance
 from nichelens.operators import clustering as clu
 from nichelens.operators import drafts as cnt
 from nichelens.operators import research as res
+from nichelens.operators import textindex
 from nichelens.operators import topics as sco
 from nichelens.plans import domain as d
 from nichelens.plans.registry import query, rounded, text
@@ -700,6 +701,23 @@ def lexicon_relevance(spark, sf_dir):
     )
 
 
+@query(
+    "lexicon_relevance_by_table",
+    dsql(
+        SIGNALS,
+        f"""SELECT item_id, {_relevance_sql(_TEXT)} AS value, {_names_sql(_TEXT, LEX.positive)} AS matched,
+            {_names_sql(_TEXT, LEX.negative)} AS penalised FROM signals""",
+    ),
+)
+def lexicon_relevance_by_table(spark, sf_dir):
+    """The same values with the terms as a table."""
+    terms = textindex.term_table(spark, {"positive": LEX.positive, "negative": LEX.negative})
+    found = textindex.relevance_by_table(_signal(spark, sf_dir).select("item_id", "body"), terms, "item_id", "body", LEX)
+    return found.select(
+        "item_id", "value", F.array_join("matched", ",").alias("matched"), F.array_join("penalised", ",").alias("penalised")
+    )
+
+
 @query(
     "lexicon_practical_value",
     dsql(SIGNALS, f"SELECT item_id, {_practical_sql('t', 's')} AS value FROM signals"),

@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nichelens.functions.stats import unpivot
 from nichelens.operators import competitors as cmp
 from nichelens.operators import market as mkt
 from nichelens.operators import niches as nsc
+from nichelens.operators import sketches, textindex
 from nichelens.plans import domain as d
 from nichelens.plans.registry import query, rounded, text
 from nichelens.session import shared_folder
@@ -75,6 +77,58 @@ def latest_snapshot_as_of(spark, sf_dir):
     return _snapshot_out(mkt.latest_snapshot(d.snapshots(spark, sf_dir), AS_OF))
 
 
+@query(
+    "latest_snapshots_at",
+    msql(
+        "v_lines v_snapshots",
+        """SELECT CAST(as_of AS VARCHAR) AS as_of, channel_id, CAST(snapshot_date AS VARCHAR) AS snapshot_date, created_at, subscribers
+            FROM (SELECT *, row_number() OVER (PARTITION BY as_of, channel_id
+                ORDER BY snapshot_date DESC, created_at DESC, import_id DESC) AS rn
+            FROM v_snapshots JOIN (SELECT DISTINCT CAST(date_trunc('quarter', o_orderdate) AS DATE) AS as_of FROM orders)
+                ON snapshot_date <= as_of) WHERE rn = 1""",
+    ),
+)
+def latest_snapshots_at(spark, sf_dir):
+    """The market at the start of every quarter."""
+    quarters = d.table(spark, sf_dir, "orders").select(F.date_trunc("quarter", "o_orderdate").cast("date").alias("as_of"))
+    found = mkt.latest_snapshots_at(d.snapshots(spark, sf_dir), quarters)
+    return found.select(text("as_of"), "channel_id", text("snapshot_date"), "created_at", "subscribers")
+
+
+SKETCHED = ("subscribers", "err", "cpv")
+
+
+@query(
+    "niche_sketch_quantiles",
+    msql(
+        "v_channels v_lines v_snapshots",
+        """, long AS (SELECT niche_id, unnest(['subscribers', 'err', 'cpv']) AS metric,
+                unnest([CAST(subscribers AS DOUBLE), err, cpv]) AS value
+            FROM v_snapshots JOIN v_channels USING (channel_id) WHERE niche_id IS NOT NULL)
+        SELECT niche_id, metric, p, count(*) AS n, true AS within FROM long,
+            (SELECT CAST(unnest([0.1, 0.5, 0.9]) AS DOUBLE) AS p) AS q
+            WHERE value IS NOT NULL GROUP BY ALL""",
+    ),
+)
+def niche_sketch_quantiles(spark, sf_dir):
+    """Quantiles from merged sketches of all imports, and whether their exact ranks are as near as they should be."""
+    path = f"{shared_folder(spark)}/sketches-{uuid.uuid4().hex}"
+    snaps, chans, _ = market(spark, sf_dir)
+    for part in (F.col("import_id") <= 1995, F.col("import_id") > 1995):
+        sketches.store_sketches(sketches.niche_sketches(snaps.filter(part), chans, SKETCHED), path)
+    probabilities = (0.1, 0.5, 0.9)
+    merged = sketches.merged_quantiles(spark, path, probabilities)
+    asked = merged.select("niche_id", "metric", "n", F.posexplode("quantiles").alias("i", "answer"))
+    long = unpivot(snaps.join(chans.select("channel_id", "niche_id"), "channel_id"), ["niche_id"], SKETCHED)
+    ranks = long.join(asked, ["niche_id", "metric"]).groupBy("niche_id", "metric", "n", "i").agg(
+        F.count_if(F.col("value") < F.col("answer")).alias("below"), F.count_if(F.col("value") <= F.col("answer")).alias("upto")
+    )
+    p = F.element_at(F.array(*[F.lit(x) for x in probabilities]), F.col("i") + 1)
+    slack = 2 * sketches.rank_error() + 1 / F.col("n")
+    within = (F.col("below") / F.col("n") <= p + slack) & (F.col("upto") / F.col("n") >= p - slack)
+    return ranks.select("niche_id", "metric", p.alias("p"), "n", within.alias("within"))
+
+
 @query(
     "views_to_subscribers",
     msql(
@@ -672,6 +726,23 @@ def search_channels(spark, sf_dir):
     return _standing_out(cmp.search_channels(cmp.enriched(profiles(spark, sf_dir)), "R#0000000_3"))
 
 
+@query(
+    "search_channels_indexed",
+    msql(
+        STANDING,
+        f"""SELECT {STANDING_OUT} FROM standing WHERE channel_name ILIKE '%r#0000000_3%'
+            OR channel_url ILIKE '%r#0000000_3%'""",
+    ),
+)
+def search_channels_indexed(spark, sf_dir):
+    """The same search through posting lists over all channels; every hit, not the first twenty."""
+    path = f"{shared_folder(spark)}/search-{uuid.uuid4().hex}"
+    texts = ["channel_name", "channel_url"]
+    textindex.write_search_index(d.channels(spark, sf_dir).select("channel_id", *texts), path, "channel_id", texts)
+    found = textindex.search(spark, path, "channel_id", texts, "R#0000000_3").select("channel_id")
+    return _standing_out(cmp.enriched(profiles(spark, sf_dir)).join(found, "channel_id", "left_semi"))
+
+
 @query(
     "watchlist",
     msql(
