@@ -411,6 +411,59 @@ def is_due(spark, sf_dir):
     return rows.select("key", due.alias("due"))
 
 
+def _every_stored_source(spark, sf_dir) -> DataFrame:
+    """Every source as an earlier run left it, and for each one more that has since been retired."""
+    last = d.table(spark, sf_dir, "documents").groupBy("source").agg(F.max("doc_id").alias("last_doc"))
+    return last.select("source", "last_doc", F.explode(F.array(F.lit(""), F.lit("-old"))).alias("suffix")).selectExpr(
+        "concat(source, suffix) AS key", "'old name' AS name", "'RSS' AS provider", "'UNKNOWN' AS trust",
+        "'https://old.example.org' AS url", "last_doc % 3 <> 0 AS enabled", "30 AS poll_interval_minutes",
+        "cast(NULL AS string) AS last_error",
+        "CASE WHEN last_doc % 4 <> 0 THEN timestamp_seconds(1704758400 - (last_doc % 97) * 60) END AS last_polled_at",
+        "cast(last_doc % 3 AS int) AS consecutive_failures",
+    )
+
+
+EVERY_STORED_SQL = """stored AS (SELECT source || suffix AS key, last_doc, last_doc % 3 <> 0 AS was_enabled FROM
+        (SELECT source, max(doc_id) AS last_doc FROM documents GROUP BY source), (VALUES (''), ('-old')) AS s(suffix)),
+    wanted AS (SELECT key || suffix AS key, name, enabled FROM v_sources, (VALUES (''), ('-new')) AS s(suffix))"""
+
+
+@query(
+    "sync_every_source",
+    dsql(
+        "v_sources",
+        f""", {EVERY_STORED_SQL}
+        SELECT key, CASE WHEN w.key IS NOT NULL THEN w.name ELSE 'old name' END AS name,
+            CASE WHEN w.key IS NOT NULL THEN w.enabled ELSE false END AS enabled,
+            CASE WHEN w.key IS NULL AND was_enabled THEN 'removed from the source whitelist' END AS last_error,
+            CASE WHEN s.key IS NULL THEN 'created' WHEN w.key IS NOT NULL THEN 'updated'
+                WHEN was_enabled THEN 'disabled' ELSE 'kept' END AS action
+            FROM stored s FULL JOIN wanted w USING (key)""",
+    ),
+)
+def sync_every_source(spark, sf_dir):
+    """All sources are configured, each with a new neighbour; all were stored, each with a retired one."""
+    suffix = F.explode(F.array(F.lit(""), F.lit("-new")))
+    wanted = d.research_sources(spark, sf_dir).withColumn("suffix", suffix).withColumn("key", F.concat("key", "suffix"))
+    found = res.sync_sources(_every_stored_source(spark, sf_dir), wanted.drop("suffix"))
+    return found.select("key", "name", "enabled", "last_error", "action")
+
+
+@query(
+    "every_source_due",
+    dsql(
+        "v_sources",
+        f""", {EVERY_STORED_SQL}
+        SELECT key, last_doc % 4 = 0 OR last_doc % 97 >= 30 AS due FROM stored""",
+    ),
+)
+def every_source_due(spark, sf_dir):
+    rows = _every_stored_source(spark, sf_dir)
+    due = res.is_due(F.col("last_polled_at"), F.col("poll_interval_minutes"), d.NOW)
+    return rows.select("key", due.alias("due"))
+
+
+
 def conversation_arrivals(spark, sf_dir) -> DataFrame:
     """Turns of a conversation as successive versions of one item."""
     turns = d.table(spark, sf_dir, "conversations")

@@ -835,6 +835,40 @@ def read_feed_xml(spark, sf_dir):
     )
 
 
+@query(
+    "read_feed_bodies",
+    r"""SELECT 'feed-' || CAST(page_id // 20 AS VARCHAR) AS source_key, 'guid-' || CAST(page_id AS VARCHAR) AS external_id, url,
+        'Page ' || CAST(page_id AS VARCHAR) AS title,
+        nullif(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(
+            regexp_replace(html, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'),
+            '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')), '') AS summary,
+        strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id * 60), '%Y-%m-%d %H:%M:%S') AS published_at
+        FROM pages""",
+)
+def read_feed_bodies(spark, sf_dir):
+    """Every page as an entry with its whole html as body, twenty to a feed; RSS and Atom feeds in turn."""
+    when = "timestamp_seconds(1704067200 + page_id * 60)"
+    plain = "replace(replace(replace(%s, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    entries = d.table(spark, sf_dir, "pages").selectExpr(
+        "page_id", "page_id DIV 20 AS feed",
+        f"""CASE WHEN page_id DIV 20 % 2 = 0 THEN concat('<item><title>Page ', page_id, '</title><link>', {plain % "url"}, '</link><guid>guid-',
+            page_id, '</guid><description><![CDATA[', html, ']]></description><pubDate>', date_format({when}, 'E, dd MMM yyyy HH:mm:ss'),
+            ' GMT</pubDate></item>')
+        ELSE concat('<entry><title>Page ', page_id, '</title><link href="', {plain % "url"}, '"/><id>guid-', page_id, '</id><content type="html">',
+            {plain % "html"}, '</content><updated>', date_format({when}, "yyyy-MM-dd'T'HH:mm:ss'Z'"), '</updated></entry>') END AS entry""",
+    )
+    feeds = entries.groupBy("feed").agg(F.array_sort(F.collect_list(F.struct("page_id", "entry"))).alias("held"))
+    body = F.array_join(F.transform("held", lambda x: x["entry"]), "\n")
+    rss = F.concat(F.lit('<?xml version="1.0"?><rss><channel><title>All</title>'), body, F.lit("</channel></rss>"))
+    atom = F.concat(F.lit("<feed><title>All</title>"), body, F.lit("</feed>"))
+    raw = feeds.select(
+        F.concat(F.lit("feed-"), F.col("feed").cast("string")).alias("source_key"), F.when(F.col("feed") % 2 == 0, rss).otherwise(atom).alias("payload")
+    )
+    return payloads.read_feed_xml(raw).select(
+        "source_key", "external_id", "url", "title", "summary", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at")
+    )
+
+
 @query(
     "extract_listing_links",
     r"""WITH a AS (SELECT page_id, url AS listing_url, unnest(regexp_extract_all(html,

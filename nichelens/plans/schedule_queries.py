@@ -320,6 +320,69 @@ def breaking_candidates(spark, sf_dir):
     return found.select("cluster_key", F.col("topic_score").alias("score"))
 
 
+# The same questions with posts of clusters named by their primary item: every event is the post of the item of
+# its number, so that any cluster may be posted, whatever its source.
+
+
+def posts_by_item(spark, sf_dir) -> DataFrame:
+    posts = d.table(spark, sf_dir, "events").select(F.col("event_id").alias("publication_id"), F.col("event_id").alias("primary_item_id"))
+    known = scored_clusters(spark, sf_dir).select("cluster_key", "primary_item_id")
+    return d.publications(spark, sf_dir).join(posts.join(known, "primary_item_id"), "publication_id")
+
+
+FREE_BY_ITEM = """, free AS (SELECT * FROM decided WHERE primary_item_id NOT IN (SELECT event_id FROM events
+    WHERE event_type IN ('purchase', 'signup')))"""
+
+
+@query(
+    "unpublished_clusters_by_item",
+    scsql(SCORED, f"{FREE_BY_ITEM} SELECT cluster_key, decision AS status FROM free"),
+)
+def unpublished_clusters_by_item(spark, sf_dir):
+    found = slt.unpublished_clusters(scored_clusters(spark, sf_dir), posts_by_item(spark, sf_dir))
+    return found.select("cluster_key", "status")
+
+
+@query(
+    "topic_supply_by_item",
+    scsql(SCORED, f"{FREE_BY_ITEM} SELECT cluster_key, score FROM free WHERE decision = 'SELECTED'"),
+)
+def topic_supply_by_item(spark, sf_dir):
+    found = slt.supply(scored_clusters(spark, sf_dir), posts_by_item(spark, sf_dir))
+    return found.select("cluster_key", F.col("topic_score").alias("score"))
+
+
+@query(
+    "next_cluster_by_item",
+    scsql(
+        SCORED,
+        f"""{FREE_BY_ITEM} SELECT cluster_key, score FROM free WHERE decision = 'SELECTED'
+            AND epoch(TIMESTAMP '{d.NOW}') - epoch(event_at) <= 48 * 3600 {BEST} LIMIT 1""",
+    ),
+)
+def next_cluster_by_item(spark, sf_dir):
+    found = slt.next_cluster(scored_clusters(spark, sf_dir), posts_by_item(spark, sf_dir), d.NOW, RULES)
+    return found.select("cluster_key", F.col("topic_score").alias("score"))
+
+
+@query(
+    "breaking_candidates_by_item",
+    scsql(
+        SCORED,
+        f"""{FREE_BY_ITEM} SELECT cluster_key, score FROM free WHERE decision = 'SELECTED'
+            AND score >= 60 AND (item_count >= 2 OR max_trust IN ('OFFICIAL', 'PRIMARY'))
+            AND epoch(TIMESTAMP '{d.NOW}') - epoch(event_at) <= 60 * 60 * 24 * 9""",
+    ),
+)
+def breaking_candidates_by_item(spark, sf_dir):
+    """With rules under which the gate stays open whatever was posted; posts keep their times and flags."""
+    rules = slt.SlotRules(
+        breaking_min_score=60.0, breaking_max_age_minutes=60 * 24 * 9, breaking_max_per_day=1 << 30, breaking_min_gap_minutes=-(1 << 24)
+    )
+    found = slt.breaking_candidates(scored_clusters(spark, sf_dir), posts_by_item(spark, sf_dir), d.NOW, rules)
+    return found.select("cluster_key", F.col("topic_score").alias("score"))
+
+
 @query(
     "slot_action",
     esql(

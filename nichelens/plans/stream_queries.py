@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from nichelens.operators import clustering as clu
 from nichelens.operators import ledger as led
 from nichelens.plans import domain as d
 from nichelens.plans.document_queries import ARRIVALS_SQL, RULES, conversation_arrivals, signatures
 from nichelens.plans.registry import query, text
 from nichelens.plans.schedule_queries import esql, micros
-from nichelens.session import shared_folder
+from nichelens.session import materialize, shared_folder
 from nichelens.streaming import jobs
 
 
@@ -191,3 +192,36 @@ def stream_clusters(spark, sf_dir):
     return jobs.every_batch(spark, path).select(
         "item_id", "cluster_key", "matched_by", "similarity", "is_seed"
     )
+
+
+@query(
+    "incremental_clusters",
+    d.with_views(
+        TURNS_SQL,
+        f"{d.SIGNATURE_VIEWS} turns pairs hits own matched heads known edges forest members",
+        """SELECT cluster_key, count(*) AS item_count, CAST(min(discovered_at) AS VARCHAR) AS first_seen_at,
+            CAST(max(discovered_at) AS VARCHAR) AS last_seen_at, arg_max(trust, CASE trust WHEN 'OFFICIAL' THEN 4 WHEN 'PRIMARY' THEN 3
+                WHEN 'REPUTABLE_SECONDARY' THEN 2 WHEN 'AGGREGATOR' THEN 1 ELSE 0 END) AS max_trust,
+            arg_min(item_id, (discovered_at, item_id)) AS seed_item_id
+            FROM members JOIN turns USING (item_id) GROUP BY cluster_key""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def incremental_clusters(spark, sf_dir):
+    """The cluster table of a first run, carried on by a second one over the items that came since."""
+    items = d.items(spark, sf_dir)
+    sig = materialize(signatures(spark, sf_dir), "run-signatures")
+    late = F.col("discovered_at") >= F.lit("2024-01-04 12:00:00").cast("timestamp")
+    old, new = sig.filter(~late), sig.filter(late)
+    first = materialize(old.select("item_id", "discovered_at").join(clu.cluster_items(old, rules=RULES), "item_id"), "run-members")
+    table = clu.cluster_table(first, items, sig)
+    oldest = new.agg(F.unix_seconds(F.min("discovered_at"))).scalar()
+    recent = first.filter(F.unix_seconds("discovered_at") >= F.coalesce(oldest, F.lit(0)) - F.lit(jobs.CANDIDATE_SECONDS))
+    second = clu.cluster_items(
+        new,
+        stored=old.join(recent.select("item_id"), "item_id", "left_semi"),
+        stored_membership=recent.select("item_id", "cluster_key"),
+        stored_clusters=table.select("cluster_key"),
+        rules=RULES,
+    )
+    merged = clu.merge_clusters(table, clu.cluster_table(materialize(second, "run-members"), items, sig))
+    return merged.select("cluster_key", "item_count", text("first_seen_at"), text("last_seen_at"), "max_trust", "seed_item_id")
