@@ -14,6 +14,7 @@ that are refined wherever a band is crowded.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -292,39 +293,35 @@ def _verified(pairs: DataFrame, level: int, max_distance: int) -> DataFrame:
     first_shared = F.forall(
         F.get(earlier, F.col("band")), lambda m: differing.bitwiseAND(m) != 0
     )
-    return (
-        pairs.withColumn("distance", distance)
-        .filter((F.col("distance") > 0) & (F.col("distance") <= max_distance) & first_shared)
-        .select("bucket", "value", "other", "distance")
-    )
+    near = pairs.withColumn("distance", distance)
+    return near.filter((F.col("distance") > 0) & (F.col("distance") <= max_distance) & first_shared)
 
 
-def similar_values(
-    queries: DataFrame, candidates: DataFrame, rules: ClusterRules, levels: int = 3
+def near_values(
+    left: DataFrame,
+    right: DataFrame,
+    rules: ClusterRules,
+    fold: Callable[[DataFrame], DataFrame],
+    levels: int = 3,
 ) -> DataFrame:
-    """``(bucket, value, other, distance)`` of different values within the distance.
-
-    Both sides hold distinct ``(bucket, value)``; a query is compared with its
-    own and the two neighbouring time buckets. A band value that would cost more
-    than ``rules.crowded`` comparisons is not joined but split by the next level
-    of bands; at the last level it is salted instead, so no task receives it
-    whole. Every pair comes out exactly once.
+    """What ``fold`` makes of the pairs of different values within the distance.
+
+    ``left(slot, value, ...)`` meets ``right(slot, value, ...)`` of the same slot;
+    pairs have all columns of both, the right value as ``other``, and their
+    ``distance``. Only folded rows leave the task in which a pair is found: no
+    pair is shuffled or written. A band value that would cost more than
+    ``rules.crowded`` comparisons is not joined but split by the next level of
+    bands; at the last level it is salted instead, so no task receives it whole.
+    Every pair is seen exactly once; the folded rows of all levels are united.
     """
     d = rules.max_distance
-    left = queries.select(
-        F.col("bucket"),
-        F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("slot"),
-        "value",
-    )
-    right = candidates.select(F.col("bucket").alias("slot"), F.col("value"))
+    asked, held = left.columns, right.columns
     parent: str | None = None
     found: DataFrame | None = None
     on = ["slot", "band", "key"]
     for level in range(1, levels + 1):
-        left = left.select(
-            "bucket", "slot", "value", F.inline(_band_columns(level, d, parent))
-        )
-        right = right.select("slot", "value", F.inline(_band_columns(level, d, parent)))
+        left = left.select(*asked, F.inline(_band_columns(level, d, parent)))
+        right = right.select(*held, F.inline(_band_columns(level, d, parent)))
         load = (
             left.groupBy(*on).agg(F.count("*").alias("asking"))
             .join(right.groupBy(*on).agg(F.count("*").alias("stored")), on)
@@ -339,7 +336,7 @@ def similar_values(
             salt = F.when(
                 F.col("hot"), F.pmod(F.xxhash64("value"), F.lit(rules.salts)).cast("int")
             ).otherwise(F.lit(0))
-            l_rows = left.join(hot, on, "left").withColumn("salt", salt)
+            l_rows = left.join(hot, on, "left").withColumn("salt", salt).drop("hot")
             r_rows = right.join(hot, on, "left").withColumn(
                 "salt",
                 F.explode(
@@ -347,62 +344,86 @@ def similar_values(
                         F.array(F.lit(0))
                     )
                 ),
-            )
+            ).drop("hot")
             keys = [*on, "salt"]
         else:
             l_rows = left.join(crowded, on, "left_anti") if any_crowded else left
             r_rows, keys = right, on
         pairs = l_rows.join(r_rows.withColumnRenamed("value", "other"), keys)
-        checked = _verified(pairs, level, d)
-        found = checked if found is None else found.unionByName(checked)
+        folded = fold(_verified(pairs, level, d))
+        found = folded if found is None else found.unionByName(folded)
         if not any_crowded or last:
             break
-        left = left.join(crowded, on, "left_semi").select(
-            "bucket", "slot", "value", F.col("band").alias("parent")
-        )
-        right = right.join(crowded, on, "left_semi").select(
-            "slot", "value", F.col("band").alias("parent")
-        )
+        left = left.join(crowded, on, "left_semi").select(*asked, F.col("band").alias("parent"))
+        right = right.join(crowded, on, "left_semi").select(*held, F.col("band").alias("parent"))
         parent = "parent"
     return found
 
 
+def similar_values(
+    queries: DataFrame, candidates: DataFrame, rules: ClusterRules, levels: int = 3
+) -> DataFrame:
+    """``(bucket, value, other, distance)``: all pairs, for distinct ``(bucket, value)`` of both sides.
+
+    A query is compared with its own and the two neighbouring time buckets. The
+    result has as many rows as there are pairs; see :func:`near_values`.
+    """
+    slots = F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("slot")
+    left, right = queries.select("bucket", slots, "value"), candidates.select(F.col("bucket").alias("slot"), "value")
+    return near_values(left, right, rules, lambda pairs: pairs.select("bucket", "value", "other", "distance"), levels)
+
+
+#: Distances stand above so many bits, order numbers below them.
+_ORD_BITS = 56
+
+
 def _similar(sig: DataFrame, queries: DataFrame, rules: ClusterRules) -> DataFrame:
-    """``(ord, parent, distance)`` by wording for queries without an exact twin."""
+    """``(ord, parent, distance)`` by wording for queries without an exact twin.
+
+    Time is cut into buckets one window wide. Stored items of one value, class
+    and bucket are one row with their seconds; a pair gives the earliest of them
+    that the query's window holds, and each query keeps the least (distance,
+    ord) of all its pairs as one number, folded where the pairs are found.
+    """
     width = rules.window_hours * 3600
-    bucket = F.floor(F.col("event_s") / F.lit(width)).cast("bigint").alias("bucket")
+    bucket = F.floor(F.col("event_s") / F.lit(width)).cast("bigint")
+    at = F.pmod(F.col("event_s"), F.lit(width))
     value = F.col("simhash").alias("value")
-    reliable = sig.filter("reliable")
-    asking = queries.select("ord", "vendor", "version", "event_s", value, bucket)
-    pairs = similar_values(
-        asking.select("bucket", "value").distinct(),
-        reliable.select(bucket, value).distinct(),
-        rules,
-    )
-    wanted = asking.join(pairs, ["bucket", "value"]).select(
-        "ord", "vendor", "version", "event_s", F.col("other").alias("key"), "distance"
-    )
-    wanted = materialize(wanted, "similar-wording")
-    entries = reliable.select(
-        F.col("simhash").alias("key"), "vendor", "version", "event_s", "ord"
-    )
-    first = earliest_within(entries, wanted, rules.window_hours)
-    hits = wanted.join(first, ["key", "vendor", "version", "event_s"]).filter(
-        F.col("first_ord") < F.col("ord")
-    )
-    by_distance = hits.groupBy("ord").agg(
-        *[
-            F.min(F.when(F.col("distance") == d, F.col("first_ord"))).alias(f"p{d}")
-            for d in range(1, rules.max_distance + 1)
-        ]
-    )
-    span = range(1, rules.max_distance + 1)
-    return by_distance.select(
+    seconds = sig.filter("reliable").select(
+        bucket.alias("slot"), value, F.col("vendor").alias("its_vendor"), F.col("version").alias("its_version"), at.alias("its_at"), "ord"
+    )
+    cell = ["slot", "value", "its_vendor", "its_version"]
+    seconds = seconds.groupBy(*cell, "its_at").agg(F.min("ord").alias("ord"))
+    # At most one entry a second of the window, however many items share a value.
+    entries = F.collect_list(F.struct("its_at", "ord"))
+    stored = seconds.groupBy(*cell).agg(
+        F.count("*").alias("size"), F.min("ord").alias("first"), F.min("its_at").alias("only_at"), entries.alias("entries")
+    ).withColumn("entries", F.when(F.col("size") > 1, F.col("entries")))
+    asking = queries.select(
+        "ord", "vendor", "version", value, bucket.alias("bucket"), at.alias("at"),
+        F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("slot"),
+    )
+
+    def fold(pairs: DataFrame) -> DataFrame:
+        def held(second: Column) -> Column:
+            return F.when(F.col("slot") < F.col("bucket"), second >= F.col("at")).otherwise(second <= F.col("at"))
+
+        several = F.array_min(F.transform(F.filter("entries", lambda e: held(e["its_at"])), lambda e: e["ord"]))
+        parent = (
+            F.when(F.col("slot") == F.col("bucket"), F.col("first"))
+            .when(F.col("size") == 1, F.when(held(F.col("only_at")), F.col("first")))
+            .otherwise(several)
+        )
+        fits = [(F.col(c) == "") | (F.col(f"its_{c}") == "") | (F.col(c) == F.col(f"its_{c}")) for c in ("vendor", "version")]
+        best = F.shiftleft(F.col("distance").cast("long"), _ORD_BITS) + F.col("parent")
+        told = pairs.filter(fits[0] & fits[1]).select("ord", "distance", parent.alias("parent")).filter("parent < ord")
+        return told.groupBy("ord").agg(F.min(best).alias("best"))
+
+    found = near_values(asking, stored, rules, fold).groupBy("ord").agg(F.min("best").alias("best"))
+    return found.select(
         "ord",
-        F.coalesce(*[F.col(f"p{d}") for d in span]).alias("parent"),
-        F.coalesce(
-            *[F.when(F.col(f"p{d}").isNotNull(), F.lit(d)) for d in span]
-        ).alias("distance"),
+        F.col("best").bitwiseAND((1 << _ORD_BITS) - 1).alias("parent"),
+        F.shiftright("best", _ORD_BITS).cast("int").alias("distance"),
     )
 
 
@@ -739,15 +760,16 @@ def similar_to_published(
 ) -> DataFrame:
     """Flag clusters whose wording is close to something already published.
 
-    Distinct values of both sides meet in bands, and only close ones come out;
-    they are folded to one flag a value. A cluster without a value is not close.
+    Distinct values of both sides meet in bands; what is close is folded to one
+    flag a value where it is found. A cluster without a value is not close.
     """
     values = published.select("simhash").filter(F.col("simhash").isNotNull()).distinct()
     rules = ClusterRules(max_distance=max_distance)
-    bucket = F.lit(0).cast("bigint").alias("bucket")
-    asking = clusters.filter(F.col("simhash").isNotNull()).select(bucket, F.col("simhash").alias("value")).distinct()
-    archive = values.select(bucket, F.col("simhash").alias("value"))
-    near = similar_values(asking, archive, rules, levels=2).select(F.col("value").alias("simhash"))
+    slot = F.lit(0).cast("bigint").alias("slot")
+    asking = clusters.filter(F.col("simhash").isNotNull()).select(slot, F.col("simhash").alias("value")).distinct()
+    archive = values.select(slot, F.col("simhash").alias("value"))
+    near = near_values(asking, archive, rules, lambda pairs: pairs.select("value").distinct(), levels=2)
+    near = near.select(F.col("value").alias("simhash"))
     flagged = near.union(values).distinct().withColumn("similar_to_published", F.lit(True))
     return clusters.join(flagged, "simhash", "left").withColumn(
         "similar_to_published", F.coalesce("similar_to_published", F.lit(False))

@@ -236,3 +236,28 @@ def test_similar_to_published(spark):
     for r in got:
         want = r["simhash"] is not None and any((r["simhash"] ^ a).bit_count() <= 12 for a in archive)
         assert r["similar_to_published"] == want
+
+
+def test_near_pairs_are_folded_where_they_are_found(spark):
+    """Thousands of variants in one window: every item sends on a bounded number of rows, and the nearest earlier one wins."""
+    import random
+
+    r = random.Random(9)
+    base = r.getrandbits(63)
+    values = [base ^ sum(1 << b for b in r.sample(range(63), r.randint(0, 3))) for _ in range(1500)]
+    day = 1_704_067_200
+    rows = [(i, v, day + r.randrange(86_400), r.choice(["", "", "a", "b"]), r.choice(["", "1", "2"])) for i, v in enumerate(values)]
+    sig = spark.createDataFrame(rows, "ord long, simhash long, event_s long, vendor string, version string").withColumn("reliable", F.lit(True))
+    for crowded in (4_000_000, 2_000):
+        rules = c.ClusterRules(crowded=crowded, salts=4)
+        got = {x["ord"]: (x["distance"], x["parent"]) for x in c._similar(sig, sig, rules).collect()}
+        want = {}
+        for i, v, t, a, b in rows:
+            near = [
+                ((v ^ w).bit_count(), j)
+                for j, w, u, x, y in rows[:i]
+                if v != w and (v ^ w).bit_count() <= rules.max_distance and abs(t - u) <= 72 * 3600 and (not a or not x or a == x) and (not b or not y or b == y)
+            ]
+            if near:
+                want[i] = min(near)
+        assert got == want and len(want) > 1000
