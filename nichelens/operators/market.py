@@ -27,8 +27,9 @@ def _until(snapshots: DataFrame, as_of: str | None) -> DataFrame:
 def latest_snapshot(snapshots: DataFrame, as_of: str | None = None) -> DataFrame:
     """Newest snapshot of every channel, optionally not after ``as_of``.
 
-    ``max_by`` folds on the map side, so a channel with a very long history
-    moves one row per task. Ties on the date go to the latest created one.
+    Each task sorts its rows by channel and folds them, so a channel with a very
+    long history moves one row per task. Ties on the date go to the latest
+    created one.
     """
     payload = [c for c in snapshots.columns if c != "channel_id"]
     order = F.struct("snapshot_date", "created_at", "import_id")
