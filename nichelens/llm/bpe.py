@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from nichelens.llm.common import slices, with_id
 
 MATRIX_BYTES = 256
-#: Pieces remembered by a worker; when full, the memory starts anew.
-MEMORY_PIECES = 150_000
+#: Pieces, and words, in each of a worker's two generations of memory; what is used again moves to the new one.
+MEMORY_PIECES = 100_000
 _NONE = np.int32(1 << 30)
 _BLANKS, _WORDS = regex.compile(r" (?:\s|$)"), regex.compile(r" (?=\S)")
 
@@ -60,7 +60,9 @@ class Ranks:
         self._build(np.array(keys, dtype=np.uint64), np.array(values, dtype=np.int32))
         # Ids of pieces and of blank-led words met so far, as packed 32-bit numbers.
         self.memory: dict[str, bytes] = {}
+        self.old_memory: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
 
     def _build(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Open addressing with linear probing, all keys placed in vectorised rounds."""
@@ -178,8 +180,9 @@ class Ranks:
         """Encode the pieces that the memory does not hold yet."""
         new = pieces - self.memory.keys()
         if len(self.memory) + len(new) > MEMORY_PIECES:
-            self.memory.clear()
+            self.old_memory, self.memory = self.memory, {}
             new = pieces
+        new = _again(new, self.memory, self.old_memory)
         buckets: dict[int, list[tuple[str, bytes]]] = {}
         for piece in new:
             raw = piece.encode()
@@ -205,20 +208,27 @@ class Ranks:
         text may be cut there; what stands between two such blanks is looked up as one string.
         """
         cut = [t.split(" ") if _BLANKS.search(t) is None else _WORDS.split(t) for t in texts]
-        seen = self.words
-        fresh = set(chain.from_iterable(c[1:] for c in cut)) - seen.keys()
-        if len(seen) + len(fresh) > MEMORY_PIECES:
-            seen.clear()
-            fresh = set(chain.from_iterable(c[1:] for c in cut))
+        first = [pattern.findall(c.pop(0)) for c in cut]
+        wanted: set[str] = set().union(*cut)
+        fresh = wanted - self.words.keys()
+        if len(self.words) + len(fresh) > MEMORY_PIECES:
+            self.old_words, self.words = self.words, {}
+            fresh = wanted
+        fresh = _again(fresh, self.words, self.old_words)
         spaced = [(w, pattern.findall(" " + w)) for w in fresh]
-        first = [pattern.findall(c[0]) for c in cut]
-        self.learn(set(chain.from_iterable(p for _, p in spaced)).union(*first))
-        memory = self.memory
+        self.learn(set().union(*[p for _, p in spaced], *first))
+        memory, seen = self.memory, self.words
         for word, pieces in spaced:
             seen[word] = b"".join([memory[p] for p in pieces])
-        return [
-            b"".join([*[memory[p] for p in head], *[seen[w] for w in c[1:]]]) for head, c in zip(first, cut, strict=True)
-        ]
+        piece, word = memory.__getitem__, seen.__getitem__
+        return [b"".join(chain(map(piece, head), map(word, rest))) for head, rest in zip(first, cut, strict=True)]
+
+
+def _again(wanted: set[str], new: dict[str, bytes], old: dict[str, bytes]) -> set[str]:
+    """Move what the old generation holds of ``wanted`` to the new one; the rest is returned."""
+    known = wanted & old.keys()
+    new.update((w, old[w]) for w in known)
+    return wanted - known
 
 
 _SPELLED: dict[str, list[bytes]] = {}
@@ -233,53 +243,68 @@ def loaded(path: str, pattern: str) -> tuple[Ranks, regex.Pattern]:
     return _LOADED[key]
 
 
+def _encoded(batches, path: str, pattern: str):
+    """Batches (id, ids) of batches (id, text)."""
+    ranks, compiled = loaded(path, pattern)
+    for part in slices(batches, 1 << 20):
+        found = ranks.encode([t or "" for t in part.column("text").to_pylist()], compiled)
+        flat = np.frombuffer(b"".join(found), dtype="<i4")
+        offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([part.column("id"), ids], names=["id", "ids"])
+
+
+def _decoded(batches, path: str):
+    """Batches (id, ids, decoded) of batches (id, ids)."""
+    if path not in _SPELLED:
+        _SPELLED[path] = vocabulary(path)
+    token = _SPELLED[path]
+    size = len(token)
+
+    def spell(ids: np.ndarray) -> bytes:
+        if len(ids) and (ids.min() < 0 or ids.max() >= size):
+            ids = ids[(ids >= 0) & (ids < size)]
+        return b"".join([token[i] for i in ids.tolist()])
+
+    for batch in batches:
+        for start in range(0, batch.num_rows, 512):
+            part = batch.slice(start, 512)
+            lists = part.column("ids")
+            flat = np.asarray(pc.fill_null(lists.flatten(), -1))
+            ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
+            texts = [spell(x) for x in np.split(flat, ends[:-1])]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("id"), lists, pa.array(texts, pa.binary())], names=["id", "ids", "decoded"]
+            )
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>): the token ids of each whole text, without special tokens.
 
     Other columns of ``docs`` are not read, so none can clash.
     """
-
-    def run(batches):
-        ranks, compiled = loaded(path, pattern)
-        for part in slices(batches, 1 << 20):
-            found = ranks.encode([t or "" for t in part.column("text").to_pylist()], compiled)
-            flat = np.frombuffer(b"".join(found), dtype="<i4")
-            offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([part.column("id"), ids], names=["id", "ids"])
-
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType
-    return source.mapInArrow(run, with_id(kind, "ids array<int>")).withColumnRenamed("id", id_col)
+    found = source.mapInArrow(lambda batches: _encoded(batches, path, pattern), with_id(kind, "ids array<int>"))
+    return found.withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, ids, decoded binary): the bytes that each list of ids stands for."""
+    source = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
+    kind = source.schema["id"].dataType
+    found = source.mapInArrow(lambda batches: _decoded(batches, path), with_id(kind, "ids array<int>, decoded binary"))
+    return found.withColumnRenamed("id", id_col)
 
-    def run(batches):
-        if path not in _SPELLED:
-            _SPELLED[path] = vocabulary(path)
-        token = _SPELLED[path]
-        size = len(token)
-
-        def spell(ids: np.ndarray) -> bytes:
-            if len(ids) and (ids.min() < 0 or ids.max() >= size):
-                ids = ids[(ids >= 0) & (ids < size)]
-            return b"".join([token[i] for i in ids.tolist()])
-
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                lists = part.column("ids")
-                flat = np.asarray(pc.fill_null(lists.flatten(), -1))
-                ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
-                texts = [spell(x) for x in np.split(flat, ends[:-1])]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), lists, pa.array(texts, pa.binary())], names=["id", "ids", "decoded"]
-                )
 
-    source = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What :func:`decode` gives of what :func:`encode` gives, in one worker a task instead of two."""
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType
+
+    def run(batches):
+        return _decoded(_encoded(batches, path, pattern), path)
+
     return source.mapInArrow(run, with_id(kind, "ids array<int>, decoded binary")).withColumnRenamed("id", id_col)
 
 

@@ -42,8 +42,7 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, decoded again; one row per row of documents."""
-    ids = bpe.encode(table(spark, sf_dir, "documents"), RANKS, PATTERN)
-    return bpe.digests(bpe.decode(ids, RANKS))
+    return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, PATTERN))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +152,8 @@ WITH d AS (
     SELECT coalesce(lang, 'und') AS lang,
            unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                         '[.,;:!?
--]')) AS piece FROM documents),
+-
+]')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM d),
 total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
 grams AS (
