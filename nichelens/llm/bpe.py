@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from public_tokenizers import PATTERN
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,7 @@ MATRIX_BYTES = 256
 #: Pieces, and words, in each of a worker's two generations of memory; what is used again moves to the new one.
 MEMORY_PIECES = 100_000
 _NONE = np.int32(1 << 30)
+_SIGNS = frozenset(".,;:!?")
 _BLANKS, _WORDS = regex.compile(r" (?:\s|$)"), regex.compile(r" (?=\S)")
 
 
@@ -204,9 +206,14 @@ class Ranks:
     def encode(self, texts: list[str], pattern: regex.Pattern) -> list[bytes]:
         """Ids of whole texts, packed.
 
-        A blank before a character that is no white space always begins a match of the pattern, so a
-        text may be cut there; what stands between two such blanks is looked up as one string.
+        A blank before a character that is no white space always begins a match of ``PATTERN``, so a
+        text may be cut there; what stands between two such blanks is looked up as one string. With
+        another pattern texts are matched as they are.
         """
+        if pattern.pattern != PATTERN:
+            matched = [pattern.findall(t) for t in texts]
+            self.learn(set().union(*matched))
+            return [b"".join([self.memory[p] for p in m]) for m in matched]
         cut = [t.split(" ") if _BLANKS.search(t) is None else _WORDS.split(t) for t in texts]
         first = [pattern.findall(c.pop(0)) for c in cut]
         wanted: set[str] = set().union(*cut)
@@ -215,7 +222,7 @@ class Ranks:
             self.old_words, self.words = self.words, {}
             fresh = wanted
         fresh = _again(fresh, self.words, self.old_words)
-        spaced = [(w, pattern.findall(" " + w)) for w in fresh]
+        spaced = [(w, _simple(w) or pattern.findall(" " + w)) for w in fresh]
         self.learn(set().union(*[p for _, p in spaced], *first))
         memory, seen = self.memory, self.words
         for word, pieces in spaced:
@@ -224,6 +231,15 @@ class Ranks:
         return [b"".join(chain(map(piece, head), map(word, rest))) for head, rest in zip(first, cut, strict=True)]
 
 
+def _simple(word: str) -> list[str] | None:
+    """Matches of ``PATTERN`` in a blank and a word of Latin letters, which may end in a sign; None for others."""
+    end = word[-1:]
+    stem = word[:-1] if end in _SIGNS else word
+    if stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):
+        return [" " + stem, end] if stem is not word else [" " + word]
+    return None
+
+
 def _again(wanted: set[str], new: dict[str, bytes], old: dict[str, bytes]) -> set[str]:
     """Move what the old generation holds of ``wanted`` to the new one; the rest is returned."""
     known = wanted & old.keys()

@@ -261,3 +261,17 @@ def test_fingerprints_find_near_documents_anywhere(spark):
     for i, r in got.items():
         assert r.n_near == sum(0 < (v ^ f[i]).bit_count() <= 6 for v in set(f.values()))
     assert len(got) == 5 and got[0].n_near == 1 and got[0].near_class == got[3].near_class == got[4].near_class == min(got[0].fingerprint, got[3].fingerprint)
+
+
+def test_bpe_with_other_patterns(spark):
+    import tiktoken
+
+    from nichelens.llm import bpe
+    from nichelens.llm.queries import PATTERN, RANKS
+
+    texts = ["the cat. sat, on?", "a  b\n c", "x" * 300, "ªº ɐb été! don't 12a. a;b", "", "é.é", "ﬀ. a·b."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for pattern in (PATTERN, r"[\s\S]{1,3}", r"\S+|\s+"):
+        library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.Ranks(RANKS).rank, special_tokens={})
+        got = {r.doc_id: list(r.ids) for r in bpe.encode(docs, RANKS, pattern).collect()}
+        assert got == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
