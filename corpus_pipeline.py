@@ -57,7 +57,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and decoded bytes of what is kept, as digests."""
-    return bpe.digests(bpe.decode(bpe.encode(docs, RANKS, PATTERN), RANKS))
+    return bpe.digests(bpe.round_trip(docs, RANKS, PATTERN))
 
 
 STAGES = [
