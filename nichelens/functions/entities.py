@@ -39,7 +39,7 @@ EVENT_KEYWORDS = {
     "GUIDE": ("how to", "guide", "tutorial", "tips", "гайд", "инструкция", "как "),
     "INCIDENT": ("outage", "incident", "vulnerability", "breach", "сбой", "уязвимость"),
 }
-# Words that are never a product.
+# After a vendor's name, these lead nowhere; a product name begins with another word.
 PRODUCT_STOPWORDS = (
     "and", "the", "for", "with", "now", "new", "can", "you", "your", "our", "its", "все", "уже",
 )

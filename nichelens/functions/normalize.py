@@ -88,7 +88,8 @@ def clean_text(c: Column) -> Column:
 
 
 def normalize_header(c: Column) -> Column:
-    """Comparable form of a header cell; ``%`` stays because it is a unit."""
+    """What two headers share when they name one column: case, ``ё``, punctuation, dashes and spacing are
+    evened out. A percent sign is left, as it tells in which unit the column is written."""
     text = F.translate(F.lower(F.coalesce(clean_text(c), F.lit(""))), "ё", "е")
     text = F.regexp_replace(text, HEADER_PUNCTUATION, " ")
     text = F.regexp_replace(text, "[–—−]", "-")
@@ -100,10 +101,12 @@ def _quoted(prefix: str, c: Column) -> Column:
 
 
 def to_decimal(c: Column, prefer_thousands_group: bool) -> Column:
-    """``struct(value decimal(35,9), error string)`` for Russian or English notation.
+    """A cell read as a number: ``struct(value decimal(35,9), error string)``, one of them NULL.
 
-    ``prefer_thousands_group`` settles ``1,240``: 1240 for counts and prices,
-    1.240 for rates.
+    Decimal commas and points, grouped digits and words for thousands and
+    millions are understood. One separator before three digits can mean either;
+    with ``prefer_thousands_group`` it groups (1,240 subscribers), else it is
+    the decimal sign (1,240 per view).
     """
     noise = EXOTIC_SPACES + APOSTROPHES + " "
     suffixes = "|".join(sorted(MAGNITUDES, key=len, reverse=True))
