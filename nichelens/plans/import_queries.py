@@ -835,18 +835,29 @@ def read_feed_xml(spark, sf_dir):
     )
 
 
-@query(
-    "read_feed_bodies",
-    r"""SELECT 'feed-' || CAST(page_id // 20 AS VARCHAR) AS source_key, 'guid-' || CAST(page_id AS VARCHAR) AS external_id, url,
+FEED_BODIES_SQL = r"""SELECT 'feed-' || CAST(page_id // 20 AS VARCHAR) AS source_key, 'guid-' || CAST(page_id AS VARCHAR) AS external_id, url,
         'Page ' || CAST(page_id AS VARCHAR) AS title,
         nullif(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(
             regexp_replace(html, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'),
             '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')), '') AS summary,
         strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id * 60), '%Y-%m-%d %H:%M:%S') AS published_at
-        FROM pages""",
-)
+        FROM pages"""
+
+
+@query("read_feed_bodies", FEED_BODIES_SQL)
 def read_feed_bodies(spark, sf_dir):
-    """Every page as an entry with its whole html as body, twenty to a feed; RSS and Atom feeds in turn."""
+    """Every page as an entry with its whole html as body, twenty to a feed."""
+    return _feed_out(payloads.read_feed_xml(feed_payloads(spark, sf_dir)))
+
+
+def _feed_out(items: DataFrame) -> DataFrame:
+    return items.select(
+        "source_key", "external_id", "url", "title", "summary", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at")
+    )
+
+
+def feed_payloads(spark, sf_dir) -> DataFrame:
+    """``(source_key, payload)``: RSS and Atom feeds in turn, with pages as entries."""
     when = "timestamp_seconds(1704067200 + page_id * 60)"
     plain = "replace(replace(replace(%s, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
     entries = d.table(spark, sf_dir, "pages").selectExpr(
@@ -861,12 +872,20 @@ def read_feed_bodies(spark, sf_dir):
     body = F.array_join(F.transform("held", lambda x: x["entry"]), "\n")
     rss = F.concat(F.lit('<?xml version="1.0"?><rss><channel><title>All</title>'), body, F.lit("</channel></rss>"))
     atom = F.concat(F.lit("<feed><title>All</title>"), body, F.lit("</feed>"))
-    raw = feeds.select(
+    return feeds.select(
         F.concat(F.lit("feed-"), F.col("feed").cast("string")).alias("source_key"), F.when(F.col("feed") % 2 == 0, rss).otherwise(atom).alias("payload")
     )
-    return payloads.read_feed_xml(raw).select(
-        "source_key", "external_id", "url", "title", "summary", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at")
-    )
+
+
+@query("read_landed_feeds", FEED_BODIES_SQL)
+def read_landed_feeds(spark, sf_dir):
+    """The same feeds landed as files, a folder a feed, and read from there."""
+    path = f"{shared_folder(spark)}/landed-feeds-{uuid.uuid4().hex}"
+    feeds = feed_payloads(spark, sf_dir).select(F.col("source_key").alias("feed"), F.col("payload").alias("value"))
+    feeds.repartition("feed").write.partitionBy("feed").text(path)
+    raw = payloads.read_payloads(spark, path)
+    source = F.regexp_extract("file", "feed=([^/]+)/", 1).alias("source_key")
+    return _feed_out(payloads.read_feed_xml(raw.select(source, "payload")))
 
 
 @query(
