@@ -11,11 +11,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from nichelens.operators import clustering as clu
 from nichelens.operators import ledger as led
+from nichelens.operators import research as res
 from nichelens.plans import domain as d
 from nichelens.plans.document_queries import ARRIVALS_SQL, RULES, conversation_arrivals, signatures
+from nichelens.plans.import_queries import FEED_BODIES_SQL, feed_payloads
 from nichelens.plans.registry import query, text
 from nichelens.plans.schedule_queries import esql, micros
 from nichelens.session import materialize, shared_folder
+from nichelens.sources import payloads
 from nichelens.streaming import jobs
 
 
@@ -225,3 +228,31 @@ def incremental_clusters(spark, sf_dir):
     )
     merged = clu.merge_clusters(table, clu.cluster_table(materialize(second, "run-members"), items, sig))
     return merged.select("cluster_key", "item_count", text("first_seen_at"), text("last_seen_at"), "max_trust", "seed_item_id")
+
+
+# Entries of feeds as research items: the signature and cluster views of documents stand on these instead.
+FEED_ITEMS_SQL = {
+    **d.DOCUMENT_SQL,
+    "v_items": f"""SELECT CAST(substr(external_id, 6) AS BIGINT) AS item_id, source_key, url, title, summary,
+        CAST(published_at AS TIMESTAMP) AS published_at, CAST(published_at AS TIMESTAMP)
+            + to_seconds((CAST(substr(external_id, 6) AS BIGINT) * 7919 % 1440) * 60) AS discovered_at,
+        'UNKNOWN' AS trust, CAST(NULL AS VARCHAR) AS version_hint, CAST(NULL AS VARCHAR) AS product_hint
+        FROM ({FEED_BODIES_SQL})""",
+}
+
+
+@query(
+    "payload_clusters",
+    d.with_views(
+        FEED_ITEMS_SQL, d.CLUSTER_VIEWS, "SELECT item_id, cluster_key, matched_by, similarity, is_seed FROM members"
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def payload_clusters(spark, sf_dir):
+    """From feed payloads to stored items, their signatures and clusters."""
+    entries = payloads.read_feed_xml(feed_payloads(spark, sf_dir))
+    number = F.substring("external_id", 6, 20).cast("bigint")
+    seen = F.timestamp_seconds(F.unix_seconds("published_at") + F.pmod(number * 7919, F.lit(1440)) * 60)
+    arrivals = res.with_identity(entries.drop("arrival").withColumn("arrival", number).withColumn("arrived_at", seen))
+    items = res.with_hints(res.store_items(arrivals)).withColumn("item_id", number)
+    sig = clu.build_signatures(items, RULES)
+    return clu.cluster_items(sig, rules=RULES).select("item_id", "cluster_key", "matched_by", "similarity", "is_seed")
