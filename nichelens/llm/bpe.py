@@ -24,7 +24,7 @@ from public_tokenizers import PATTERN
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nichelens.llm.common import slices, with_id
+from nichelens.llm.common import release, slices, with_id
 
 MATRIX_BYTES = 256
 #: Pieces, and words, in each of a worker's two generations of memory; what is used again moves to the new one.
@@ -66,6 +66,10 @@ class Ranks:
         self.words: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Empty the memory of pieces and words."""
+        self.memory, self.old_memory, self.words, self.old_words = {}, {}, {}, {}
+
     def _build(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Open addressing with linear probing, all keys placed in vectorised rounds."""
         bits = max(4, int(len(keys) * 3).bit_length())
@@ -260,14 +264,18 @@ def loaded(path: str, pattern: str) -> tuple[Ranks, regex.Pattern]:
 
 
 def _encoded(batches, path: str, pattern: str):
-    """Batches (id, ids) of batches (id, text)."""
+    """Batches (id, ids) of batches (id, text). A worker serves other tasks later: it gives its memory back."""
     ranks, compiled = loaded(path, pattern)
-    for part in slices(batches, 1 << 20):
-        found = ranks.encode([t or "" for t in part.column("text").to_pylist()], compiled)
-        flat = np.frombuffer(b"".join(found), dtype="<i4")
-        offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([part.column("id"), ids], names=["id", "ids"])
+    try:
+        for part in slices(batches, 1 << 20):
+            found = ranks.encode([t or "" for t in part.column("text").to_pylist()], compiled)
+            flat = np.frombuffer(b"".join(found), dtype="<i4")
+            offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([part.column("id"), ids], names=["id", "ids"])
+    finally:
+        ranks.forget()
+        release()
 
 
 def _decoded(batches, path: str):

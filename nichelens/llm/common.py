@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -56,6 +58,14 @@ def slices(batches, limit: int = 4 << 20, column: int | str = "text"):
                 yield batch.slice(int(a), int(b - a))
 
 
+def release() -> None:
+    """Give memory that a worker no longer uses back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def texts_of(array: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     return [x or b"" for x in array.cast(pa.binary()).to_pylist()]
