@@ -66,6 +66,18 @@ def release() -> None:
         trim(0)
 
 
+def tidy(run):
+    """A function over Arrow batches that gives its worker's unused memory back when a task ends."""
+
+    def over(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return over
+
+
 def texts_of(array: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     return [x or b"" for x in array.cast(pa.binary()).to_pylist()]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nichelens.llm.common import LOWER, slices, texts_of, with_id
+from nichelens.llm.common import LOWER, slices, texts_of, tidy, with_id
 
 STEP = 64
 UNITS = 8
@@ -217,7 +217,7 @@ def sample_segments(labelled: DataFrame) -> tuple[list[tuple[str, bytes]], list[
                     segments.append(raw[at : at + STEP])
             yield pa.RecordBatch.from_arrays([pa.array(languages, pa.string()), pa.array(segments, pa.binary())], names=["lang", "segment"])
 
-    rows = chosen.select("lang", "text", "pick").mapInArrow(cut, "lang string, segment binary").collect()
+    rows = chosen.select("lang", "text", "pick").mapInArrow(tidy(cut), "lang string, segment binary").collect()
     return sorted((r["lang"], bytes(r["segment"])) for r in rows if r["segment"]), sorted(limits)
 
 
@@ -249,4 +249,4 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
                 scores = np.where(letters, np.minimum(p.max(axis=1), 1.0), 0.0)
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(names), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"])
 
-    return source.mapInArrow(run, with_id(kind, "lang_pred string, score double")).withColumnRenamed("id", id_col)
+    return source.mapInArrow(tidy(run), with_id(kind, "lang_pred string, score double")).withColumnRenamed("id", id_col)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nichelens.llm.common import FOLD, components, mix64, slices, texts_of
+from nichelens.llm.common import FOLD, components, mix64, slices, texts_of, tidy
 from nichelens.session import materialize
 
 SHINGLE = 5
@@ -156,7 +156,7 @@ def sign(docs: DataFrame, bands: int, rows: int, size: int, counted: bool) -> Da
                 names=["id", "k1", "k2", "n", "bands"],
             )
 
-    return docs.mapInArrow(run, "id long, k1 long, k2 long, n long, bands array<long>")
+    return docs.mapInArrow(tidy(run), "id long, k1 long, k2 long, n long, bands array<long>")
 
 
 def sets_of(docs: DataFrame, size: int, counted: bool) -> DataFrame:
@@ -170,7 +170,7 @@ def sets_of(docs: DataFrame, size: int, counted: bool) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(value.view(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column("id"), lists], names=["id", "elements"])
 
-    return docs.mapInArrow(run, "id long, elements array<long>")
+    return docs.mapInArrow(tidy(run), "id long, elements array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

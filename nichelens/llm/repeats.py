@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nichelens.llm.common import mix64, slices, texts_of, with_id
+from nichelens.llm.common import mix64, slices, texts_of, tidy, with_id
 from nichelens.llm.suffix_array import permuted_common_prefixes, suffix_array
 from nichelens.session import materialize
 
@@ -314,8 +314,8 @@ def find_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     source = source.where(F.col("id").isNotNull() & (F.octet_length("text") >= span))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = source.mapInArrow(_cut(span), _ROW).repartition(parts, F.shiftrightunsigned("a", 64 - ANCHOR_BITS))
-    met = dealt.sortWithinPartitions("a", "b", "size", "id", "start").mapInArrow(_meet, _FOUND)
+    dealt = source.mapInArrow(tidy(_cut(span)), _ROW).repartition(parts, F.shiftrightunsigned("a", 64 - ANCHOR_BITS))
+    met = dealt.sortWithinPartitions("a", "b", "size", "id", "start").mapInArrow(tidy(_meet), _FOUND)
     met = materialize(met, "segments")
     whole = met.where("repeat").select("id", "start", (F.col("start") + F.col("size")).alias("stop"))
     heads = met.where("NOT repeat").select(F.shiftrightunsigned("a", 64 - ANCHOR_BITS).alias("a"), "id", "start", "size")
@@ -349,9 +349,9 @@ def find_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text
                 rows = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(i, pa.int64()), pa.array(at, pa.int32()), pa.nulls(len(a), pa.binary())]
                 yield pa.RecordBatch.from_arrays(rows, names=names)
 
-    fetched = materialize(texts.mapInArrow(fetch, "a long, b long, id long, start int, bytes binary"), "fetched")
+    fetched = materialize(texts.mapInArrow(tidy(fetch), "a long, b long, id long, start int, bytes binary"), "fetched")
     cool = fetched.where("b IS NULL").select("a", "id", "start", "bytes").repartition(parts, "a").sortWithinPartitions("a", "id", "start")
-    partly = cool.mapInArrow(_shards(span), "id long, start int, stop int")
+    partly = cool.mapInArrow(tidy(_shards(span)), "id long, start int, stop int")
     hot = fetched.where("b IS NOT NULL").select("a", "b", "id", "start")
     least = hot.groupBy("a", "b").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("a", "b", "least")
     hot = hot.join(least, ["a", "b"]).where("id > least").select("id", "start", (F.col("start") + span).alias("stop"))
@@ -367,7 +367,7 @@ def find_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text
             offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(spans))))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pairs)], names=["id", "spans"])
 
-    return spans.mapInArrow(unite, "id long, spans array<struct<start:int,stop:int>>")
+    return spans.mapInArrow(tidy(unite), "id long, spans array<struct<start:int,stop:int>>")
 
 
 def remove(
@@ -405,5 +405,5 @@ def remove(
                 names=["id", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    cut_rows = joined.mapInArrow(cut, with_id(kind, "n_bytes long, n_removed long, n_spans long, kept binary"))
+    cut_rows = joined.mapInArrow(tidy(cut), with_id(kind, "n_bytes long, n_removed long, n_spans long, kept binary"))
     return cut_rows.withColumnRenamed("id", row_col or id_col)
