@@ -110,17 +110,20 @@ def read_feed_xml(
     title_limit: int | None = None,
     summary_limit: int | None = None,
     excerpt_limit: int | None = None,
+    closed_references: bool = False,
 ) -> DataFrame:
     """Items of RSS or Atom ``payloads(source_key, payload)``.
 
     Entries without a link are dropped; the guid identifies an entry, the link
     is the fallback. Each entry is parsed on its own with ``from_xml``. Texts are
-    kept whole unless limits are given.
+    kept whole unless limits are given. With ``closed_references`` a character
+    reference in a title or text counts only up to its semicolon.
     """
+    plain = lambda c: strip_html(c, closed_references)
     head = F.regexp_replace("payload", r"(?is)<(item|entry)[\s>].*$", "")
     split = payloads.select(
         "source_key",
-        strip_html(_first_element(head, "title")).alias("publisher"),
+        plain(_first_element(head, "title")).alias("publisher"),
         _first_element(head, "language").alias("language"),
         F.posexplode(
             F.concat(_elements(F.col("payload"), "item"), _elements(F.col("payload"), "entry"))
@@ -139,7 +142,7 @@ def read_feed_xml(
     link = F.coalesce(
         blank_to_null(strip_ws(F.col("rss.link"))), F.try_element_at(alternate, F.lit(1))["_href"]
     )
-    text = strip_html(
+    text = plain(
         F.coalesce(
             blank_to_null(F.col("rss.description")),
             blank_to_null(F.col("atom.summary")),
@@ -153,7 +156,7 @@ def read_feed_xml(
         "language",
         link.alias("url"),
         F.coalesce(blank_to_null(F.col("rss.guid")), blank_to_null(F.col("atom.id"))).alias("guid"),
-        strip_html(F.coalesce("rss.title", "atom.title")).alias("t"),
+        plain(F.coalesce("rss.title", "atom.title")).alias("t"),
         text.alias("s"),
         F.coalesce(
             _feed_date(F.col("rss.pubDate")),
