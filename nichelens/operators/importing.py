@@ -9,6 +9,7 @@ from nichelens.functions.normalize import (
     build_dedupe_key,
     clean_text,
     detect_platform,
+    let,
     looks_like_handle,
     normalize_handle,
     normalize_header,
@@ -157,15 +158,16 @@ def raw_map(headers: Column, cells: Column) -> Column:
             F.concat(F.lit("column_"), (i + 1).cast("string"))
         )
 
-    names = F.transform(cells, lambda _, i: named(i))
-    # A repeated header keeps its last cell, like assigning into a dictionary.
-    last = F.filter(
-        F.arrays_zip(names.alias("k"), cells.alias("v")),
-        lambda _, i: ~F.array_contains(
-            F.slice(names, i + 2, F.size(names)), F.get(names, i)
-        ),
-    )
-    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))
+    def kept(names: Column) -> Column:
+        # A repeated header keeps its last cell, like assigning into a dictionary.
+        last = F.filter(
+            F.arrays_zip(names.alias("k"), cells.alias("v")),
+            lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), e["k"]),
+        )
+        return F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))
+
+    # Bound once a row: every cell looks at the names of those after it.
+    return let(F.transform(cells, lambda _, i: named(i)), kept)
 
 
 # Profiles of a few kilobytes per file: at most some tens of megabytes in memory.
