@@ -87,15 +87,22 @@ def _without_return(line: Column) -> Column:
     )
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, in_parts: bool = False) -> DataFrame:
     """``(file, line_no, bytes)``: raw lines with 1-based numbers per file.
 
     A line's number is its offset inside its file split plus the lines of the
-    splits before it, so large files are numbered without a per-file sort.
+    splits before it, so large files are numbered without a per-file sort. With
+    ``in_parts`` a folder is one file, landed in parts that follow by name; parts
+    end with their lines.
     """
+    name, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    file, block = name, start
+    if in_parts:
+        file, part = F.regexp_replace(name, "/[^/]*$", ""), F.regexp_extract(name, "([^/]*)$", 1)
+        block = F.struct(part.alias("part"), start.alias("start"))
     raw = spark.read.text(path, lineSep="\n").select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
+        file.alias("file"),
+        block.alias("block"),
         F.monotonically_increasing_id().alias("turn"),
         _without_return(F.col("value").cast("binary")).alias("bytes"),
     )
@@ -422,15 +429,15 @@ def parse_export(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_export_csv(
-    spark: SparkSession, path: str, block_lines: int = BLOCK_LINES, cell_chars: int | None = CELL_CHARS
+    spark: SparkSession, path: str, block_lines: int = BLOCK_LINES, cell_chars: int | None = CELL_CHARS, in_parts: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """(header per file, data rows) of all delimited files under ``path``.
 
     ``line_no`` numbers records, blank ones included. A file whose encoding is
     unknown, or with a cell of more than ``cell_chars`` characters, has no rows
-    and its header is NULL.
+    and its header is NULL. With ``in_parts`` each folder is one file.
     """
-    lines = read_lines(spark, path)
+    lines = read_lines(spark, path, in_parts)
     encodings = detect_encoding(lines)
     decoded = decode_lines(lines, encodings)
     physical = physical_lines(decoded).join(dialect(decoded), "file")
