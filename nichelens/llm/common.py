@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-from nichelens.session import materialize, ship
+from nichelens.session import discard, materialize, ship
 
 #: Characters that end a word: all of ASCII but digits and letters. Words are runs of anything else.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -116,6 +116,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         tied = large.join(low, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
         small = materialize(tied.union(low.select("u", F.col("low").alias("v"))).distinct(), "small")
+        discard(pairs)
         pairs, now = small, small.agg(*digest).first()
         if now == before:
             break

@@ -12,9 +12,12 @@ Links are then decided by the exact similarity of the shingle sets (of 64-bit ha
 
 Groups of copies are never paired among themselves. Documents of equal sets become one node first. In a
 round every bucket of equal bands has a leader, and each node is compared with one leader of another
-component, whose buckets it shares; what a round links is one component from then on. Rounds with
-different leaders go on while they link. At the end only nodes of *different* components that share a
-bucket are compared, all of them, so no link between components is lost.
+component, whose buckets it shares; what a round links is one component from then on. The first round is
+led by the nodes that share most buckets with others, such as the text that all near copies of a group were
+made from: those are near to it, though few are near to each other. Rounds with other leaders go on while they link. At the end only nodes of *different* components that share a
+bucket are compared, all of them that may reach the similarity, so no link between components is lost. What
+a node shares with any other is at most its elements that are not its own alone: texts that have a long passage
+in common and else a rest of their own are told apart by these numbers, before any set is looked at.
 
 Result: one row per row, with the class id: the least id of the component. Documents without words, and
 null texts, are classes of their own; without an id the class is null. Rows of one id are one document.
@@ -29,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nichelens.llm.common import FOLD, components, mix64, slices, texts_of, tidy
-from nichelens.session import materialize
+from nichelens.session import discard, materialize
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -195,22 +198,32 @@ def classes(
     buckets = member.where("id = node").select("node", "n", F.explode("bands").alias("band"))
     several = buckets.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
     buckets = materialize(buckets.join(several.select("band"), "band").distinct(), "buckets")
+    member = materialize(member.select("id", "node"), "members")
+    discard(signed)
     crowd = buckets.select("node").distinct()
     # Sets of the nodes that share a bucket with another; the small side is hashed, texts are not sorted.
     wanted = known.join(crowd.select(F.col("node").alias("id")).hint("shuffle_hash"), "id", "left_semi")
     sets = materialize(sets_of(wanted, size, counted).select(F.col("id").alias("node"), "elements"), "sets")
 
-    def mixed(roots: DataFrame | None) -> DataFrame:
-        """Bucket rows with their component, of buckets that hold several."""
-        rooted = buckets.withColumn("root", F.col("node"))
+    def mixed(rest: DataFrame, roots: DataFrame | None) -> DataFrame:
+        """Of bucket rows those in buckets that hold several components still, each with its component."""
         if roots is not None:
-            rooted = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        return rooted.join(several.select("band"), "band")
+            rest = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        else:
+            rest = rest.withColumn("root", F.col("node"))
+        several = rest.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        return materialize(rest.join(several.select("band"), "band"), "mixed")
+
+    def fits(n: tuple[str, str], shared: tuple[str, str]) -> Column:
+        """Whether the sizes, and the numbers of elements that others have too, allow the similarity at all."""
+        most = F.least(*shared)
+        return most >= similarity * (F.col(n[0]) + F.col(n[1]) - most)
 
-    def fits(a: str, b: str) -> Column:
-        """Sizes that allow the similarity at all."""
-        return F.least(F.col(a), F.col(b)) >= similarity * F.greatest(F.col(a), F.col(b))
+    # Elements of one node only are in no intersection.
+    single = sets.select("node", F.explode("elements").alias("e")).groupBy("e").agg(F.count("*").alias("many"), F.min("node").alias("node"))
+    single = single.where("many = 1").groupBy("node").agg(F.count("*").alias("own"))
+    able = buckets.join(single, "node", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+    rest = mixed(able.where(F.col("common") >= similarity * F.col("n")), None)
 
     roots: DataFrame | None = None
 
@@ -226,36 +239,42 @@ def classes(
         edges = materialize(edges.distinct(), "links")
         if edges.isEmpty():
             return roots, False
-        merged = components(edges, "a", "b")
+        merged = materialize(components(edges, "a", "b"), "roots")
         if roots is None:
-            return materialize(merged, "roots"), True
+            return merged, True
         moved = roots.withColumnRenamed("root", "old").join(
             merged.select(F.col("node").alias("old"), F.col("root").alias("new")), "old", "left"
         )
         moved = moved.select("node", F.coalesce("new", "old").alias("root"))
         return materialize(moved.union(merged.join(roots.select("node"), "node", "left_anti")), "roots"), True
 
-    for order in ORDERS:
-        rest = mixed(roots)
-        turned = F.col("node").bitwiseXOR(F.lit(order))
-        lead = rest.groupBy("band").agg(F.min(turned).alias("turned"))
-        lead = lead.select("band", F.col("turned").bitwiseXOR(F.lit(order)).alias("a"))
-        leaders = rest.select("band", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"))
-        led = leaders.join(lead, ["band", "a"]).distinct()
-        pairs = rest.join(led, "band").where("root <> root_a").where(fits("n", "n_a"))
-        one = pairs.groupBy(F.col("node").alias("b")).agg(F.min(F.col("a").bitwiseXOR(F.lit(order))).alias("turned"))
-        one = one.select(F.col("turned").bitwiseXOR(F.lit(order)).alias("a"), "b")
+    for order in (None, *ORDERS):
+        ranked = rest
+        if order is None:
+            crowds = rest.join(rest.groupBy("band").count(), "band").groupBy("node").agg((-F.sum("count")).alias("rank"))
+            ranked = rest.join(crowds, "node")
+        else:
+            ranked = rest.withColumn("rank", F.col("node").bitwiseXOR(F.lit(order)))
+        leader = F.struct("rank", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("common").alias("common_a"))
+        led = ranked.groupBy("band").agg(F.min(leader).alias("l")).select("band", "l.*")
+        pairs = rest.join(led, "band").where("root <> root_a").where(fits(("n", "n_a"), ("common", "common_a")))
+        one = pairs.groupBy(F.col("node").alias("b")).agg(F.min(F.struct("rank", "a")).alias("l")).select("l.a", "b")
         roots, linked = with_links(_verified(one, sets, similarity), roots)
-        if not linked:
+        if linked:
+            before, rest = rest, mixed(rest.drop("root"), roots)
+            discard(before)
+        elif order is not None:
             break
     # What is still apart within a bucket: all of its smaller components against all of the bucket.
-    rest = materialize(mixed(roots), "mixed")
     sized = rest.groupBy("band", "root").count()
     main = sized.groupBy("band").agg(F.max(F.struct("count", "root")).alias("m")).select("band", F.col("m.root").alias("main"))
-    rest = rest.join(main, "band")
-    minor = rest.where("root <> main").select("band", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"))
-    pairs = minor.join(rest, "band").where("root <> root_a AND (root = main OR a < node)").where(fits("n", "n_a"))
+    whole = rest.join(main, "band")
+    minor = whole.where("root <> main").select(
+        "band", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("common").alias("common_a")
+    )
+    pairs = minor.join(whole, "band").where("root <> root_a AND (root = main OR a < node)").where(fits(("n", "n_a"), ("common", "common_a")))
     roots, _ = with_links(_verified(pairs.select("a", F.col("node").alias("b")).distinct(), sets, similarity), roots)
+    discard(buckets, sets, rest)
 
     found = member.select("id", "node")
     if roots is not None:
