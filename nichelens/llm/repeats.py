@@ -8,7 +8,10 @@ consecutive windows of one anchor form a segment (some 70 bytes).
 1. Segments travel as (anchor, content hash, id, place), not as bytes. Within a map task equal segments
    are reduced to the least id before the shuffle. In sorted partitions, a segment equal to one of a
    smaller id is a repeat as a whole; of the rest, those whose anchor has different segments are kept.
-2. Only the bytes of these travel, again by anchor, to shards of ``SHARD_BYTES``. A shard's suffix array
+2. Only the bytes of these travel, again by anchor, once for all equal segments of a document. A window
+   shared with another document has its anchor at the same offset in both, so that the bytes around the anchor
+   which all windows of a range of offsets hold are equal too; segments that share none of these with another
+   document share no window and are left out. The rest goes to shards of ``SHARD_BYTES``. A shard's suffix array
    is induced (SA-IS) and its permuted common prefixes computed; runs with common prefixes of ``span``
    or more are equal windows, and those of larger ids than the run's least are repeats.
    An anchor with more than ``HOT`` different segments does not fit a shard: its windows are grouped by
@@ -38,6 +41,8 @@ SPAN = 50
 GRAM = 16
 SHARD_BYTES = 3 << 19
 HOT = 4096
+#: Ranges of the anchor's offset in a window that are told apart before suffixes are sorted.
+CUTS = 7
 BLOCK = 1 << 20
 #: Anchor hash bits in a key; the rest of the 128 bits tell segments of an anchor apart.
 ANCHOR_BITS = 40
@@ -221,6 +226,8 @@ def _closing(batches):
 
 
 def _told(repeat: bool, a, b, ids, start, size) -> pa.RecordBatch:
+    if repeat:
+        a = np.zeros_like(a)  # nothing meets a repeat any more
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.full(len(a), repeat)), pa.array(a), pa.array(ids, pa.int64()), pa.array(start, pa.int32()),
@@ -255,6 +262,37 @@ def shard_repeats(text: np.ndarray, sizes: np.ndarray, ids: np.ndarray, span: in
     return segment, position[first] - begin, position[last] - begin + span
 
 
+def sharing(text: np.ndarray, sizes: np.ndarray, ids: np.ndarray, span: int) -> np.ndarray:
+    """Whether each segment may share a window with one of another id: false only if it does not.
+
+    ``text`` holds the segments one after another, all of each anchor that occurs.
+    """
+    begin = np.cumsum(sizes) - sizes
+    word = _words(text)
+    gram = mix64(word[: len(text) - GRAM + 1] * _BASE + mix64(word[8 : len(text) - GRAM + 9] + _SALT)) >> np.uint64(23)
+    # The anchor of all windows of a segment is that of its first, chosen as in _segments.
+    anchor = begin + np.stack([gram[begin + i] for i in range(span - GRAM + 1)], axis=1).argmin(axis=1)
+    powers = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(text), _BASE))))
+    inverse = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(text), _BASE_INVERSE))))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * powers[:-1])))
+    kept = np.zeros(len(sizes), dtype=bool)
+    for offsets in np.array_split(np.arange(span - GRAM + 1), CUTS):
+        if not len(offsets):
+            continue
+        # What every window holds that has the anchor at one of these offsets.
+        start, stop = anchor - offsets[0], anchor + span - offsets[-1]
+        some = np.flatnonzero((start >= begin) & (stop <= begin + sizes))
+        if not len(some):
+            continue
+        key = mix64((sums[stop[some]] - sums[start[some]]) * inverse[start[some]])
+        order = np.argsort(key)
+        key, some = key[order], some[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        several = np.minimum.reduceat(ids[some], first) < np.maximum.reduceat(ids[some], first)
+        kept[some[np.repeat(several, np.diff(np.append(first, len(key))))]] = True
+    return kept
+
+
 def _spans(ids: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(ids, pa.int64()), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["id", "start", "stop"]
@@ -264,33 +302,49 @@ def _spans(ids: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBat
 def _shards(span: int):
     """Step 2, over segments sorted by anchor: suffix arrays of shards of whole anchors."""
 
-    def flush(ids, start, sizes, text):
+    def flush(kept):
+        ids, starts, many, sizes, text = (np.concatenate(x) for x in zip(*kept, strict=True))
         segment, a, b = shard_repeats(text, sizes, ids, span)
-        return _spans(ids[segment], start[segment] + a, start[segment] + b)
+        # What holds for a segment holds wherever it stands in its document.
+        times = many[segment]
+        at = np.repeat((np.cumsum(many) - many)[segment] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+        return _spans(np.repeat(ids[segment], times), starts[at] + np.repeat(a, times), starts[at] + np.repeat(b, times))
+
+    def chosen(ids, starts, many, sizes, text):
+        """The segments that may share a window with another document."""
+        some = sharing(text, sizes, ids, span)
+        return ids[some], starts[np.repeat(some, many)], many[some], sizes[some], text[np.repeat(some, sizes)]
 
     def run(batches):
-        held: list[tuple] = []  # (anchor, id, start, size, bytes) of rows not yet in a shard
-        size = 0
+        held: list[tuple] = []  # (anchor, id, starts, number of starts, size, bytes) of rows not yet looked at
+        kept: list[tuple] = []  # (id, starts, number of starts, size, bytes) of rows not yet in a shard
+        size, full = 0, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             raw = batch.column("bytes")
             flat = np.frombuffer(b"".join(raw.to_pylist()), dtype=np.uint8)
-            columns = [np.asarray(batch.column(c)) for c in ("a", "id", "start")]
-            held.append((*columns, np.asarray(pc.binary_length(raw)).astype(np.int64), flat))
+            places = batch.column("starts")
+            many = np.asarray(pc.list_value_length(places)).astype(np.int64)
+            held.append((np.asarray(batch.column("a")), np.asarray(batch.column("id")), np.asarray(places.flatten()), many, np.asarray(pc.binary_length(raw)).astype(np.int64), flat))
             size += len(flat)
-            if size < SHARD_BYTES:
+            if size < SHARD_BYTES // 2:
                 continue
-            anchor, ids, start, sizes, text = (np.concatenate(x) for x in zip(*held, strict=True))
+            anchor, ids, starts, many, sizes, text = (np.concatenate(x) for x in zip(*held, strict=True))
             cut = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on
             if cut:
-                at = int(sizes[:cut].sum())
-                yield flush(ids[:cut], start[:cut], sizes[:cut], text[:at])
-                anchor, ids, start, sizes, text = anchor[cut:], ids[cut:], start[cut:], sizes[cut:], text[at:]
-            held, size = [(anchor, ids, start, sizes, text)], len(text)
+                at, place = int(sizes[:cut].sum()), int(many[:cut].sum())
+                kept.append(chosen(ids[:cut], starts[:place], many[:cut], sizes[:cut], text[:at]))
+                full += len(kept[-1][-1])
+                anchor, ids, starts, many, sizes, text = anchor[cut:], ids[cut:], starts[place:], many[cut:], sizes[cut:], text[at:]
+            held, size = [(anchor, ids, starts, many, sizes, text)], len(text)
+            if full >= SHARD_BYTES:
+                yield flush(kept)
+                kept, full = [], 0
         if size:
-            _, ids, start, sizes, text = (np.concatenate(x) for x in zip(*held, strict=True))
-            yield flush(ids, start, sizes, text)
+            kept.append(chosen(*(np.concatenate(x) for x in list(zip(*held, strict=True))[1:])))
+        if sum(len(x[-1]) for x in kept):
+            yield flush(kept)
 
     return run
 
@@ -334,10 +388,16 @@ def find_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text
             owner = np.repeat(np.arange(len(texts)), many).tolist()
             ids = np.repeat(np.asarray(part.column("id")), many)
             raw = [texts[o][a : a + n] for o, a, n in zip(owner, start, size, strict=True)]
-            cool = pa.array([not h for h in hot])
-            rows = [pa.array(key, pa.int64()), pa.nulls(len(key), pa.int64()), pa.array(ids), pa.array(start, pa.int32()), pa.array(raw, pa.binary())]
-            names = ["a", "b", "id", "start", "bytes"]
-            yield pa.RecordBatch.from_arrays(rows, names=names).filter(cool)
+            # Equal segments of a document travel once, with all their places.
+            places: dict[tuple, list[int]] = {}
+            for k in np.flatnonzero(~np.array(hot, dtype=bool)).tolist():
+                if len(raw[k]) >= span:
+                    places.setdefault((owner[k], raw[k]), []).append(k)
+            one = [ks[0] for ks in places.values()]
+            starts = pa.array([[start[k] for k in ks] for ks in places.values()], pa.list_(pa.int32()))
+            rows = [pa.array([key[k] for k in one], pa.int64()), pa.nulls(len(one), pa.int64()), pa.array(ids[one]), starts, pa.array([raw[k] for k in one], pa.binary())]
+            names = ["a", "b", "id", "starts", "bytes"]
+            yield pa.RecordBatch.from_arrays(rows, names=names)
             lines: list[tuple] = []
             for k in np.flatnonzero(hot).tolist():
                 for offset in range(len(raw[k]) - span + 1):
@@ -346,13 +406,13 @@ def find_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text
                     lines.append((*halves, int(ids[k]), start[k] + offset))
             if lines:
                 a, b, i, at = zip(*lines, strict=True)
-                rows = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(i, pa.int64()), pa.array(at, pa.int32()), pa.nulls(len(a), pa.binary())]
+                rows = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(i, pa.int64()), pa.array([[x] for x in at], pa.list_(pa.int32())), pa.nulls(len(a), pa.binary())]
                 yield pa.RecordBatch.from_arrays(rows, names=names)
 
-    fetched = materialize(texts.mapInArrow(tidy(fetch), "a long, b long, id long, start int, bytes binary"), "fetched")
-    cool = fetched.where("b IS NULL").select("a", "id", "start", "bytes").repartition(parts, "a").sortWithinPartitions("a", "id", "start")
+    fetched = materialize(texts.mapInArrow(tidy(fetch), "a long, b long, id long, starts array<int>, bytes binary"), "fetched")
+    cool = fetched.where("b IS NULL").select("a", "id", "starts", "bytes").repartition(parts, "a").sortWithinPartitions("a")
     partly = cool.mapInArrow(tidy(_shards(span)), "id long, start int, stop int")
-    hot = fetched.where("b IS NOT NULL").select("a", "b", "id", "start")
+    hot = fetched.where("b IS NOT NULL").select("a", "b", "id", F.col("starts")[0].alias("start"))
     least = hot.groupBy("a", "b").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("a", "b", "least")
     hot = hot.join(least, ["a", "b"]).where("id > least").select("id", "start", (F.col("start") + span).alias("stop"))
     spans = whole.union(partly).union(hot).groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
