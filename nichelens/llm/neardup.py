@@ -15,8 +15,9 @@ round every bucket of equal bands has a leader, and each node is compared with o
 component, whose buckets it shares; what a round links is one component from then on. The first round is
 led by the nodes that share most buckets with others, such as the text that all near copies of a group were
 made from: those are near to it, though few are near to each other. Rounds with other leaders go on while they link. At the end only nodes of *different* components that share a
-bucket are compared, all of them that may reach the similarity, so no link between components is lost. What
-a node shares with any other is at most its elements that are not its own alone: texts that have a long passage
+bucket are compared, all of them that may reach the similarity, so no link between components is lost: in buckets of at
+most ``CROWD`` rows pair by pair, in larger ones by shared differences from one node of the bucket's largest
+component, of which near ones must have many in common. What a node shares with any other is at most its elements that are not its own alone: texts that have a long passage
 in common and else a rest of their own are told apart by these numbers, before any set is looked at.
 
 Result: one row per row, with the class id: the least id of the component. Documents without words, and
@@ -37,6 +38,8 @@ from nichelens.session import discard, materialize
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 30, 5
+#: Nodes of a bucket above which they are no longer paired one with another.
+CROWD = 32
 #: The least of node XOR one of these is a bucket's leader in a round; XOR again gives the node.
 ORDERS = (0, -1, 0x2492492492492492, 0x5A5A5A5A5A5A5A5A, 0x0F0F33335555AAAA, 0x1234567890ABCDEF)
 
@@ -185,6 +188,56 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(left, "a").join(right, "b").where(shared >= similarity * union).select("a", "b").distinct()
 
 
+def _differences(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, pivot, own, n, n_p, near, d) of pairs (node, pivot, own): the elements d that only one of the two has,
+    and whether both reach the threshold. A pivot of several sets is one of them; a node of several has a row for each."""
+    left = sets.select("node", F.col("elements").alias("x"))
+    right = sets.join(pairs.select(F.col("pivot").alias("node")).distinct(), "node", "left_semi")
+    right = right.groupBy(F.col("node").alias("pivot")).agg(F.min("elements").alias("y"))
+    d = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
+    found = pairs.join(left, "node").join(right, "pivot").select("node", "pivot", "own", F.size("x").alias("n"), F.size("y").alias("n_p"), d.alias("d"))
+    shared = (F.col("n") + F.col("n_p") - F.size("d")) / 2
+    return found.withColumn("near", shared >= similarity * (F.col("n") + F.col("n_p") - shared))
+
+
+def _by_differences(apart: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different components (``root``) that may reach the threshold, of nodes compared with one pivot.
+
+    Sets x and y of n and m elements are near if at most K (n + m) elements are in one only, K = (1 - s) / (1 + s).
+    With X and Y their differences from the pivot of p elements, they have |X| + |Y| - 2 |X and Y| such elements.
+    One of two components is not near to the pivot: |X| > K (n + p). So near ones have over (|Y| + K (p - m)) / 2
+    differences in common, and, as |Y| >= |m - p|, at least (|X| - K (n + p)) / 2. Of two sets with at least t
+    elements in common, the size - t + 1 first ones in any order have one in common; rarest come first. At the
+    first one that they have in common, what follows in both must be enough for the rest. At least ``own`` elements
+    of a node are known to be in no other.
+    """
+    share = (1 - similarity) / (1 + similarity)
+    size, n, n_p = F.col("size"), F.col("n"), F.col("n_p")
+    rows = apart.withColumns({"size": F.size("d"), "key": F.xxhash64("n", "d")})
+    least_a, least_b = F.ceil((size - share * (n + n_p)) / 2 - 1e-9), F.floor((size + share * (n_p - n)) / 2) + 1
+    spare = size - F.col("own")
+    rows = rows.where((spare >= least_b) | (~F.col("near") & (spare >= least_a)))
+    rows = rows.join(rows.where("NOT near").select("pivot").distinct(), "pivot", "left_semi")
+    each = rows.select("node", "pivot", "key", F.explode("d").alias("e"))
+    several = each.groupBy("pivot", "e").agg(F.count("*").alias("many")).where("many > 1")
+    listed = each.join(several, ["pivot", "e"]).groupBy("node", "pivot", "key").agg(F.sort_array(F.collect_list(F.struct("many", "e"))).alias("known"))
+    rows = rows.drop("d").join(listed, ["node", "pivot", "key"])
+    common = F.size("known")
+
+    def met(least: Column) -> Column:
+        """The elements by which a node is met that has at least so many in common with another."""
+        first = size - least + 1 - (size - common)
+        return F.posexplode(F.slice("known", 1, F.greatest(F.least(first, common), F.lit(0)).cast("int"))["e"]).alias("at", "e")
+
+    kept = ("node", "root", "n", "size", common.alias("common"))
+    a = rows.where("NOT near").select("pivot", met(least_a), *kept)
+    b = rows.select("pivot", met(least_b), *kept)
+    a = a.select("pivot", "e", *[F.col(c).alias(f"{c}_a") for c in a.columns[3:]], (F.col("common") - F.col("at")).alias("left_a"))
+    b = b.select("pivot", "e", *b.columns[3:], (F.col("common") - F.col("at")).alias("left"))
+    enough = F.least("left", "left_a") >= (F.col("size_a") + size - share * (F.col("n_a") + n)) / 2 - 1e-9
+    return a.join(b, ["pivot", "e"]).where("root <> root_a").where(enough).select(F.col("node_a").alias("a"), F.col("node").alias("b")).distinct()
+
+
 def classes(
     docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, counted: bool = False,
     id_col: str = "doc_id", text_col: str = "text",
@@ -219,9 +272,15 @@ def classes(
         most = F.least(*shared)
         return most >= similarity * (F.col(n[0]) + F.col(n[1]) - most)
 
-    # Elements of one node only are in no intersection.
+    def central(rest: DataFrame) -> DataFrame:
+        """Bucket rows with a rank, the lower the more a node shares buckets."""
+        crowds = rest.join(rest.groupBy("band").count(), "band").groupBy("node").agg((-F.sum("count")).alias("rank"))
+        return rest.join(crowds, "node")
+
+    # Elements of one node only are in no intersection. A node of several sets is taken to have none.
     single = sets.select("node", F.explode("elements").alias("e")).groupBy("e").agg(F.count("*").alias("many"), F.min("node").alias("node"))
-    single = single.where("many = 1").groupBy("node").agg(F.count("*").alias("own"))
+    alone = sets.groupBy("node").count().where("count = 1")
+    single = single.where("many = 1").groupBy("node").agg(F.count("*").alias("own")).join(alone, "node", "left_semi")
     able = buckets.join(single, "node", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
     rest = mixed(able.where(F.col("common") >= similarity * F.col("n")), None)
 
@@ -251,8 +310,7 @@ def classes(
     for order in (None, *ORDERS):
         ranked = rest
         if order is None:
-            crowds = rest.join(rest.groupBy("band").count(), "band").groupBy("node").agg((-F.sum("count")).alias("rank"))
-            ranked = rest.join(crowds, "node")
+            ranked = central(rest)
         else:
             ranked = rest.withColumn("rank", F.col("node").bitwiseXOR(F.lit(order)))
         leader = F.struct("rank", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("common").alias("common_a"))
@@ -265,16 +323,33 @@ def classes(
             discard(before)
         elif order is not None:
             break
-    # What is still apart within a bucket: all of its smaller components against all of the bucket.
-    sized = rest.groupBy("band", "root").count()
+    mixed_rows = rest
+    # What is still apart within a bucket. In small ones: all of the bucket's smaller components against all of it.
+    held = rest.groupBy("band").count().withColumn("crowd", F.col("count") > CROWD).drop("count")
+    rest = rest.join(held, "band")
+    sized = rest.where("NOT crowd").groupBy("band", "root").count()
     main = sized.groupBy("band").agg(F.max(F.struct("count", "root")).alias("m")).select("band", F.col("m.root").alias("main"))
-    whole = rest.join(main, "band")
+    whole = rest.where("NOT crowd").join(main, "band")
     minor = whole.where("root <> main").select(
         "band", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("common").alias("common_a")
     )
     pairs = minor.join(whole, "band").where("root <> root_a AND (root = main OR a < node)").where(fits(("n", "n_a"), ("common", "common_a")))
-    roots, _ = with_links(_verified(pairs.select("a", F.col("node").alias("b")).distinct(), sets, similarity), roots)
-    discard(buckets, sets, rest)
+    found = _verified(pairs.select("a", F.col("node").alias("b")).distinct(), sets, similarity)
+    # In large ones all are compared with one node of the bucket's largest component, the same in all its buckets,
+    # and meet by what sets them apart from it.
+    many = rest.where("crowd").drop("crowd")
+    largest = many.groupBy("band", "root").count().groupBy("band").agg(F.max(F.struct("count", "root")).alias("m")).select("band", F.col("m.root").alias("root"))
+    heads = central(many).groupBy("root").agg(F.min(F.struct("rank", "node")).alias("l")).select("root", F.col("l.node").alias("pivot"))
+    faced = many.join(largest.join(heads, "root").select("band", "pivot"), "band").select("node", "pivot", (F.col("n") - F.col("common")).alias("own"))
+    apart = materialize(_differences(faced.distinct(), sets, similarity), "differences")
+    roots, _ = with_links(found.union(apart.where("near AND node <> pivot").select("pivot", "node")), roots)
+    if roots is not None:
+        apart_now = apart.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    else:
+        apart_now = apart.withColumn("root", F.col("node"))
+    roots, _ = with_links(_verified(_by_differences(apart_now, similarity), sets, similarity), roots)
+    discard(apart)
+    discard(buckets, sets, mixed_rows)
 
     found = member.select("id", "node")
     if roots is not None:
