@@ -5,8 +5,9 @@ one more for each of its words of four letters or more, for every occurrence. Ea
 hash votes with the weight, signed; the fingerprint has the bits with a positive sum.
 
 Votes are packed: ``(hash >> j) & 0x0001000100010001`` holds bits j, j+16, j+32, j+48 in lanes of 16
-bits, so sixteen plain sums add up 64 votes. Lanes hold 65,535, so a text is summed in chunks of
-``CHUNK`` terms, then by bit; texts of any length give exact sums. Sums start within the map task.
+bits, so sixteen plain sums add up 64 votes. The uppermost lane has the sign and holds 32,767, a term weighs three
+at most, so a text is summed in chunks of ``CHUNK`` terms, then by bit; texts of any length give exact sums, also
+where one term makes up a whole chunk. Sums start within the map task.
 
 Near fingerprints: the bits are cut into ``radius + 2`` blocks. Two fingerprints within the radius agree
 in at least two blocks, so permuting each pair of blocks to the front gives tables in which an equality
@@ -28,7 +29,8 @@ from nichelens.session import materialize
 
 WORDS = 2
 BITS = 64 * WORDS
-CHUNK = 16_384
+#: Terms summed in one lane: with the largest weight, three, they stay below the sign.
+CHUNK = 32_767 // 3
 LANES = 0x0001000100010001
 LONG_WORD = 4
 
