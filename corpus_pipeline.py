@@ -43,7 +43,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     A cut may fall within a character; what is left of its bytes goes too.
     """
-    cut = repeats.remove(docs.select(whole_row(docs), "doc_id", "text"), row_col="row", whole_characters=True)
+    cut = repeats.remove(docs.select(whole_row(docs), "doc_id"), text_col="row.text", row_col="row", whole_characters=True)
     text = F.when(F.col("row.text").isNotNull(), F.col("kept").cast("string"))
     changed = {"text": text, "n_chars": F.char_length(text).cast(docs.schema["n_chars"].dataType)}
     return cut.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -1,9 +1,10 @@
 """Suffix-array dedup: remove each byte covered by a string of ``span`` bytes that also starts in a
 document with a smaller id.
 
-Shards by content. In every window of ``span`` bytes the leftmost 16-byte gram of least hash is its
+Shards by content. In every window of ``span`` bytes the leftmost 20-byte gram of least hash is its
 anchor; equal windows have equal anchors, so all occurrences of a string meet under one key. The
-consecutive windows of one anchor form a segment (some 70 bytes).
+consecutive windows of one anchor form a segment (some 65 bytes). Shorter grams make fewer segments, but more of
+them meet by chance as the corpus grows, and the bytes of those travel.
 
 1. Segments travel as (anchor, content hash, id, place), not as bytes. Within a map task equal segments
    are reduced to the least id before the shuffle. In sorted partitions, a segment equal to one of a
@@ -16,7 +17,7 @@ consecutive windows of one anchor form a segment (some 70 bytes).
    or more are equal windows, and those of larger ids than the run's least are repeats.
    An anchor with more than ``HOT`` different segments does not fit a shard: its windows are grouped by
    a 128-bit hash of their bytes instead, with map-side minima.
-3. The repeats of each document are united and cut from its text.
+3. The repeats of each document are united, written, and cut from its text; by then nothing else is left on disk.
 
 No group of segments or windows is gathered: sorted rows stream by, and hot keys are reduced before they
 are shuffled. Ids are integers; rows without an id neither lose nor cause anything. Rows of one id never
@@ -35,10 +36,10 @@ from pyspark.sql import functions as F
 
 from nichelens.llm.common import mix64, slices, texts_of, tidy, with_id
 from nichelens.llm.suffix_array import permuted_common_prefixes, suffix_array
-from nichelens.session import materialize
+from nichelens.session import discard, materialize
 
 SPAN = 50
-GRAM = 16
+GRAM = 20
 SHARD_BYTES = 3 << 19
 HOT = 4096
 #: Ranges of the anchor's offset in a window that are told apart before suffixes are sorted.
@@ -58,6 +59,15 @@ def _words(buffer: np.ndarray) -> np.ndarray:
     return np.ndarray((len(buffer),), dtype="<u8", buffer=padded.tobytes(), strides=(1,)).copy()
 
 
+def _grams(word: np.ndarray) -> np.ndarray:
+    """Hash of the ``GRAM`` bytes from each position on where there are as many; ``word`` is that of :func:`_words`."""
+    n = len(word) - GRAM + 1
+    gram = word[:n] * _BASE
+    for at in (*range(8, GRAM - 8, 8), GRAM - 8):
+        gram = mix64(gram + mix64(word[at : at + n] + _SALT)) * _BASE
+    return mix64(gram)
+
+
 def _segments(buffer: np.ndarray, ends: np.ndarray, span: int):
     """(start, last, anchor hash, content hash) of the segments of a buffer of documents.
 
@@ -69,7 +79,7 @@ def _segments(buffer: np.ndarray, ends: np.ndarray, span: int):
         none = np.zeros(0, dtype=np.int64)
         return none, none, none.astype(np.uint64), none.astype(np.uint64)
     word = _words(buffer)
-    gram = mix64(word[: n - GRAM + 1] * _BASE + mix64(word[8 : n - GRAM + 9] + _SALT))
+    gram = _grams(word)
     # The hash above, the place below: the least is the leftmost of the least.
     key = (gram >> np.uint64(23) << np.uint64(23)) | np.arange(len(gram), dtype=np.uint64)
     low, width = key, 1
@@ -269,7 +279,7 @@ def sharing(text: np.ndarray, sizes: np.ndarray, ids: np.ndarray, span: int) ->
     """
     begin = np.cumsum(sizes) - sizes
     word = _words(text)
-    gram = mix64(word[: len(text) - GRAM + 1] * _BASE + mix64(word[8 : len(text) - GRAM + 9] + _SALT)) >> np.uint64(23)
+    gram = _grams(word) >> np.uint64(23)
     # The anchor of all windows of a segment is that of its first, chosen as in _segments.
     anchor = begin + np.stack([gram[begin + i] for i in range(span - GRAM + 1)], axis=1).argmin(axis=1)
     powers = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(text), _BASE))))
@@ -427,7 +437,9 @@ def find_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text
             offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(spans))))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pairs)], names=["id", "spans"])
 
-    return spans.mapInArrow(tidy(unite), "id long, spans array<struct<start:int,stop:int>>")
+    united = materialize(spans.mapInArrow(tidy(unite), "id long, spans array<struct<start:int,stop:int>>"), "repeats")
+    discard(met, fetched)
+    return united
 
 
 def remove(
@@ -436,12 +448,16 @@ def remove(
 ) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept binary) of every row: what is left after the cut.
 
-    ``row_col`` names what to return in place of the id, such as a struct of all columns. A cut may fall
-    within a character; with ``whole_characters`` what is left of its bytes goes too.
+    ``row_col`` names what to return in place of the id, such as a struct of all columns; a ``text_col`` that is
+    a field of it is not shuffled beside it. A cut may fall within a character; with ``whole_characters`` what is
+    left of its bytes goes too.
     """
     found = find_repeats(docs, span, id_col, text_col).hint("shuffle_hash")
     source = docs.select(F.col(row_col or id_col).alias("id"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("key"))
-    joined = source.join(found.select(F.col("id").alias("key"), "spans"), "key", "left").select("id", "text", "spans")
+    text = F.col("text")
+    if row_col and text_col.startswith(f"{row_col}."):
+        source, text = source.drop("text"), F.col("id" + text_col.removeprefix(row_col))
+    joined = source.join(found.select(F.col("id").alias("key"), "spans"), "key", "left").select("id", text.alias("text"), "spans")
     kind = source.schema["id"].dataType
 
     def cut(batches):
